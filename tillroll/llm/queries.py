@@ -69,7 +69,7 @@ ORACLE_SQL = {
             SELECT d.*, s.stream, ('0x' || substr(md5('{mixing.SEED}:' || s.stream || ':' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT / {float(1 << 52)} AS u
             FROM documents d JOIN (SELECT source, unnest(generate_series(0, streams - 1)) AS stream FROM split) s ON d.source IS NOT DISTINCT FROM s.source
         ), copies AS (
-            SELECT doc_id, text, lang, d.source, n_chars, count_if(c.cdf <= u) AS n
+            SELECT doc_id, text, lang, d.source, n_chars, count_if(c.cdf <= u)::BIGINT AS n
             FROM drawn d JOIN chance c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL
         )
         SELECT doc_id, text, lang, source, n_chars FROM copies, unnest(generate_series(1, n)) AS x(copy)

@@ -3,7 +3,7 @@
 All hashes are Rabin-Karp: a window's is the difference of two prefix sums of word hash * BASE**position, modulo 2**64.
 
 1. Each window has an anchor, the least hash of the ANCHOR-word windows inside it. Equal windows have equal anchors, so
-   a window whose anchor no other place has is unique. Neighbouring windows with one anchor form a run, about seven
+   a window whose anchor no other place has is unique. Neighbouring windows with one anchor at one place form a run, about seven
    windows, with a hash of all its words. Anchors are counted in Spark, and runs whose anchor is unique end there. An
    anchor that a worker meets twice is sent once for counting, so no key has more rows than there are slices.
 2. Among runs of equal anchor and words all but the first are removed; again a slice sends only its first.
@@ -95,33 +95,35 @@ def document_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
 
 
-def windows(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of WINDOW words within one document: its document, its first word there, and its anchor."""
+def windows(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of WINDOW words within one document: its document, its first word there, its anchor (the least
+    hash of ANCHOR words in it, the last of equal ones) and where that is."""
     n = len(hashes) - WINDOW + 1
     first = np.concatenate([[0], np.cumsum(counts)])
     if n < 1:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     at = np.arange(len(hashes) - ANCHOR + 1)
     least = _mix(_spans_hash(hashes, at, at + ANCHOR))
-    width, reach = WINDOW - ANCHOR + 1, 1  # least of the next width values, by doubling
-    while 2 * reach <= width:
-        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
-    if reach < width:
-        least = np.minimum(least[: -(width - reach)], least[width - reach :])
+    width, reach = WINDOW - ANCHOR + 1, 1  # least of the next reach values and its place, by doubling
+    while reach < width:
+        by = min(reach, width - reach)
+        right = least[by:] <= least[:-by]
+        least, at = np.where(right, least[by:], least[:-by]), np.where(right, at[by:], at[:-by])
+        reach += by
     doc = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(hashes)) - first[doc]
     whole = place[:n] + WINDOW <= counts[doc[:n]]
-    return doc[:n][whole], place[:n][whole], least[whole]
+    return doc[:n][whole], place[:n][whole], least[whole], at[whole]
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: document, first window, number of windows, anchor, and hash of all words."""
-    doc, place, anchor = windows(hashes, counts)
+    """Runs of windows with one anchor at one place: document, first window, number of windows, anchor, and hash of all words."""
+    doc, place, anchor, at = windows(hashes, counts)
     if not len(doc):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])]))
     n = np.diff(np.append(new, len(doc)))
     doc, place, anchor = doc[new], place[new], anchor[new]
     start = np.concatenate([[0], np.cumsum(counts)])[doc] + place
