@@ -1,7 +1,8 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-A word's score is its log-odds between toxic and other labelled documents under a Dirichlet prior from the counts of
-the whole corpus, so far as they are sure of it, less a fixed cost per token. All maximal segments (Ruzzo and Tompa) of
+Features of a word are the word itself and its beginnings, which catch inflected and compound forms. A feature's score
+is its log-odds between toxic and other labelled documents under a Dirichlet prior from the counts of the whole corpus,
+so far as they are sure of it; a word has the best score of its features, less a fixed cost per token. All maximal segments (Ruzzo and Tompa) of
 a text are found in one linear scan. Extreme-value statistics (Karlin and Altschul) say how many segments of a score a
 clean text of that length holds by chance; a logistic curve over the best segment and the sum of significant ones,
 fitted on the labels, gives the document's score.
@@ -16,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import map_slices, slices, texts_of
+from tillroll.llm._common import map_slices, materialise, slices, texts_of
 from tillroll.llm.decontaminate import _NORMAL
 from tillroll.llm.labelled import held_out, training_sample
-from tillroll.llm.substrings import _word_hashes
-
-#: Labelled documents that the model is fitted on, at most, and words that it scores, at most.
-MOST_LABELLED, MOST_WORDS = 20_000, 50_000
-#: Documents of the sample that a scored word must be in.
-LEAST_DOCS = 5
-#: Weight of the corpus's distribution as pseudo-counts, for each word that is scored.
+from tillroll.llm.substrings import _BASE, _BYTE, _INVERSE, _mix, _power
+
+#: Labelled documents that the model is fitted on, at most, and features that it scores, at most.
+MOST_LABELLED, MOST_WORDS = 20_000, 20_000
+#: Lengths in bytes of the beginnings that are features of longer words.
+BEGINNINGS = (5, 6, 7, 8, 9)
+#: Documents of the sample that a scored feature must be in.
+LEAST_DOCS = 3
+#: Weight of the corpus's distribution as pseudo-counts, for each feature that is scored.
 PRIOR = 1.0
-#: Standard errors by which a word's log-odds must exceed zero; what is left below is taken off.
+#: Standard errors by which a feature's log-odds must exceed zero; what is left below is taken off.
 SURE = 2.0
 #: Cost of a token, so that clean text scores below zero.
 COST = 0.25
@@ -36,9 +39,45 @@ THRESHOLD = 0.7
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the normal words of all texts, and the number of each text."""
-    hashes, start = _word_hashes(np.frombuffer(b" ".join(texts).translate(_NORMAL), np.uint8))
-    return hashes, np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]), "left"), prepend=0)
+    """Hashes of the features of the normal words of all texts, a row for each word, and the number of words of each text.
+
+    A beginning that the word is not longer than is 0, which is no feature.
+    """
+    raw = np.frombuffer(b" ".join(texts).translate(_NORMAL) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(raw != 32, prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
+    inverse = _power(_INVERSE, len(raw) + 1)[start]
+    out = np.zeros((len(start), 1 + len(BEGINNINGS)), np.uint64)
+    out[:, 0] = _mix((sums[end] - sums[start]) * inverse)
+    for k, n in enumerate(BEGINNINGS, 1):
+        long = end - start > n
+        out[long, k] = _mix((sums[start[long] + n] - sums[start[long]]) * inverse[long] + np.uint64(n))
+    return out, np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]), "left"), prepend=0)
+
+
+class Lookup:
+    """Places of hashes in a sorted array; a bitmap settles most hashes that it lacks."""
+
+    BITS = 20
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.bitmap = np.zeros(1 << self.BITS, bool)
+        self.bitmap[self._cell(known)] = True
+
+    def _cell(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and their places."""
+        maybe = np.flatnonzero(self.bitmap[self._cell(hashes)])
+        if not len(self.known):
+            return maybe[:0], maybe[:0]
+        at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        right = self.known[at] == hashes[maybe]
+        return maybe[right], at[right]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -74,11 +113,13 @@ class Model:
     curve: np.ndarray
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -COST)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            out += np.where(self.words[at] == hashes, self.scores[at], 0.0)
-        return out
+        """The score of each word, from its row of features."""
+        if not hasattr(self, "_lookup"):
+            self._lookup = Lookup(self.words)
+        which, at = self._lookup.find(hashes.ravel())
+        best = np.zeros(len(hashes))
+        np.maximum.at(best, which // hashes.shape[1], self.scores[at])
+        return best - COST
 
     def evidence(self, scores: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """(1, surprise of the best segment, of all significant ones, whether any), and segments with their surprise.
@@ -123,14 +164,12 @@ def _counted(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        known = shared.value
-        total = np.zeros(len(known) + 1, np.int64)
+        lookup = Lookup(shared.value)
+        total = np.zeros(len(lookup.known) + 1, np.int64)
         for batch in batches:
             for part in slices(batch, batch.column("text")):
                 hashes, _ = token_hashes(texts_of(part.column("text")))
-                at = np.searchsorted(known, hashes)
-                at[at == len(known)] = 0
-                total[:-1] += np.bincount(at[known[at] == hashes], minlength=len(known)) if len(known) else 0
+                total[:-1] += np.bincount(lookup.find(hashes.ravel())[1], minlength=len(lookup.known))
                 total[-1] += len(hashes)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["k", "n"])
@@ -152,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             for part in slices(batch, batch.column("text")):
                 hashes, n = token_hashes(texts_of(part.column("text")))
                 y = np.asarray(part.column("label").to_pylist())
-                doc = np.repeat(np.arange(len(n)), n)
+                doc = np.repeat(np.arange(len(n)), n * hashes.shape[1])[hashes.ravel() != 0]
+                hashes = hashes.ravel()[hashes.ravel() != 0]
                 pair, times = np.unique(np.stack([hashes, doc.astype(np.uint64)]), axis=1, return_counts=True) if len(hashes) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
                 for h, toxic, t in zip(pair[0].view(np.int64).tolist(), y[pair[1].astype(int)].tolist(), times.tolist()):
                     c = seen.setdefault(h, [0, 0, 0])
@@ -162,10 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["word", "docs", "clean", "toxic"])
 
     counts = sample.select("label", "text").mapInArrow(count, "word bigint, docs bigint, clean bigint, toxic bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("docs", "clean", "toxic")])
+    counts = materialise(counts, "words")
     sizes = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    # The commonest words among those that are likelier in toxic documents: only they can begin a segment.
+    # The surest of the features that are likelier in toxic documents; only they can begin a segment.
     share = (sizes[1] or 0) / max(1, (sizes[0] or 0) + (sizes[1] or 0))
-    rows = counts.where((F.col("docs") >= LEAST_DOCS) & (F.col("toxic") > share * (F.col("clean") + F.col("toxic")))).orderBy(F.desc("docs"), "word").limit(MOST_WORDS).collect()
+    excess = (F.col("toxic") - share * (F.col("clean") + F.col("toxic"))) / F.sqrt(F.lit(share) * (F.col("clean") + F.col("toxic")) + 1)
+    rows = counts.withColumn("excess", excess).where((F.col("docs") >= LEAST_DOCS) & (F.col("excess") > SURE)).orderBy(F.desc("excess"), "word").limit(MOST_WORDS).collect()
     rows.sort(key=lambda r: r["word"] % (1 << 64))
     words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     clean, toxic = (np.array([r[c] for r in rows], float) for c in ("clean", "toxic"))
