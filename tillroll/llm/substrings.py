@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,7 +132,9 @@ def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _scan(part: pa.RecordBatch) -> dict | None:
-    """Rows of step 1. kind: 0 unique here, 1 a mark that an anchor is met twice here, 2 first here of its words, 3 removed."""
+    """Rows of step 1. key: the anchor where it is to be counted, else something that spreads. run: first window, number
+    of windows and kind (0 unique here, 1 a mark that an anchor is met twice here, 2 first here of its words, 3 removed)
+    as one number, and what a kind does not need is null, which keeps the shuffle small."""
     ids, tie = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
     doc, place, n, anchor, content = runs(*document_words(texts_of(part.column("text"))))
     if not len(doc):
@@ -157,17 +159,24 @@ def _scan(part: pa.RecordBatch) -> dict | None:
     col = lambda x, extra: np.concatenate([x[keep], extra])
     zero = np.zeros(int(marks.sum()), np.int64)
     of = np.concatenate([doc[keep], doc[marks]])
+    kind = col(kind, zero + 1)
+    place, anchor = col(place, zero), np.concatenate([anchor[keep], anchor[marks]]).view(np.int64)
+    spread = _mix(ids[of].astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64)).view(np.int64)
     return {
-        "kind": col(kind, zero + 1).astype(np.int8),
-        "anchor": col(anchor.view(np.int64), anchor[marks].view(np.int64)),
-        "content": col(content.view(np.int64), zero),
+        "key": np.where(kind < 2, anchor, spread),
+        "anchor": pa.array(anchor, pa.int64(), mask=kind != 2),
+        "content": pa.array(col(content.view(np.int64), zero), pa.int64(), mask=(kind == 1) | (kind == 3)),
         "doc_id": pa.array(ids[of], pa.int64(), mask=~known[of]),
         "tie": tie[of],
-        "place": col(place, zero).astype(np.int32),
-        "n": col(n, zero).astype(np.int32),
+        "run": place << 12 | col(n, zero) << 4 | kind,
     }
 
 
+def _places(runs: list[dict]) -> np.ndarray:
+    """The first word of every window of some runs."""
+    return np.concatenate([np.arange(r["place"], r["place"] + r["n"]) for r in runs])
+
+
 def _removed(intervals: list[dict] | None, extra: list[int] | None, n_words: int) -> np.ndarray:
     """Whether each word is covered by a removed window."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -190,24 +199,18 @@ def _settled(text: bytes, intervals: list[dict] | None, extra: list[int] | None)
     return len(words), 0, hashlib.sha256(kept).hexdigest(), kept
 
 
-def _first(*order: str) -> Column:
-    return F.min(F.struct(*order))
-
-
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Steps 1 and 2 for docs(doc_id, tie, text): runs (doc_id, tie, place, n, anchor) with removed, false for firsts."""
-    schema = "kind tinyint, anchor bigint, content bigint, doc_id bigint, tie bigint, place int, n int"
-    rows = map_slices(docs, _scan, schema)
-    key = F.when(F.col("kind") < 2, F.col("anchor")).otherwise(F.xxhash64("doc_id", "tie", "place"))
-    met = Window.partitionBy("key")
-    weight = F.when(F.col("kind") == 1, 2).otherwise(1)
-    found = rows.withColumn("key", key).withColumn("seen", F.sum(weight).over(met)).where("kind >= 2 OR (kind = 0 AND seen > 1)").drop("key", "seen")
-    # Runs that are removed already go by a key of their own, too.
-    same = F.when(F.col("kind") == 3, F.xxhash64("doc_id", "tie", "place")).otherwise(F.xxhash64("anchor", "content"))
-    by_words = Window.partitionBy("same")
-    place = F.struct("doc_id", "tie", "place")
-    first = F.min(F.when(F.col("kind") < 3, place)).over(by_words)
-    return found.withColumn("same", same).withColumn("first", first).select("doc_id", "tie", "place", "n", "anchor", ((F.col("kind") == 3) | ~place.eqNullSafe(F.col("first"))).alias("removed"))
+    rows = map_slices(docs, _scan, "key bigint, anchor bigint, content bigint, doc_id bigint, tie bigint, run bigint")
+    kind = F.col("run").bitwiseAND(F.lit(15))
+    seen = F.sum(F.when(kind == 1, 2).otherwise(1)).over(Window.partitionBy("key"))
+    found = rows.withColumn("seen", seen).where((kind >= 2) | ((kind == 0) & (F.col("seen") > 1)))
+    # Runs that are removed already are no one's first and go by a key of their own.
+    found = found.select(F.when(kind < 3, F.coalesce("anchor", "key")).alias("anchor"), "content", F.when(kind == 3, F.col("key")).alias("spread"), "doc_id", "tie", "run")
+    where = F.struct("doc_id", "tie", F.shiftright("run", 12).alias("place"))
+    first = F.min(where).over(Window.partitionBy("anchor", "content", "spread"))
+    place, n = F.shiftright("run", 12).cast("int"), F.shiftright("run", 4).bitwiseAND(F.lit(255)).cast("int")
+    return found.withColumn("first", first).select("doc_id", "tie", place.alias("place"), n.alias("n"), "anchor", ((kind == 3) | ~where.eqNullSafe(F.col("first"))).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -217,7 +220,9 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
     repeat both are one document and share its result. Null texts have no words. Other columns are ignored.
     """
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeats = not keyed.groupBy("doc_id").count().where("count > 1").isEmpty()  # reads no texts
+    keyed = keyed.withColumn("tie", F.xxhash64("text") if repeats else F.lit(0).cast("bigint"))
     runs_of = repeated_runs(keyed).groupBy("doc_id", "tie").agg(
         F.collect_list(F.when(F.col("removed"), F.struct("place", "n"))).alias("gone"),
         F.collect_list(F.when(~F.col("removed"), F.struct("place", "n", "anchor"))).alias("open"),
@@ -231,30 +236,31 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
         rows = []
         for text, g, o in zip(texts, gone, open_):
             if not o:
-                rows.append((*_settled(text, g, None)[: 3 + with_text], *([None] * (not with_text)), None, None, None))
+                rows.append((*_settled(text, g, None)[: 3 + with_text], *([None] * (not with_text)), None, None, None, None))
                 continue
-            hashes = word_hashes(text)
-            place = np.concatenate([np.arange(r["place"], r["place"] + r["n"]) for r in o])
-            anchor = np.repeat([r["anchor"] for r in o], [r["n"] for r in o])
-            window = _mix(_spans_hash(hashes, place, place + WINDOW)).view(np.int64)
-            rows.append((None, None, None, None, text, g, np.column_stack([place, anchor, window]).astype("<i8").tobytes()))
-        names = ("n_words", "n_removed", "kept_sha256", "kept", "text", "gone", "windows")
+            place = _places(o)
+            rows.append((None, None, None, None, text, g, o, _mix(_spans_hash(word_hashes(text), place, place + WINDOW)).astype("<u8").tobytes()))
+        names = ("n_words", "n_removed", "kept_sha256", "kept", "text", "gone", "open", "windows")
         return {"doc_id": part.column("doc_id"), "tie": part.column("tie")} | {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
-    state = materialise(map_slices(met, settle, "doc_id bigint, tie bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, text binary, gone array<struct<place:int,n:int>>, windows binary"), "settled")
+    schema = "doc_id bigint, tie bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, text binary, gone array<struct<place:int,n:int>>, open array<struct<place:int,n:int,anchor:bigint>>, windows binary"
+    state = materialise(map_slices(met, settle, schema), "settled")
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
     done = state.where("windows IS NULL").select(columns)
 
     def opened(batches):
         for batch in batches:
-            for ids, tie, blob in zip(batch.column("doc_id"), batch.column("tie"), batch.column("windows").to_pylist()):
-                place, anchor, window = np.frombuffer(blob, "<i8").reshape(-1, 3).T
-                n = len(place)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.as_py()] * n, pa.int64()), pa.array([tie.as_py()] * n, pa.int64()), pa.array(place.astype(np.int32)), pa.array(anchor), pa.array(window)], ["doc_id", "tie", "place", "anchor", "window"])
-
-    open_windows = state.where("windows IS NOT NULL").select("doc_id", "tie", "windows").distinct().mapInArrow(opened, "doc_id bigint, tie bigint, place int, anchor bigint, window bigint")
-    firsts = open_windows.groupBy("window", "anchor").agg(_first("doc_id", "tie", "place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = open_windows.join(firsts, ["window", "anchor"]).where(~F.struct("doc_id", "tie", "place").eqNullSafe(F.col("first"))).groupBy("doc_id", "tie").agg(F.collect_list("place").alias("more"))
+            for ids, tie, o, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "open", "windows"))):
+                place = _places(o).astype(np.int32)
+                anchor = np.repeat([r["anchor"] >> 32 for r in o], [r["n"] for r in o]).astype(np.int32)  # with the window's own hash 96 bits
+                yield pa.RecordBatch.from_arrays([pa.array([ids] * len(place), pa.int64()), pa.array([tie] * len(place), pa.int64()), pa.array(place), pa.array(anchor), pa.array(np.frombuffer(blob, "<i8"))], ["doc_id", "tie", "place", "anchor", "window"])
+
+    blobs = state.where("windows IS NOT NULL").select("doc_id", "tie", "open", "windows")
+    blobs = blobs.dropDuplicates(["doc_id", "tie"]) if repeats else blobs
+    open_windows = blobs.mapInArrow(opened, "doc_id bigint, tie bigint, place int, anchor int, window bigint")
+    where = F.struct("doc_id", "tie", "place")
+    firsts = open_windows.groupBy("window", "anchor").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = open_windows.join(firsts, ["window", "anchor"]).where(~where.eqNullSafe(F.col("first"))).groupBy("doc_id", "tie").agg(F.collect_list("place").alias("more"))
     rest = state.where("windows IS NOT NULL").select("doc_id", "tie", "text", "gone")
     last = rest.join(later, on(rest, later), "left").select(rest["doc_id"], "text", "gone", "more")
 

@@ -39,7 +39,7 @@ END_ID = 0
 #: Bytes of bit streams after which a shard is closed; one longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 _BREAKS = re.compile(r"\s\s|[^\S \n]")
 
