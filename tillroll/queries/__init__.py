@@ -1,4 +1,6 @@
 """Registered queries of the core library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tillroll.queries import receipts, tables
+
+QUERIES: dict = receipts.QUERIES | tables.QUERIES
+ORACLE_SQL: dict[str, str] = receipts.ORACLE_SQL | tables.ORACLE_SQL
