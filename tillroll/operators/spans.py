@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from tillroll.functions import labels as L
 from tillroll.functions import schema as S
 
-DOC = Window.partitionBy("doc_id").orderBy("word_idx")
+
+def in_document():
+    """A document's words in order."""
+    return Window.partitionBy("doc_id").orderBy("word_idx")
 
 
 def _texts(order: str = "word_idx") -> Column:
@@ -21,13 +24,13 @@ def islands(words: DataFrame, label: str, *breaks: str) -> DataFrame:
     """Adds field, island and orphan: runs of one field that B- labels, other fields and the break columns end."""
     field = L.label_field(F.col(label))
     out = words.withColumn("field", field)
-    before = F.lag("field").over(DOC)
+    before = F.lag("field").over(in_document())
     same = before.eqNullSafe(F.col("field"))
     for name in breaks:
-        same = same & F.lag(name).over(DOC).eqNullSafe(F.col(name))
+        same = same & F.lag(name).over(in_document()).eqNullSafe(F.col(name))
     inside = ~F.col(label).startswith("I-")
     out = out.withColumn("starts", (F.col("field") != "O") & (inside | ~same)).withColumn("orphan", F.col(label).startswith("I-") & ~same)
-    return out.withColumn("island", F.sum(F.col("starts").cast("int")).over(DOC)).where("field <> 'O'")
+    return out.withColumn("island", F.sum(F.col("starts").cast("int")).over(in_document())).where("field <> 'O'")
 
 
 def bio_spans(words: DataFrame, label: str = "pred_label", *breaks: str) -> DataFrame:
@@ -57,7 +60,7 @@ def repair_bio(words: DataFrame, label: str = "pred_label", gap: float = 3.0, dr
     Heads of sums and payment stay apart, and prices unless a currency sign or joiner stands before.
     """
     with_field = words.withColumn("field", L.label_field(F.col(label)))
-    lag = lambda c: F.lag(c).over(DOC)
+    lag = lambda c: F.lag(c).over(in_document())
     taller = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"), lag("y1") - lag("y0"))
     near_line = F.coalesce(lag("line_no") == F.col("line_no"), F.abs((lag("y0") + lag("y1")) / 2 - _middle()) <= taller * drift)
     joined = ~F.col("field").isin(*S.PRICE_FIELDS) | F.trim(lag("text")).isin("$", "Y", "EUR", "GBP", "-", ".")
@@ -68,7 +71,7 @@ def repair_bio(words: DataFrame, label: str = "pred_label", gap: float = 3.0, dr
 
 def assign_adjacent(words: DataFrame, field: str = "field") -> DataFrame:
     """Adds label: I if the word before has the same field, stands on the same line and near; else B."""
-    lag = lambda c: F.lag(c).over(DOC)
+    lag = lambda c: F.lag(c).over(in_document())
     taller = F.greatest(F.col("y1") - F.col("y0"), lag("y1") - lag("y0"))
     level = F.abs((lag("y0") + lag("y1")) / 2 - _middle()) <= 0.6 * taller
     goes_on = (lag(field) == F.col(field)) & level & (F.col("x0") - lag("x1") <= 3.0 * taller)
@@ -86,20 +89,20 @@ def assign_by_field(words: DataFrame, field: str = "field") -> DataFrame:
 
 def recompute_bio(words: DataFrame, field: str = "field", row: str = "line_no") -> DataFrame:
     """Adds label: B where the field or the row changes."""
-    same = (F.lag(field).over(DOC) == F.col(field)) & (F.lag(row).over(DOC) == F.col(row))
+    same = (F.lag(field).over(in_document()) == F.col(field)) & (F.lag(row).over(in_document()) == F.col(row))
     return words.withColumn("label", F.when(F.col(field) == "O", "O").when(same, F.concat(F.lit("I-"), F.col(field))).otherwise(F.concat(F.lit("B-"), F.col(field))))
 
 
 def segments(words: DataFrame, key: str) -> DataFrame:
     """Adds segment, counted up where key changes, and position, from 2 on in each segment."""
-    change = ~F.lag(key).over(DOC).eqNullSafe(F.col(key)) & (F.row_number().over(DOC) > 1)
-    out = words.withColumn("segment", F.sum(F.when(change, 1).otherwise(0)).over(DOC))
+    change = ~F.lag(key).over(in_document()).eqNullSafe(F.col(key)) & (F.row_number().over(in_document()) > 1)
+    out = words.withColumn("segment", F.sum(F.when(change, 1).otherwise(0)).over(in_document()))
     return out.withColumn("position", F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("word_idx")) + 1)
 
 
 def chunks(words: DataFrame, size: int = 510) -> DataFrame:
     """Adds chunk and place: consecutive runs of so many words of a document."""
-    k = F.row_number().over(DOC) - 1
+    k = F.row_number().over(in_document()) - 1
     return words.withColumn("k", k).withColumn("chunk", F.floor(F.col("k") / size)).withColumn("place", F.col("k") % size).drop("k")
 
 
@@ -133,9 +136,9 @@ def bio_violations(words: DataFrame, label: str, *same: str) -> DataFrame:
     """Words whose I- label does not follow its own field, within the same of further columns."""
     field = F.regexp_replace(F.col(label), "^[BI]-", "")
     keyed = words.withColumn("_field", field)
-    follows = F.lag("_field").over(DOC).eqNullSafe(F.col("_field"))
+    follows = F.lag("_field").over(in_document()).eqNullSafe(F.col("_field"))
     for name in same:
-        follows = follows & F.lag(name).over(DOC).eqNullSafe(F.col(name))
+        follows = follows & F.lag(name).over(in_document()).eqNullSafe(F.col(name))
     return keyed.withColumn("_bad", F.col(label).startswith("I-") & ~follows).where("_bad").drop("_bad", "_field")
 
 
