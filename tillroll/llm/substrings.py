@@ -4,9 +4,11 @@ All hashes are Rabin-Karp: a window's is the difference of two prefix sums of wo
 
 1. Each window has an anchor, the least hash of the ANCHOR-word windows inside it. Equal windows have equal anchors, so
    a window whose anchor no other place has is unique. Neighbouring windows with one anchor at one place form a run, about seven
-   windows, with a hash of all its words. Anchors are counted in Spark, and runs whose anchor is unique end there. An
-   anchor that a worker meets twice is sent once for counting, so no key has more rows than there are slices.
-2. Among runs of equal anchor and words all but the first are removed; again a slice sends only its first.
+   windows, with a hash of all its words. Anchors are counted in Spark, and runs whose anchor is unique end there. A
+   slice sends one row for an anchor to be counted, so no key has more rows than there are slices.
+2. Among runs of equal anchor and words all but the first are removed; again a slice sends only its first. An anchor
+   whose runs all have the same words is settled by that: equal windows hold it at the same place, so they are at the
+   same place of their runs. Only anchors with runs of different words go on.
 3. The windows of the remaining firsts are counted by their own hash (and the anchor's), and all but the earliest
    place of each are removed. That settles runs that overlap in part.
 4. A document's removed windows merge into maximal intervals of words.
@@ -133,8 +135,9 @@ def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _scan(part: pa.RecordBatch) -> dict | None:
     """Rows of step 1. key: the anchor where it is to be counted, else something that spreads. run: first window, number
-    of windows and kind (0 unique here, 1 a mark that an anchor is met twice here, 2 first here of its words, 3 removed)
-    as one number, and what a kind does not need is null, which keeps the shuffle small."""
+    of windows and kind as one number, and what a kind does not need is null, which keeps the shuffle small. Kinds: 0 an
+    anchor met once here; 4 one met with the same words each time, at the first of them; 1 a mark that an anchor is met
+    with different words here, and 2 the first here of each of these; 3 removed, as a slice has its words earlier."""
     ids, tie = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
     doc, place, n, anchor, content = runs(*document_words(texts_of(part.column("text"))))
     if not len(doc):
@@ -149,13 +152,13 @@ def _scan(part: pa.RecordBatch) -> dict | None:
     other = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     new = other | np.concatenate([[True], content[1:] != content[:-1]])
     group = np.cumsum(other) - 1
-    many = np.bincount(group)[group] > 1
+    many, mixed = np.bincount(group)[group] > 1, np.bincount(group, new)[group] > 1
     # Rows of one document (same id and tie, a repeated row) at one place are one occurrence, never earlier than itself.
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     same = (place == place[lead]) & (ids[doc] == ids[doc[lead]]) & (known[doc] == known[doc[lead]]) & (tie[doc] == tie[doc[lead]])
-    kind = np.where(~many, 0, np.where(new | same, 2, 3))
+    kind = np.where(~new, 3, np.where(mixed, 2, np.where(many, 4, 0)))
     keep = ~(same & ~new)
-    marks = other & many
+    marks = other & mixed
     col = lambda x, extra: np.concatenate([x[keep], extra])
     zero = np.zeros(int(marks.sum()), np.int64)
     of = np.concatenate([doc[keep], doc[marks]])
@@ -163,7 +166,7 @@ def _scan(part: pa.RecordBatch) -> dict | None:
     place, anchor = col(place, zero), np.concatenate([anchor[keep], anchor[marks]]).view(np.int64)
     spread = _mix(ids[of].astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64)).view(np.int64)
     return {
-        "key": np.where(kind < 2, anchor, spread),
+        "key": np.where((kind == 2) | (kind == 3), spread, anchor),
         "anchor": pa.array(anchor, pa.int64(), mask=kind != 2),
         "content": pa.array(col(content.view(np.int64), zero), pa.int64(), mask=(kind == 1) | (kind == 3)),
         "doc_id": pa.array(ids[of], pa.int64(), mask=~known[of]),
@@ -203,14 +206,22 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """Steps 1 and 2 for docs(doc_id, tie, text): runs (doc_id, tie, place, n, anchor) with removed, false for firsts."""
     rows = map_slices(docs, _scan, "key bigint, anchor bigint, content bigint, doc_id bigint, tie bigint, run bigint")
     kind = F.col("run").bitwiseAND(F.lit(15))
-    seen = F.sum(F.when(kind == 1, 2).otherwise(1)).over(Window.partitionBy("key"))
-    found = rows.withColumn("seen", seen).where((kind >= 2) | ((kind == 0) & (F.col("seen") > 1)))
-    # Runs that are removed already are no one's first and go by a key of their own.
-    found = found.select(F.when(kind < 3, F.coalesce("anchor", "key")).alias("anchor"), "content", F.when(kind == 3, F.col("key")).alias("spread"), "doc_id", "tie", "run")
     where = F.struct("doc_id", "tie", F.shiftright("run", 12).alias("place"))
+    # One exchange by key: whether an anchor occurs again, whether with other words, and else which run is its first.
+    of = Window.partitionBy("key")
+    again = F.sum(F.when((kind == 1) | (kind == 4), 2).otherwise(1)).over(of) > 1
+    other = (F.max((kind == 1).cast("int")).over(of) == 1) | (F.min("content").over(of) != F.max("content").over(of))
+    alone = ~F.coalesce(other, F.lit(False))
+    seen = rows.withColumn("again", again).withColumn("alone", alone).withColumn("earliest", F.min(where).over(of))
+    counted = (kind == 0) | (kind == 4)
+    settled = (kind == 3) | (counted & F.col("alone"))
+    found = seen.where((kind == 2) | (kind == 3) | (counted & F.col("again") & (~F.col("alone") | ~where.eqNullSafe(F.col("earliest")))))
+    # Runs that are removed already are no one's first and go by a key of their own.
+    spread = F.when(settled, F.xxhash64("doc_id", "run"))
+    found = found.select(F.when(~settled, F.coalesce("anchor", "key")).alias("anchor"), F.when(~settled, F.col("content")).alias("content"), spread.alias("spread"), "doc_id", "tie", "run")
     first = F.min(where).over(Window.partitionBy("anchor", "content", "spread"))
     place, n = F.shiftright("run", 12).cast("int"), F.shiftright("run", 4).bitwiseAND(F.lit(255)).cast("int")
-    return found.withColumn("first", first).select("doc_id", "tie", place.alias("place"), n.alias("n"), "anchor", ((kind == 3) | ~where.eqNullSafe(F.col("first"))).alias("removed"))
+    return found.withColumn("first", first).select("doc_id", "tie", place.alias("place"), n.alias("n"), "anchor", (F.col("spread").isNotNull() | ~where.eqNullSafe(F.col("first"))).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
