@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillroll.llm import huffman
-from tillroll.llm._common import map_slices, materialise, shared_path, slices
+from tillroll.llm._common import discard, map_slices, materialise, shared_path, slices
 
 MAGIC = b"TRSHARD1"
 _HEAD = struct.Struct("<8s8Q")
@@ -38,8 +38,8 @@ _HEAD = struct.Struct("<8s8Q")
 END_ID = 0
 #: Bytes of bit streams after which a shard is closed; one longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers before it starts afresh, and new ones that go to the library as one text.
+REMEMBERED, TOGETHER = 1_200_000, 2000
 
 _BREAKS = re.compile(r"\s\s|[^\S \n]")
 
@@ -55,7 +55,8 @@ class Encoder:
 
     Its pre-tokenizer always begins a piece at a single space or line feed between two other characters, and pieces
     are encoded alone. So a text whose white space is all of that kind is the concatenation of its words' ids (with
-    their leading space), which are remembered; any other text goes to the library whole.
+    their leading space), which are remembered; any other text goes to the library whole. New words go as lines of one
+    text, whose ids part again at those of the line feeds.
     """
 
     _made: dict[str, Encoder] = {}
@@ -66,6 +67,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
+        #: Type code of the narrowest numbers that hold the ids.
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.line = self.library(["\n"])[0]
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -78,6 +82,19 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, which hold no line feed."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            raw = self.library(["\n".join(some)])[0]
+            cuts = (np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.line, "<u4")[0]) * 4).tolist()
+            if len(self.line) == 4 and len(cuts) == len(some) - 1:
+                out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)])]
+            else:  # not a vocabulary in which a line feed is an id of its own
+                out += self.library(some)
+        return out
+
     def plain(self, text: str) -> bool:
         return not (not text or text[0].isspace() or text[-1].isspace() or "\0" in text or _BREAKS.search(text) or any(s in text for s in self.special))
 
@@ -87,44 +104,60 @@ class Encoder:
         words = [("\0" + t.replace("\n", " \0\n \0")).split(" ") if p else [] for t, p in zip(texts, plain)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*words).difference(self.known))
+        self.known["\0\n"] = self.line
         known = self.known
-        known.update(zip(new, self.library([w[1:] if w[0] == "\0" else " " + w for w in new])))
+        new = list(set().union(*words).difference(known))
+        known.update(zip(new, self.words([w[1:] if w[0] == "\0" else " " + w for w in new])))
         whole = iter(self.library([t for t, p in zip(texts, plain) if not p]))
         return [b"".join(map(known.__getitem__, w)) if p else next(whole) for w, p in zip(words, plain)]
 
 
-def _encoded(part: pa.RecordBatch, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the slice's texts, each with its end id, and how many each has."""
-    end = np.asarray([end_id], "<u4").tobytes()
-    made = [ids + end for ids in Encoder.of(path)([t or "" for t in part.column("text").to_pylist()])]
-    return np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) >> 2
+def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id and ids of every whole text with the end id, as bytes of numbers of the encoder's type code."""
+
+    def encode(part: pa.RecordBatch) -> dict:
+        encoder = Encoder.of(path)
+        made = encoder([t or "" for t in part.column("text").to_pylist()])
+        ends = np.cumsum([len(m) // 4 + 1 for m in made], dtype=np.int64)
+        ids = np.insert(np.frombuffer(b"".join(made), "<u4").astype(encoder.code), ends - np.arange(1, len(ends) + 1), end_id).tobytes()
+        cuts = (ends * array(encoder.code).itemsize).tolist()
+        return {"doc_id": part.column("doc_id"), "ids": [ids[a:b] for a, b in zip([0, *cuts], cuts)]}
+
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id bigint, ids binary")
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs in all documents, end ids included; the driver gets a row for each id of the vocabulary."""
+def _unpacked(part: pa.RecordBatch, code: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the slice's documents, and how many each has."""
+    made = part.column("ids").to_pylist()
+    return np.frombuffer(b"".join(made), code), np.fromiter(map(len, made), np.int64, len(made)) // array(code).itemsize
+
+
+def id_counts(ids: DataFrame, code: str) -> np.ndarray:
+    """How often each id occurs in encode_ids() of all documents; the driver gets a row for each id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(Encoder.of(path).size, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, batch.column("text")):
-                total += np.bincount(_encoded(part, path, end_id)[0], minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for part in slices(batch, batch.column("ids")):
+                found = np.bincount(_unpacked(part, code)[0], minlength=len(total))
+                found[: len(total)] += total
+                total = found
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
+
+    rows = ids.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["id"] + 1 for r in rows], default=1), np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
-def _streams(docs: DataFrame, path: str, end_id: int, book: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(book)
+def _streams(ids: DataFrame, code: str, book: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    shared = ids.sparkSession.sparkContext.broadcast(book)
 
     def encode(part: pa.RecordBatch) -> dict:
         codes, lengths = shared.value
-        ids, sizes = _encoded(part, path, end_id)
+        ids, sizes = _unpacked(part, code)
         stream, starts, offsets, blocks = huffman.encode(ids, sizes, codes, lengths)
         at = np.concatenate([[0], np.cumsum(blocks)])
         n = len(sizes)
@@ -135,7 +168,7 @@ def _streams(docs: DataFrame, path: str, end_id: int, book: tuple[np.ndarray, np
             "offsets": [offsets[at[i] : at[i + 1]].astype("<i8").tobytes() for i in range(n)],
         }
 
-    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id bigint, n_tokens bigint, bits binary, offsets binary")
+    return map_slices(ids, encode, "doc_id bigint, n_tokens bigint, bits binary, offsets binary", text="ids")
 
 
 def _shard(pid: int, number: int, rows: list[tuple], lengths: np.ndarray) -> bytes:
@@ -153,18 +186,18 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     A null id comes first, a null text has the end id alone; rows that repeat an id follow each other, the shorter
     first. Other columns are ignored; an empty table writes no shard. Documents are dealt out by ranges of ids that
-    hold about as many rows each, and an id that repeats is in one range.
+    hold about as many rows each, and an id that repeats is in one range. Texts are encoded once: their ids are written
+    to the shared folder for the counts and then the codes, and deleted at the end.
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
-    counts = id_counts(docs, path, end_id)
-    lengths = huffman.code_lengths(counts)
+    encoded, code = materialise(encode_ids(docs, path, end_id), "ids"), Encoder.of(path).code
+    lengths = huffman.code_lengths(id_counts(encoded, code))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or [] if parts > 1 else []
+    cuts = encoded.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or [] if parts > 1 else []
     cuts = sorted(set(cuts))
     pid = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     pid = F.when(F.col("doc_id").isNull(), 0).otherwise(pid)
-    streams = _streams(docs, path, end_id, (huffman.canonical(lengths), lengths)).withColumn("pid", pid.cast("int"))
+    streams = _streams(encoded, code, (huffman.canonical(lengths), lengths)).withColumn("pid", pid.cast("int"))
     dealt = streams.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", F.asc_nulls_first("doc_id"), "n_tokens", "bits")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +215,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             yield closed()
 
     dealt.mapInArrow(pack, "shard binary").select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
+    discard(encoded)
 
 
 def _read(shard: bytes) -> tuple[tuple, np.ndarray, list, np.ndarray]:
