@@ -96,7 +96,11 @@ class Encoder:
         return out
 
     def plain(self, text: str) -> bool:
-        return not (not text or text[0].isspace() or text[-1].isspace() or "\0" in text or _BREAKS.search(text) or any(s in text for s in self.special))
+        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in self.special):
+            return False
+        if text.replace("\n", "").isprintable():  # no white space but spaces and line feeds
+            return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+        return not ("\0" in text or _BREAKS.search(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [self.plain(t) for t in texts]
