@@ -86,3 +86,71 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("spend").agg(F.sum("n")).first()[0] == 1000
+
+
+# Curation: literals, and rows with nulls, empty texts and repeats.
+from tillroll.operators import curation as C  # noqa: E402
+
+POLICY = "doc_id bigint, word_idx int, line_no int, text string, field string, extra string"
+
+
+def policy(spark, rows):
+    made = C.item_policy(spark.createDataFrame([(*r, "x") for r in rows], POLICY))
+    assert made.columns[-3:] == ["extra", "new_field", "reason"]
+    return {(r["doc_id"], r["word_idx"]): (r["new_field"], r["reason"]) for r in made.collect()}
+
+
+def test_policy_first_pass(spark):
+    names = ["To", "Go", None, "", "12OZ", "$4.50", "2X", "*GST*", "AIRMILES1", "OPENFOOD9", "0456MEAT", "3XCOPERTO", "SKU-1234", "tea"]
+    got = policy(spark, [(1, i, None if i > 1 else 5, t, "ITEM_NAME") for i, t in enumerate(names)])
+    assert [got[1, i][0] for i in range(len(names))] == ["ITEM_OPTION", "ITEM_OPTION", "ITEM_NAME", "ITEM_NAME", "ITEM_OPTION", "ITEM_PRICE", "ITEM_QTY", "ITEM_TAX_FLAG", "PAYMENT_INFO", "ITEM_ETC", "ITEM_CATEGORY", "SERVICE_NAME", "ITEM_CODE", "ITEM_NAME"]
+
+
+def test_policy_rows(spark):
+    row = [("tea", "ITEM_NAME"), ("3.00", "ITEM_PRICE"), ("1.50", "O"), ("88123", None), ("5KG", "O"), ("note", "O")]
+    got = policy(spark, [(1, i, 1, t, f) for i, (t, f) in enumerate(row)] + [(1, 6 + i, 2, t, f) for i, (t, f) in enumerate([*row, ("2X", "O")])])
+    assert [got[1, i][0] for i in range(6)] == ["ITEM_NAME", "ITEM_PRICE", "O", "ITEM_CODE", "ITEM_OPTION", "O"]
+    assert got[1, 8] == ("ITEM_UNIT_PRICE", "price in row with quantity") and got[1, 12][0] == "ITEM_QTY"
+
+
+def test_policy_empty(spark):
+    assert policy(spark, []) == {}
+
+
+def test_relations(spark):
+    held = spark.createDataFrame([(1, 0, "ITEM_NAME", " tea ", 1, 1, 4, 4), (1, 1, "ITEM_PRICE", "3.00", 6, 0, 9, 5), (1, 2, None, None, 0, 0, 1, 1)], "doc_id bigint, word_idx int, field string, text string, x0 int, y0 int, x1 int, y1 int")
+    sides = [("a", "ITEM_NAME", [0, 1], "ITEM_PRICE", [1]), ("b", "ITEM_NAME", [0, 7], "TOTAL_PRICE", [1]), ("c", "ITEM_NAME", None, "O", [1, 2]), ("d", None, [2, 0], "ITEM_PRICE", [1]), ("e", "ITEM_NAME", [], "ITEM_PRICE", [9])]
+    relations = spark.createDataFrame([(1, *s) for s in sides], "doc_id bigint, relation_id string, head_field string, head_words array<int>, tail_field string, tail_words array<int>")
+    repaired = C.repair_relations(relations, held)
+    got = {r["relation_id"]: r for r in repaired.collect()}
+    assert {k: r["kept"] for k, r in got.items()} == {"a": True, "b": False, "c": False, "d": True, "e": False}
+    assert (got["a"]["head_words"], got["a"]["head_text"], got["a"]["tail_x1"]) == ([0], "tea", 9)
+    assert got["b"]["warnings"] == ["head: word out of range", "tail: no word of its field"]
+    assert got["c"]["warnings"] == ["head: no words"] and got["e"]["warnings"] == ["head: no words", "tail: word out of range"]
+    assert got["d"]["head_words"] == [2, 0]
+    links = C.link_words(held, repaired.where("kept"))
+    assert {r["word_idx"]: r["relation_ids"] for r in links.collect()} == {0: ["a", "d"], 1: ["a", "d"], 2: ["d"]}
+
+
+def test_categories(spark):
+    items = ["Iced Latte", "LATTEICED", "ICEDLATTE x", "Tart&Tea", "tartAndTea", "platter", "", None, "Zed"]
+    rules = [("DRINK", 0.8, "iced latte"), ("FOOD", 0.7, "tart & tea"), ("FOOD", 0.7, "latte"), ("X", 0.1, "--")]
+    made = C.categorise(spark.createDataFrame([(i, "kept") for i in items], "item string, category_note string"), "item", rules, {"zed": "HEALTH"})
+    got = [tuple(r)[2:] for r in made.collect()]
+    other = ("OTHER", 0.35, "none")
+    assert got == [("DRINK", 0.8, "iced latte"), other, ("DRINK", 0.8, "iced latte"), ("FOOD", 0.7, "tart & tea"), ("FOOD", 0.7, "tart & tea"), other, ("OTHER", 0.0, "empty"), ("OTHER", 0.0, "empty"), ("HEALTH", 1.0, "override")]
+    with pytest.raises(ValueError):
+        C.categorise(made, "item", rules * 3000)
+
+
+def test_record_errors(spark):
+    box, rows = [0, 0, 5, 5], []
+    rows += [(["a"], [box], [box], ["O"]), ([], [], [], []), (None, None, None, None), (["a", "b"], [box], [box, [0, 0, 5, 1001]], ["O", "B-X"]), (["a", "b"], [box, None], [box, [1, 2]], ["IGNORE", None])]
+    made = C.record_errors(spark.createDataFrame(rows, "words array<string>, boxes array<array<int>>, normalized_boxes array<array<int>>, labels array<string>"), ["O"])
+    assert [r["errors"] for r in made.collect()] == [[], ["no words"], ["no words"], ["unequal lengths", "unknown label at 1", "bad normalised box at 1"], ["unknown label at 1", "bad box at 1", "bad normalised box at 1"]]
+
+
+def test_routes(spark):
+    rows = [(1, "other", 0, None, "ITEM_NAME"), (1, "item", 1, "tax_amount", "ITEM_NAME"), (1, "item", 2, None, "ITEM_NAME"), (1, "payment", 0, None, None), (1, "summary", 0, None, "TOTAL_NAME")]
+    made = C.route_decisions(spark.createDataFrame(rows, "doc_id int, source string, ordinal int, relation_type string, head_field string")).orderBy("relation_id").collect()
+    assert [(r["source"], r["route"], r["edge_id"]) for r in made] == [("item", "summary", None), ("item", "item", "g_000000"), ("summary", "summary", None), ("payment", "payment", None), ("other", "item", "g_000001")]
