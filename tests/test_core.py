@@ -154,3 +154,10 @@ def test_routes(spark):
     rows = [(1, "other", 0, None, "ITEM_NAME"), (1, "item", 1, "tax_amount", "ITEM_NAME"), (1, "item", 2, None, "ITEM_NAME"), (1, "payment", 0, None, None), (1, "summary", 0, None, "TOTAL_NAME")]
     made = C.route_decisions(spark.createDataFrame(rows, "doc_id int, source string, ordinal int, relation_type string, head_field string")).orderBy("relation_id").collect()
     assert [(r["source"], r["route"], r["edge_id"]) for r in made] == [("item", "summary", None), ("item", "item", "g_000000"), ("summary", "summary", None), ("payment", "payment", None), ("other", "item", "g_000001")]
+
+
+def test_audit(spark):
+    held = spark.createDataFrame([(1, "B-ITEM_NAME"), (1, None), (2, "ITEM_PRICE"), (3, "B-ITEM_UNIT_PRICE"), (4, "B-ITEM_NAME"), (4, "I-ITEM_PRICE")], "doc_id int, label string")
+    related = spark.createDataFrame([(1,), (4,), (4,), (9,)], "doc_id int")
+    got = {r["doc_id"]: (r["n_relations"], r["issues"]) for r in C.audit_labels(held, related).collect()}
+    assert got == {1: (1, ["name without price"]), 2: (0, ["price without name", "no relations"]), 3: (0, ["no relations"]), 4: (2, [])}

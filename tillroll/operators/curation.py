@@ -181,3 +181,16 @@ def record_errors(records: DataFrame, labels: list[str]) -> DataFrame:
     errors = [F.when(n["words"] == 0, "no words"), F.when(F.array_max(sizes) != F.array_min(sizes), "unequal lengths")]
     errors += [F.concat(F.lit(f"{what} at "), first(column, bad).cast("string")) for what, column, bad in told]
     return records.withColumn("errors", F.array_compact(F.array(*errors)))
+
+
+def audit_labels(words: DataFrame, relations: DataFrame, label: str = "label") -> DataFrame:
+    """By document of words: how many label an item's name and price, and issues: one without the other, no relations.
+
+    A null label counts as none. Relations are counted before the join, so that each document brings one row.
+    """
+    has = lambda field: F.count_if(F.contains(F.col(label), F.lit(field)))
+    held = words.groupBy("doc_id").agg(has("ITEM_NAME").alias("name_words"), has("ITEM_PRICE").alias("price_words"))
+    related = relations.groupBy("doc_id").agg(F.count("*").alias("n_relations"))
+    n, p = F.col("name_words"), F.col("price_words")
+    issues = [F.when((p > 0) & (n == 0), "price without name"), F.when((n > 0) & (p == 0), "name without price"), F.when(F.col("n_relations") == 0, "no relations")]
+    return held.join(related, "doc_id", "left").withColumn("n_relations", F.coalesce("n_relations", F.lit(0).cast("bigint"))).withColumn("issues", F.array_compact(F.array(*issues)))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillroll.functions import geometry as G
 from tillroll.functions import labels as L
 from tillroll.operators import curation as C
 from tillroll.plans.fixture import LINES_SQL, WORDS_SQL, lines, words
 from tillroll.queries._registry import registry
 from tillroll.session import table
+from tillroll.sources.ocr import parse_box
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +129,38 @@ _RECORDS = """SELECT doc_id, line_no, CASE WHEN doc_id % 10 = 3 THEN {array}() E
 def record_errors(spark, sf_dir):
     made = spark.sql(_RECORDS.format(array="array").replace("array() ", "cast(array() AS array<string>) ") + "{l}", l=lines(spark, sf_dir))
     return C.record_errors(made, ["O", "B-ITEM_NAME"]).select("doc_id", "line_no", F.array_join("errors", ", ").alias("errors"))
+
+
+@query(f"""WITH words AS ({WORDS_SQL}), w AS (SELECT doc_id, CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label FROM words),
+    g AS (SELECT doc_id, count_if(label LIKE '%ITEM_NAME%') AS name_words, count_if(label LIKE '%ITEM_PRICE%') AS price_words FROM w GROUP BY ALL),
+    r AS (SELECT l_orderkey AS doc_id, count(*) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 1 GROUP BY ALL)
+    SELECT doc_id, name_words, price_words, coalesce(k, 0) AS n_relations, concat_ws(', ', CASE WHEN price_words > 0 AND name_words = 0 THEN 'price without name' END, CASE WHEN name_words > 0 AND price_words = 0 THEN 'name without price' END, CASE WHEN k IS NULL THEN 'no relations' END) AS issues FROM g LEFT JOIN r USING (doc_id)""")
+def label_presence_audit(spark, sf_dir):
+    held = words(spark, sf_dir).selectExpr("doc_id", "CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label")
+    related = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").selectExpr("l_orderkey AS doc_id")
+    return C.audit_labels(held, related).withColumn("issues", F.array_join("issues", ", "))
+
+
+#: The same box as named corners, an array of corners, of corner points, and of a corner and a size.
+_SHAPES = """CASE word_idx % 4 WHEN 0 THEN format_string('{"left": %d, "top": %d, "right": %d, "bottom": %d}', x0, y0, x1, y1) WHEN 1 THEN format_string('{"bbox": [%d, %d, %d, %d]}', x0, y0, x1, y1)
+    WHEN 2 THEN format_string('{"quad": [%d, %d, %d, %d, %d, %d, %d, %d]}', x0, y0, x1, y0, x1, y1, x0, y1) ELSE format_string('{"box": [%d, %d, %d, %d]}', x0, y0, x1 - x0, y1 - y0) END"""
+
+
+@query(f"SELECT doc_id, word_idx, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM ({WORDS_SQL})")
+def box_parse_shapes(spark, sf_dir):
+    held = words(spark, sf_dir).withColumn("element", F.parse_json(F.expr(_SHAPES)))
+    return held.withColumn("box", parse_box(F.col("element"))).select("doc_id", "word_idx", *[F.col("box")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query(f"""WITH w AS (SELECT doc_id, word_idx, x0, y0, x1, y1, page_w, page_h, d, radians(d) AS a FROM ({WORDS_SQL}), (VALUES (-5.0::DOUBLE), (5.0::DOUBLE)) AS t(d)),
+    c AS (SELECT *, ceil(round(page_w * abs(cos(a)) + page_h * abs(sin(a)), 9)) AS w, ceil(round(page_w * abs(sin(a)) + page_h * abs(cos(a)), 9)) AS h FROM w),
+    p AS (SELECT doc_id, word_idx, d, unnest([x0, x1, x1, x0]) - page_w / 2 AS u, unnest([y0, y0, y1, y1]) - page_h / 2 AS v, a, w, h FROM c),
+    q AS (SELECT doc_id, word_idx, d, cos(a) * u + sin(a) * v + w / 2 AS x, cos(a) * v - sin(a) * u + h / 2 AS y FROM p)
+    SELECT doc_id, word_idx, d AS degrees, floor(min(x) * 1000 + 0.5)::BIGINT AS x0, floor(min(y) * 1000 + 0.5)::BIGINT AS y0, floor(max(x) * 1000 + 0.5)::BIGINT AS x1, floor(max(y) * 1000 + 0.5)::BIGINT AS y1 FROM q GROUP BY ALL""")
+def rotate_boxes(spark, sf_dir):
+    """Boxes of the words on a turned page, in thousandths of a pixel."""
+    held = words(spark, sf_dir).withColumn("degrees", F.explode(F.array(F.lit(-5.0), F.lit(5.0))))
+    corners = [G.rotate_point(F.col(x), F.col(y), F.col("page_w"), F.col("page_h"), F.col("degrees")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
+    xs, ys = zip(*corners)
+    sides = {"x0": F.least(*xs), "y0": F.least(*ys), "x1": F.greatest(*xs), "y1": F.greatest(*ys)}
+    return held.select("doc_id", "word_idx", "degrees", *[F.floor(c * 1000 + 0.5).cast("bigint").alias(k) for k, c in sides.items()])
