@@ -182,3 +182,7 @@ def same_rows(found, columns, expected):
 @pytest.mark.parametrize("name", ["ocr_token_compare", "ocr_model_summary", "ocr_confusions"])
 def test_recognisers_on_all_lines(spark, name):
     same_rows(QUERIES[name](spark, SF), *whole_rows(name, " WHERE line_no <= 2"))
+
+
+def test_item_policy_texts_on_all_words(spark):
+    same_rows(QUERIES["item_policy_texts"](spark, SF), *whole_rows("item_policy_texts", " WHERE line_no BETWEEN 1 AND 2"))

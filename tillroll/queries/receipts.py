@@ -358,4 +358,4 @@ def ocr_confusions(spark, sf_dir):
 @query(f"""{_WORDS} SELECT text, count(*) AS n, regexp_matches(text, '^-?[0-9]{{1,6}}[.][0-9][0-9]$') AS price, regexp_matches(text, '^[0-9]{{1,3}}X$') AS quantity, regexp_matches(text, '^[0-9]{{4,}}$') AS strong_code FROM words WHERE line_no BETWEEN 1 AND 2 GROUP BY ALL""")
 def item_policy_texts(spark, sf_dir):
     t = F.col("text")
-    return words(spark, sf_dir).where("line_no BETWEEN 1 AND 2").groupBy("text").agg(F.count("*").alias("n")).select("text", "n", X.is_price_like(t).alias("price"), X.is_quantity_like(t).alias("quantity"), X.is_strong_code(t).alias("strong_code"))
+    return words(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n")).select("text", "n", X.is_price_like(t).alias("price"), X.is_quantity_like(t).alias("quantity"), X.is_strong_code(t).alias("strong_code"))
