@@ -29,16 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A group of rows that all lack an id keeps one of them.
     """
     ship(spark)
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    row = docs.select(F.struct("*").alias("row"))
-    held = row.join(stay, F.col("row")["doc_id"].cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    return held.dropDuplicates(["row"]).select("row.*") if _repeats(docs) else held.select("row.*")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id is on more than one row."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return simhash.survivors(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

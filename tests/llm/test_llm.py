@@ -452,3 +452,16 @@ def test_pipeline(spark, docs, local):
             expected.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
             start += len(ids)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == expected
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(None, a, "x", None), (None, a, None, "x"), (3, a, "x", None), (7, a, "y", None), (None, b, "x", None), (None, b, None, "x"), (None, b, None, "x")]
+    rows += [(7, c, "x", None), (7, c, "y", None), (7, c, "y", None), (2, d, None, None), (2, e, None, None), (9, e, None, None)]
+    found = []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, row string").repartition(n)
+        found.append(sorted(map(repr, corpus_pipeline.near_dedup(spark, docs, SF).collect())))
+        kept = corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id", "text").collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (None, b), (7, c), (2, d), (2, e)], key=repr)
+    assert found[0] == found[1]

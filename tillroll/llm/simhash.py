@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm._common import discard, map_slices, materialise, texts_of
@@ -131,6 +131,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
 
 
+def _fingerprinted(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp and further bigint columns of each row, on the shared folder."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        return {"doc_id": part.column("doc_id"), "fp": fingerprints(texts_of(part.column("text"))).view(np.int64)} | {c: part.column(c) for c in more}
+
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return materialise(map_slices(wanted, run, ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *more))), "fingerprints")
+
+
+def _rooted(fps: DataFrame, bucket: int) -> DataFrame:
+    """Adds root, a fingerprint that stands for the component, to a table of distinct fingerprints fp."""
+    roots = connected_components(links(fps.select("fp"), bucket))
+    return fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of all rows reachable over links.
 
@@ -138,14 +154,30 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     doc_id are separate items with that id; a null doc_id stays null and counts for no component's id, so a component of
     only such rows has a null id. Other columns are ignored. An empty table gives no rows.
     """
-
-    def fingerprinted(part: pa.RecordBatch) -> dict:
-        return {"doc_id": part.column("doc_id"), "fp": fingerprints(texts_of(part.column("text"))).view(np.int64)}
-
-    rows = materialise(map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), fingerprinted, "doc_id bigint, fp bigint"), "fingerprints")
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    roots = connected_components(links(ids.select("fp"), bucket))
-    named = ids.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = _fingerprinted(docs)
+    named = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), bucket)
     of_root = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_fp = named.join(of_root, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes of the column row, a struct of all columns of docs; a null counts with its place."""
+    values = [F.col("row").getField(c) for c in docs.columns]
+    hashed = [F.to_json(F.struct(v)) if "map<" in t else v for v, (_, t) in zip(values, docs.dtypes)]
+    return [F.xxhash64(F.lit(k), *[v.isNull() for v in values], *hashed).alias(f"h{k}") for k in (1, 2)]
+
+
+def survivors(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row of each component of near-duplicates: that with the least doc_id, of equal ids the least row hash.
+
+    A null doc_id comes after all others. Rows are told apart by 128 bits of hashes over all their columns, so one with a
+    repeated or null id stays only if it leads its own component. Minima are by fingerprint, then by component.
+    """
+    held = docs.select(F.struct("*").alias("row")).select("row", *_row_hashes(docs))
+    rows = _fingerprinted(held.select("row.doc_id", "row.text", "h1", "h2"), "h1", "h2")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = _rooted(rows.groupBy("fp").agg(F.min(order).alias("first")), bucket).groupBy("root").agg(F.min("first").alias("first"))
+    kept = held.join(first.select("first.h1", "first.h2"), ["h1", "h2"], "left_semi")
+    repeated = not rows.groupBy("h1", "h2").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["h1", "h2"]) if repeated else kept).select("row.*")
