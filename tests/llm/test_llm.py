@@ -465,3 +465,23 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
         kept = corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id", "text").collect()
         assert sorted(map(tuple, kept), key=repr) == sorted([(3, a), (None, b), (7, c), (2, d), (2, e)], key=repr)
     assert found[0] == found[1]
+
+
+ACCOUNTS = [
+    ("IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82WEST12345698765432 2024-01-02", ["GB82WEST12345698765432"]),
+    ("DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 EUR", ["DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]),
+    ("AB12 3456 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82WEST12345698765432é xGB82WEST12345698765432 GB82WEST12345698765432a GB82WEST123456987654321", ["GB82WEST12345698765432"]),
+]
+
+
+@pytest.mark.parametrize("text,expected", ACCOUNTS)
+def test_accounts_before_words(text, expected):
+    assert [text[a:b] for k, a, b, _ in pii.personal_spans(text) if k == "iban"] == expected
+
+
+def test_personal_data_report_has_scores(spark):
+    rows = spark.createDataFrame([(1, "call a@b.c"), (2, "mail a@b.c, GB82WEST12345698765432 BIC"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.personal_data_report(rows).collect()}
+    assert got == {1: ("email:5:10", [0.8]), 2: ("email:5:10,iban:12:34", [0.95, 0.7]), 3: ("", [])}

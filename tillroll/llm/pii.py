@@ -20,7 +20,20 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
+_ENDS = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+
+#: Length of an account by its country code.
+ACCOUNT = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+        "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+        "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 "
+        "YE30"
+    ).split()
+}
 
 #: Words near a span that speak for its kind, and how far to look in code points.
 CONTEXT = {
@@ -90,10 +103,19 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
     for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield m.span()
+        start, most = m.span(1)
+        if start < done:
+            continue
+        length = ACCOUNT.get(text[start : start + 2])
+        ends = [e.end() for e in _ENDS.finditer(text, start, most) if not text[e.end() : e.end() + 1].isalnum() or not text[e.end()].isascii()]
+        for end in reversed(ends):  # without a known length, the longest first
+            account = text[start:end].replace(" ", "")
+            if (len(account) == length if length else 15 <= len(account) <= 34) and mod97(account):
+                done = end
+                yield start, end
+                break
 
 
 _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}
@@ -135,9 +157,9 @@ def sha256(text: str) -> str:
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:
-    """The counts of base kinds, the digest of base spans and all spans as one string, from find_personal_data()."""
+    """The counts of base kinds, the digest of base spans, all spans as one string and their scores, from find_personal_data()."""
     spans = F.col("spans")
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["kind"].isin(*KINDS[:4]))
-    return find_personal_data(docs).select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return find_personal_data(docs).select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), spans["score"].alias("scores"))
