@@ -186,3 +186,24 @@ def test_recognisers_on_all_lines(spark, name):
 
 def test_item_policy_texts_on_all_words(spark):
     same_rows(QUERIES["item_policy_texts"](spark, SF), *whole_rows("item_policy_texts", " WHERE line_no BETWEEN 1 AND 2"))
+
+
+def test_span_pool_mean_of_every_position(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    got = {r["label"]: r for r in QUERIES["span_pool_mean"](spark, SF).collect()}
+    assert set(got) == {r["label"] for r in rows}
+    for label, r in got.items():
+        held = [x["embedding"] for x in rows if x["label"] == label]
+        assert r["n"] == len(held) and r["vector"] == pytest.approx([sum(v) / len(held) for v in zip(*held, strict=True)], abs=1e-6)
+
+
+def test_pool_modes(spark):
+    from tillroll.operators import spans as B
+
+    rows = [("a", 2, [1.0, 2.0]), ("a", 1, [3.0, 4.0, 5.0]), ("a", 3, None), ("a", 4, []), ("b", 1, None), (None, 1, [7.0])]
+    df = spark.createDataFrame(rows, "k string, i int, v array<double>")
+    got = lambda mode: {r["k"]: (r["vector"], r["n"]) for r in B.pool(df, "v", "i", "k", mode=mode).collect()}
+    assert got("mean") == {"a": ([2.0, 3.0, 5.0], 4), "b": (None, 1), None: ([7.0], 1)}
+    assert got("first") == {"a": ([3.0, 4.0, 5.0], 4), "b": (None, 1), None: ([7.0], 1)}
+    with pytest.raises(ValueError):
+        B.pool(df, "v", "i", "k", mode="last")

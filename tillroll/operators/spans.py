@@ -154,3 +154,18 @@ def context_nodes(words: DataFrame, spans: DataFrame, mode: str = "o_only") -> D
             extra = words.join(owned, ["doc_id", "word_idx"], "left_anti")
         nodes = nodes.unionByName(extra.select("doc_id", F.lit("TOKEN").alias("kind"), F.col("word_idx").alias("place"), F.lit("CONTEXT_TOKEN").alias("field"), "text"))
     return nodes.withColumn("node_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("kind", "place")) - 1)
+
+
+def pool(df: DataFrame, vector: str, order: str, *keys: str, mode: str = "mean") -> DataFrame:
+    """By key, one vector for all rows and their number n: the first by order, or the mean of each position.
+
+    A shorter vector counts for the positions that it has, a null or empty one for n only; keys with no other have null.
+    """
+    if mode == "first":
+        return df.groupBy(*keys).agg(F.min_by(vector, order).alias("vector"), F.count("*").alias("n"))
+    if mode != "mean":
+        raise ValueError(f"no such mode of pooling: {mode}")
+    each = df.select(*keys, F.posexplode_outer(vector).alias("place", "value")).groupBy(*keys, "place").agg(F.avg("value").alias("value"), F.count("*").alias("rows"))
+    held = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "value"))))
+    made = each.groupBy(*keys).agg(held.alias("held"), F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, F.col("rows")).otherwise(0)).alias("n"))
+    return made.select(*keys, F.when(F.size("held") > 0, F.col("held.value")).alias("vector"), "n")

@@ -8,6 +8,7 @@ from tillroll.functions import text as X
 from tillroll.operators import analytics as A
 from tillroll.operators import grids as T
 from tillroll.operators import metrics as M
+from tillroll.operators import spans as B
 from tillroll.operators import splits as Z
 from tillroll.plans.fixture import WORDS_SQL, words
 from tillroll.queries._registry import registry
@@ -103,7 +104,13 @@ def export_box_validation(spark, sf_dir):
 
 @query("SELECT label, round(avg(embedding[1]), 6) AS d0, round(avg(embedding[2]), 6) AS d1, count(*) AS n FROM embeddings GROUP BY label")
 def span_pool_mean(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(F.col("embedding")[0]), 6).alias("d0"), F.round(F.avg(F.col("embedding")[1]), 6).alias("d1"), F.count("*").alias("n"))
+    made = B.pool(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label")
+    return made.withColumn("vector", F.transform("vector", lambda v: F.round(v, 6)))
+
+
+@query("SELECT label, arg_min(embedding, vec_id) AS vector, count(*) AS n FROM embeddings GROUP BY label")
+def span_pool_first(spark, sf_dir):
+    return B.pool(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label", mode="first")
 
 
 _CELLS = "SELECT n_regionkey AS table_id, n_nationkey AS cell_id, (k // 3)::INT AS start_row, (k // 3)::INT AS end_row, (k % 3)::INT AS start_col, (k % 3)::INT AS end_col, n_nationkey % 7 = 3 AS blank FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)"
