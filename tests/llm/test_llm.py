@@ -485,3 +485,20 @@ def test_personal_data_report_has_scores(spark):
     rows = spark.createDataFrame([(1, "call a@b.c"), (2, "mail a@b.c, GB82WEST12345698765432 BIC"), (3, None)], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.personal_data_report(rows).collect()}
     assert got == {1: ("email:5:10", [0.8]), 2: ("email:5:10,iban:12:34", [0.95, 0.7]), 3: ("", [])}
+
+
+@pytest.mark.parametrize("words", [decontaminate.AUTOMATON_WORDS, 5])
+def test_items_without_an_id(spark, tmp_path, words):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(15)) for x in "abc")
+    texts = [a, f"{b} and {a}", f"x {c} y", "some short item", "none of them", None, ""]
+    items = [(None, a), (None, "short item"), ("k", b), ("k", a), ("m", None), (None, None), ("n", c)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.string()), "text": pa.array([t for _, t in items], pa.string())}), f"{tmp_path}/benchmark.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64())}), f"{tmp_path}/labels.parquet")
+    expected, columns = duck(ORACLE_SQL["op8_decontaminate"], tmp_path)
+    found = decontaminate.contaminated(decontaminate.find_contamination(table(spark, "documents", tmp_path), table(spark, "benchmark", tmp_path), automaton_words=words))
+    assert sorted(repr(r.asDict()) for r in found.select(*columns).collect()) == expected
+    assert {r["doc_id"] for r in found.where("contaminated").collect()} == {0, 1, 2, 3}

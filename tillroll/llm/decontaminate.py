@@ -43,6 +43,11 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
     return [(int(begins[a]), int(begins[b])) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def ordered(items: set[str | None]) -> list[str | None]:
+    """Items in order, the one without an id last."""
+    return sorted(items, key=lambda item: (item is None, item or ""))
+
+
 class Matcher:
     """Windows of items, ready to find in texts.
 
@@ -52,21 +57,21 @@ class Matcher:
 
     LETTERS = 32
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str | None, bytes]]):
         numbers: dict[bytes, int] = {}
         texts = [(item, [numbers.setdefault(w, len(numbers)) for w in normal_words(text)]) for item, text in items]
         self.width = next(k for k in range(1, 99) if self.LETTERS**k >= len(numbers))
         self.spelled = {w: self._spell(n) for w, n in numbers.items()}
         self.other = chr(1) * self.width
         spelling = list(self.spelled.values())
-        windows: dict[str, tuple[int, set[str]]] = {}
+        windows: dict[str, tuple[int, set[str | None]]] = {}
         for item, ids in texts:
             for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
                 window = ids[k : k + WINDOW]
                 windows.setdefault("".join(spelling[i] for i in window), (len(window), set()))[1].add(item)
         self.automaton = ahocorasick.Automaton()
         for window, (n, of) in windows.items():
-            self.automaton.add_word(window, (n, sorted(of)))
+            self.automaton.add_word(window, (n, ordered(of)))
         self.empty = not windows
         if windows:
             self.automaton.make_automaton()
@@ -78,7 +83,7 @@ class Matcher:
             letters.append(chr(2 + k * self.LETTERS + digit))
         return "".join(letters)
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Maximal intervals (first, end) of words inside occurrences, and the items that occur."""
         spans, items = [], set()
         if self.empty or not words:
@@ -93,9 +98,9 @@ class Matcher:
         return spans, items
 
 
-def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
+def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in parts of bounded size, in order of id; the driver holds one part at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     part, size = [], 0
     for row in items.orderBy("item", "text").toLocalIterator():
         text = row["text"].encode()
@@ -112,8 +117,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: str | None =
     """doc_id, n_words, spans (word intervals inside occurrences of benchmark windows) and items that occur.
 
     A row for each row of docs, repeated rows and null ids included; null texts have no words. A benchmark row with a
-    null id or text is no item; an id on several rows is one item. Windows are WINDOW consecutive words, an item of
-    fewer words is one window. keep carries the whole input row in a column of that name; other columns are ignored.
+    null text is no item; an id on several rows is one item, and so are all rows that lack one: a null in items, last.
+    Windows are WINDOW consecutive words, an item of fewer words is one window. keep carries the whole input row in a column of that name; other columns are ignored.
     """
     spark = docs.sparkSession
     row = [F.struct("*").alias("row")]
@@ -129,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: str | None =
             found = [matcher.find(w) for w in words]
             out["n_words"] = [len(w) for w in words]
             out["spans"] = [merge(old + [{"first": a, "end": b} for a, b in spans]) if old else [{"first": a, "end": b} for a, b in spans] for old, (spans, _) in zip(batch.column("spans").to_pylist(), found)]
-            out["items"] = [sorted({*old, *items}) for old, (_, items) in zip(batch.column("items").to_pylist(), found)]
+            out["items"] = [ordered({*old, *items}) for old, (_, items) in zip(batch.column("items").to_pylist(), found)]
             return out
 
         now = map_slices(now, scan, schema)
@@ -149,7 +154,10 @@ def merge(spans: list[dict]) -> list[dict]:
 
 
 def contaminated(found: DataFrame) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256 and contaminated to what find_contamination() returns."""
+    """Adds n_hit, n_items, items_sha256 and contaminated to what find_contamination() returns.
+
+    The item without an id counts as one of n_items; items_sha256, over the ids that there are, leaves it out.
+    """
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["first"])
     return (
         found.withColumn("n_hit", n_hit)
