@@ -502,3 +502,20 @@ def test_items_without_an_id(spark, tmp_path, words):
     found = decontaminate.contaminated(decontaminate.find_contamination(table(spark, "documents", tmp_path), table(spark, "benchmark", tmp_path), automaton_words=words))
     assert sorted(repr(r.asDict()) for r in found.select(*columns).collect()) == expected
     assert {r["doc_id"] for r in found.where("contaminated").collect()} == {0, 1, 2, 3}
+
+
+def test_clean_words_count_against_a_segment(spark):
+    hashes, n = toxicity.token_hashes([b"ab cd ef"])
+    order = np.argsort(hashes[:2, 0])
+    model = toxicity.Model(hashes[:2, 0][order], np.array([-0.7, 2.0])[order], 1.0, 0.1, np.zeros(4))
+    assert model.tokens(hashes).tolist() == [-0.7 - toxicity.COST, 2.0 - toxicity.COST, -toxicity.COST] and n.tolist() == [3]
+    fitted = toxicity.train(table(spark, "documents", "/root/testdata/sf0.01"), table(spark, "labels", "/root/testdata/sf0.01"))
+    assert (fitted.scores < 0).any() and (fitted.scores > 0).any()
+    assert fitted.scale != 0.1 and fitted.scale > 0
+
+
+def test_scale_of_chance_segments():
+    rng, rate, scale = np.random.default_rng(1), 1.5, 0.03
+    sizes = rng.integers(200, 2000, 20_000)
+    best = -np.log(-np.log(rng.random(len(sizes))) / (scale * sizes)) / rate
+    assert abs(toxicity._scale(rate, sizes, best) / scale - 1) < 0.05

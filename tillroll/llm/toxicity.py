@@ -2,9 +2,11 @@
 
 Features of a word are the word itself and its beginnings, which catch inflected and compound forms. A feature's score
 is its log-odds between toxic and other labelled documents under a Dirichlet prior from the counts of the whole corpus,
-so far as they are sure of it; a word has the best score of its features, less a fixed cost per token. All maximal segments (Ruzzo and Tompa) of
+so far as they are sure of it, of either sign; a word has the best score of its scored features, less a fixed cost per
+token. All maximal segments (Ruzzo and Tompa) of
 a text are found in one linear scan. Extreme-value statistics (Karlin and Altschul) say how many segments of a score a
-clean text of that length holds by chance; a logistic curve over the best segment and the sum of significant ones,
+clean text of that length holds by chance, both constants from the words and best segments of the clean labelled texts;
+a logistic curve over the best segment and the sum of significant ones,
 fitted on the labels, gives the document's score.
 """
 
@@ -117,9 +119,9 @@ class Model:
         if not hasattr(self, "_lookup"):
             self._lookup = Lookup(self.words)
         which, at = self._lookup.find(hashes.ravel())
-        best = np.zeros(len(hashes))
+        best = np.full(len(hashes), -np.inf)
         np.maximum.at(best, which // hashes.shape[1], self.scores[at])
-        return best - COST
+        return np.where(np.isinf(best), 0.0, best) - COST
 
     def evidence(self, scores: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
         """(1, surprise of the best segment, of all significant ones, whether any), and segments with their surprise.
@@ -149,6 +151,30 @@ def _rate(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
+def _scale(rate: float, sizes: np.ndarray, best: np.ndarray) -> float:
+    """The likeliest K if the best segment of a text of n words is over x by chance with 1 - exp(-K n exp(-rate x))."""
+    return len(sizes) / np.sum(sizes * np.exp(-rate * best))
+
+
+def _fit_chance(model: Model, clean: DataFrame) -> None:
+    """The model's rate and scale from the scores of words, and from the best segments, of clean texts."""
+
+    def weigh(part: pa.RecordBatch) -> dict:
+        hashes, n = token_hashes(texts_of(part.column("text")))
+        scores = model.tokens(hashes)
+        texts = [scores[e - k : e] for e, k in zip(np.cumsum(n), n)]
+        best = [max((s for *_, s in maximal_segments(t)), default=0.0) for t in texts]
+        tallies = [np.unique(t, return_counts=True) for t in texts]
+        return {"n": n.tolist(), "best": best, "scores": [[{"score": float(s), "n": int(c)} for s, c in zip(*t)] for t in tallies]}
+
+    seen = materialise(map_slices(clean, weigh, "n bigint, best double, scores array<struct<score:double,n:bigint>>"), "chance").where("n > 0")
+    texts = np.array(sorted(map(tuple, seen.select("n", "best").collect())), float).reshape(-1, 2)
+    if len(texts):
+        tally = np.array(sorted(map(tuple, seen.select(F.explode("scores").alias("s")).groupBy("s.score").agg(F.sum("s.n")).collect())), float)
+        model.rate = _rate(tally[:, 0], tally[:, 1] / tally[:, 1].sum())
+        model.scale = _scale(model.rate, texts[:, 0], texts[:, 1])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
@@ -204,10 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     counts = sample.select("label", "text").mapInArrow(count, "word bigint, docs bigint, clean bigint, toxic bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("docs", "clean", "toxic")])
     counts = materialise(counts, "words")
     sizes = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    # The surest of the features that are likelier in toxic documents; only they can begin a segment.
+    # The surest of the features that are likelier in toxic documents, which alone can begin a segment; then of the others.
     share = (sizes[1] or 0) / max(1, (sizes[0] or 0) + (sizes[1] or 0))
     excess = (F.col("toxic") - share * (F.col("clean") + F.col("toxic"))) / F.sqrt(F.lit(share) * (F.col("clean") + F.col("toxic")) + 1)
-    rows = counts.withColumn("excess", excess).where((F.col("docs") >= LEAST_DOCS) & (F.col("excess") > SURE)).orderBy(F.desc("excess"), "word").limit(MOST_WORDS).collect()
+    rows = counts.withColumn("excess", excess).where((F.col("docs") >= LEAST_DOCS) & (F.abs("excess") > SURE)).orderBy(F.desc(F.col("excess") > 0), F.desc(F.abs("excess")), "word").limit(MOST_WORDS).collect()
     rows.sort(key=lambda r: r["word"] % (1 << 64))
     words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     clean, toxic = (np.array([r[c] for r in rows], float) for c in ("clean", "toxic"))
@@ -218,14 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     odds = lambda n, of: np.log((n + alpha) / (of + whole - n - alpha))
     delta = odds(toxic, sizes[1] or 0) - odds(clean, sizes[0] or 0)
     error = np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    scores = np.maximum(0.0, delta - SURE * error)
-    kept = scores > COST
-    words, scores, corpus, toxic = words[kept], scores[kept], corpus[kept], toxic[kept]
-    # Chance: a clean text draws words as the corpus does, less what toxic documents add by their share of it.
-    background = clean[kept] + alpha[kept]
-    p = background / ((sizes[0] or 0) + whole)
-    rate = _rate(np.append(scores - COST, -COST), np.append(p, max(0.0, 1 - p.sum())))
-    model = Model(words, scores, rate, 0.1, np.zeros(4))
+    scores = np.sign(delta) * np.maximum(0.0, np.abs(delta) - SURE * error)
+    kept = (scores > COST) | (scores < 0)
+    model = Model(words[kept], scores[kept], 1.0, 0.1, np.zeros(4))
+    _fit_chance(model, sample.where("label = 0"))
 
     def weigh(part: pa.RecordBatch) -> dict:
         e = _evidences(model, texts_of(part.column("text")))[0]
