@@ -207,3 +207,11 @@ def test_pool_modes(spark):
     assert got("first") == {"a": ([3.0, 4.0, 5.0], 4), "b": (None, 1), None: ([7.0], 1)}
     with pytest.raises(ValueError):
         B.pool(df, "v", "i", "k", mode="last")
+
+
+def test_models_best_first(spark):
+    from tillroll.operators import metrics as M
+
+    rows = [("a", "12.30", "12,30"), ("b", "12.30", "12.30"), ("b", "tea", "x"), ("c", "12.30", "99999"), ("d", "tea", "tea"), ("e", "12.30", "12.30"), ("e", "tea", "tea")]
+    made = M.summarise_models(M.compare_tokens(spark.createDataFrame(rows, "model string, truth string, found string")))
+    assert [r["model"] for r in made.collect()] == ["e", "b", "a", "c", "d"]

@@ -150,9 +150,15 @@ def compare_tokens(df: DataFrame, truth: str = "truth", found: str = "found") ->
 
 
 def summarise_models(compared: DataFrame) -> DataFrame:
-    """By model, means over all tokens and over numeric ones, best first by rank."""
+    """By model, means over all tokens and over numeric ones.
+
+    The best is first: by exact matches of numeric tokens, their CER, exact matches of all, then name.
+    """
     number = lambda c: F.avg(F.when(F.col("numeric"), c))
-    return compared.groupBy("model").agg(F.count("*").alias("n"), F.avg("cer").alias("cer"), F.avg("char_accuracy").alias("char_accuracy"), F.avg(F.col("exact").cast("double")).alias("exact_rate"), number(F.col("cer")).alias("numeric_cer"), number(F.col("digits_match").cast("double")).alias("digit_rate"))
+    exact = F.col("exact").cast("double")
+    made = compared.groupBy("model").agg(F.count("*").alias("n"), F.avg("cer").alias("cer"), F.avg("char_accuracy").alias("char_accuracy"), F.avg(exact).alias("exact_rate"), number(F.col("cer")).alias("numeric_cer"), number(F.col("digits_match").cast("double")).alias("digit_rate"), number(exact).alias("numeric_exact"))
+    none = lambda c, v: F.coalesce(c, F.lit(v))
+    return made.orderBy(none("numeric_exact", 0.0).desc(), none("numeric_cer", 999.0), none("exact_rate", 0.0).desc(), "model").drop("numeric_exact")
 
 
 def character_confusions(df: DataFrame, truth: str = "truth", found: str = "found") -> DataFrame:
