@@ -519,3 +519,51 @@ def test_scale_of_chance_segments():
     sizes = rng.integers(200, 2000, 20_000)
     best = -np.log(-np.log(rng.random(len(sizes))) / (scale * sizes)) / rate
     assert abs(toxicity._scale(rate, sizes, best) / scale - 1) < 0.05
+
+
+def thue_morse(n):
+    bits = np.array([bin(k).count("1") % 2 for k in range(n)])
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_modulo_two_to_64(spark):
+    x, y = thue_morse(1024)
+    lead = " ".join(f"w{k}" for k in range(19))
+    rows = {1: f"{lead} {x}", 2: f"{lead} {y}", 3: f"{x} {lead}", 4: f"{y} {lead}", 5: f"z {lead} {x} z", 6: f"{y} {x} " * 30, 7: f"{x} {y} " * 30}
+    found = substrings.deduplicate(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(3))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()}
+    assert got == brute_substrings(rows) and got[2][1] == 0 and got[5][1] == 20
+
+
+@pytest.mark.parametrize("together", [1, 50, 1 << 20])
+def test_substrings_with_hot_passages(spark, together):
+    """A passage in a third of all documents, near copies, and a common line shorter than a window, settled in small parts."""
+    r = np.random.default_rng(11)
+    passage, line, base = " ".join(f"p{k}" for k in range(60)), " ".join(f"l{k}" for k in range(15)), [f"b{k}" for k in range(80)]
+    rows = {}
+    for i in range(150):
+        own = [f"o{i}x{k}" for k in range(int(r.integers(0, 25)))]
+        if i % 3 == 0:
+            cut = int(r.integers(0, 30))
+            rows[i] = " ".join([*own, *passage.split()[cut:], *own])
+        elif i % 3 == 1:
+            near = list(base)
+            near[int(r.integers(0, 80))] = f"e{i % 7}"
+            rows[i] = " ".join(near)
+        else:
+            rows[i] = " ".join([*own, line, *own[:3]])
+    order = list(rows.items())
+    r.shuffle(order)
+    found = substrings.deduplicate(spark.createDataFrame([(int(i), t) for i, t in order], "doc_id bigint, text string").repartition(4), together=together)
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found.collect()} == brute_substrings(rows)
+
+
+def test_substrings_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(None, f"{a} x"), (None, f"{a} y"), (3, f"z {a}"), (3, f"z {a}"), (3, f"q {b}"), (4, b), (5, None), (6, ""), (7, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in substrings.deduplicate(docs).collect())
+    first = [k for k in found if k[0] is None and k[2] == 0]
+    assert len(first) == 1 and first[0][3] in (f"{a} x", f"{a} y")
+    other = "y" if first[0][3].endswith("x") else "x"
+    assert found == Counter({first[0]: 1, (None, 31, 30, other): 1, (3, 31, 30, "z"): 2, (3, 31, 0, f"q {b}"): 1, (4, 30, 30, ""): 1, (5, 0, 0, ""): 1, (6, 0, 0, ""): 1, (7, 0, 0, ""): 1})

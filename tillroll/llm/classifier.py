@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm._common import map_slices, texts_of
+from tillroll.llm.hashing import rough_word_hashes
 from tillroll.llm.labelled import held_out, training_sample
-from tillroll.llm.substrings import _word_hashes
 
 PASSAGE = 64
 #: Labelled documents that the model is fitted on, at most.
@@ -48,7 +48,7 @@ N_FEATURES = len(_CLASSES) + 8 + BUCKETS
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and the number of passages of each text, one at least."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    hashes, start = _word_hashes(raw)
+    hashes, start = rough_word_hashes(raw)
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(start, ends, "left"), prepend=0)
     n = np.maximum(1, (counts + PASSAGE - 1) // PASSAGE)

@@ -1,98 +1,73 @@
 """Substring dedup: every window of WINDOW words that occurs earlier too is removed, wherever it is.
 
-All hashes are Rabin-Karp: a window's is the difference of two prefix sums of word hash * BASE**position, modulo 2**64.
+All hashes are Rabin-Karp over words (llm.hashing); Spark counts them by sorting rows with the same hash together.
 
 1. Each window has an anchor, the least hash of the ANCHOR-word windows inside it. Equal windows have equal anchors, so
-   a window whose anchor no other place has is unique. Neighbouring windows with one anchor at one place form a run, about seven
-   windows, with a hash of all its words. Anchors are counted in Spark, and runs whose anchor is unique end there. A
-   slice sends one row for an anchor to be counted, so no key has more rows than there are slices.
-2. Among runs of equal anchor and words all but the first are removed; again a slice sends only its first. An anchor
-   whose runs all have the same words is settled by that: equal windows hold it at the same place, so they are at the
-   same place of their runs. Only anchors with runs of different words go on.
-3. The windows of the remaining firsts are counted by their own hash (and the anchor's), and all but the earliest
-   place of each are removed. That settles runs that overlap in part.
-4. A document's removed windows merge into maximal intervals of words.
-
-Texts move twice at most: once to meet the runs of their documents, and those with windows of step 3 once more.
+   a window whose anchor no other place has is unique. Neighbouring windows with one anchor at one place form a run, about
+   seven windows, with a hash of all its words. A task first settles what its own documents decide, over at most
+   TOGETHER runs at once, and sends one row for an anchor: no key has more rows than that happens, whatever the corpus
+   repeats. Among runs of equal anchor and words all but the first are removed. If all runs of an anchor have the same
+   words, the first is settled by that too: equal windows hold their anchor at the same place. Else it is open.
+2. Texts meet the runs of their documents. Windows of open runs are hashed and sorted in the same way, again one row a
+   task for each, and all but the earliest of equal ones are removed. That settles runs that overlap in part.
+3. A document's removed windows merge into maximal intervals of words.
+
+Texts are moved once, by document: steps 2 and 3 read the same exchange. Equality is decided on the 62-bit hashes of
+words, on 126 bits for runs and 94 for windows; unequal words or windows agree there with a chance of about 2**-55 or
+less for each pair compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tillroll.llm._common import SLICE_BYTES, SPACES, map_slices, materialise, texts_of
+from tillroll.llm._common import SLICE_BYTES, SPACES, map_slices, slices, texts_of
+from tillroll.llm.hashing import BASE, mix, spans_hash, word_hashes
 
 WINDOW, ANCHOR = 20, 8
+#: Runs, or windows of open runs, that a task holds and settles at once; some 100 bytes each.
+TOGETHER = 1 << 20
+#: Rows of one Arrow batch that goes back to Spark.
+_ROWS = 1 << 16
 
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACES)] = True
-#: A random odd number for each byte.
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: What a run is, in the three low bits of its row; above them 30 bits for its windows and 31 for its first word.
+ONCE, MARK, OPEN, REMOVED, SAME = range(5)
 
-_powers: dict[int, np.ndarray] = {}
 
+def packed(place: np.ndarray, n: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return place << 33 | n << 3 | kind
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept and grown as needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have)
-    return have[:n]
 
+def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows, kind."""
+    return run >> 33, run >> 3 & (1 << 30) - 1, run & 7
 
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes of values[start:end], each from two prefix sums."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(_BASE, len(values)), out=sums[1:])
-    return (sums[end] - sums[start]) * _power(_INVERSE, len(values) + 1)[start]
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order."""
+def text_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word of a text, in order."""
     out, at = [], 0
     while at < len(data):  # in pieces that end at white space
         to = min(len(data), at + SLICE_BYTES)
         while to < len(data) and data[to] not in SPACES:
             to += 1
-        out.append(_word_hashes(np.frombuffer(data, np.uint8, to - at, at))[0])
+        out.append(word_hashes(np.frombuffer(data, np.uint8, to - at, at))[0])
         at = to
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and where they begin."""
-    edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
-    start, end = edges[::2], edges[1::2]
-    return _mix(_spans_hash(_BYTE[raw], start, end) + (end - start).astype(np.uint64)), start
-
-
 def document_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts one after another, and the number of words of each."""
     size = sum(map(len, texts)) + len(texts)
     if size > 2 * SLICE_BYTES:
-        each = [word_hashes(t) for t in texts]
+        each = [text_hashes(t) for t in texts]
         return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-    hashes, start = _word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    hashes, start = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
 
@@ -106,7 +81,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty
     at = np.arange(len(hashes) - ANCHOR + 1)
-    least = _mix(_spans_hash(hashes, at, at + ANCHOR))
+    least = mix(spans_hash(hashes, at, at + ANCHOR))
     width, reach = WINDOW - ANCHOR + 1, 1  # least of the next reach values and its place, by doubling
     while reach < width:
         by = min(reach, width - reach)
@@ -129,157 +104,245 @@ def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = np.diff(np.append(new, len(doc)))
     doc, place, anchor = doc[new], place[new], anchor[new]
     start = np.concatenate([[0], np.cumsum(counts)])[doc] + place
-    content = _mix(_spans_hash(hashes, start, start + n + WINDOW - 1) + n.astype(np.uint64))
+    content = mix(spans_hash(hashes, start, start + n + WINDOW - 1) + n.astype(np.uint64))
     return doc, place, n, anchor, content
 
 
-def _scan(part: pa.RecordBatch) -> dict | None:
-    """Rows of step 1. key: the anchor where it is to be counted, else something that spreads. run: first window, number
-    of windows and kind as one number, and what a kind does not need is null, which keeps the shuffle small. Kinds: 0 an
-    anchor met once here; 4 one met with the same words each time, at the first of them; 1 a mark that an anchor is met
-    with different words here, and 2 the first here of each of these; 3 removed, as a slice has its words earlier."""
-    ids, tie = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("tie").to_numpy(zero_copy_only=False)
-    doc, place, n, anchor, content = runs(*document_words(texts_of(part.column("text"))))
-    if not len(doc):
-        return None
-    # Order of documents here as everywhere: id (nulls first), then tie. Arrow gives a float column if an id is null.
-    known = np.array([x.is_valid for x in part.column("doc_id")]) if part.column("doc_id").null_count else np.ones(len(ids), bool)
-    ids = np.where(known, ids, 0).astype(np.int64) if not known.all() else ids.astype(np.int64)
-    rank = np.empty(len(ids), np.int64)
-    rank[np.lexsort((tie, ids, known))] = np.arange(len(ids))
-    order = np.lexsort((place, rank[doc], content, anchor))
-    doc, place, n, anchor, content = doc[order], place[order], n[order], anchor[order], content[order]
-    other = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    new = other | np.concatenate([[True], content[1:] != content[:-1]])
-    group = np.cumsum(other) - 1
-    many, mixed = np.bincount(group)[group] > 1, np.bincount(group, new)[group] > 1
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the one before in any of the columns."""
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]) if len(columns[0]) else np.zeros(0, bool)
+
+
+def _leads(new: np.ndarray) -> np.ndarray:
+    """For each row the last one so far that is new."""
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _key(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """A hash with its two low bits for the kind of row, so that rows of different kinds never meet."""
+    return (hashes & ~np.uint64(3) | np.uint64(kind)).view(np.int64)
+
+
+def _spread(doc: np.ndarray, place: np.ndarray, kind: int) -> np.ndarray:
+    return _key(mix(doc.astype(np.uint64) * np.uint64(BASE) + place.astype(np.uint64)), kind)
+
+
+def intervals(id: np.ndarray, tie: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same windows as maximal intervals of each document: id, tie, place, n."""
+    order = np.lexsort((place, tie, id))
+    id, tie, place, end = id[order], tie[order], place[order], (place + n)[order]
+    if not len(id):
+        return id, tie, place, end
+    document = np.cumsum(_changes(id, tie)).astype(np.int64) << 32  # ends of one document stay below those of the next
+    reach = np.maximum.accumulate(document + end)
+    new = np.concatenate([[True], document[1:] + place[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(id) - 1)
+    return id[new], tie[new], place[new], (reach - document)[last] - place[new]
+
+
+_RUN_ROW = ("key", "content", "id", "tie", "run")
+
+
+def _settle_task(id: np.ndarray, tie: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> list[np.ndarray]:
+    """Rows of step 1 for runs of some documents. Key: the anchor for ONCE (met once here), SAME (met with the same words
+    each time, at the first of them) and MARK (met with different words); anchor and words for OPEN, the first of each of
+    these; something that spreads for REMOVED, as the words are here earlier."""
+    order = np.argsort(anchor, kind="stable")
+    twin = anchor[order][1:] == anchor[order][:-1]
+    many = np.zeros(len(order), bool)
+    many[1:] |= twin
+    many[:-1] |= twin
+    once, some = order[~many], order[many]
+    some = some[np.lexsort((place[some], tie[doc[some]], id[doc[some]], content[some], anchor[some]))]
+    of, at, a, c = doc[some], place[some], anchor[some], content[some]
+    group, new = np.cumsum(_changes(a)) - 1, _changes(a, c)
+    mixed = np.bincount(group, new)[group] > 1 if len(group) else np.zeros(0, bool)
     # Rows of one document (same id and tie, a repeated row) at one place are one occurrence, never earlier than itself.
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = (place == place[lead]) & (ids[doc] == ids[doc[lead]]) & (known[doc] == known[doc[lead]]) & (tie[doc] == tie[doc[lead]])
-    kind = np.where(~new, 3, np.where(mixed, 2, np.where(many, 4, 0)))
-    keep = ~(same & ~new)
-    marks = other & mixed
-    col = lambda x, extra: np.concatenate([x[keep], extra])
-    zero = np.zeros(int(marks.sum()), np.int64)
-    of = np.concatenate([doc[keep], doc[marks]])
-    kind = col(kind, zero + 1)
-    place, anchor = col(place, zero), np.concatenate([anchor[keep], anchor[marks]]).view(np.int64)
-    spread = _mix(ids[of].astype(np.uint64) * np.uint64(_BASE) + place.astype(np.uint64)).view(np.int64)
-    return {
-        "key": np.where((kind == 2) | (kind == 3), spread, anchor),
-        "anchor": pa.array(anchor, pa.int64(), mask=kind != 2),
-        "content": pa.array(col(content.view(np.int64), zero), pa.int64(), mask=(kind == 1) | (kind == 3)),
-        "doc_id": pa.array(ids[of], pa.int64(), mask=~known[of]),
-        "tie": tie[of],
-        "run": place << 12 | col(n, zero) << 4 | kind,
-    }
-
-
-def _places(runs: list[dict]) -> np.ndarray:
+    lead = _leads(new)
+    gone = ~new & ((at != at[lead]) | (id[of] != id[of[lead]]) | (tie[of] != tie[of[lead]]))
+    same, open_ = new & ~mixed, new & mixed
+    marks = a[_changes(a) & mixed]
+    zero = np.zeros(len(marks), np.int64)
+    gone_id, gone_tie, gone_at, gone_n = intervals(id[of[gone]], tie[of[gone]], at[gone], n[some[gone]])
+    parts = [
+        (_key(anchor[once], 0), content[once].view(np.int64), id[doc[once]], tie[doc[once]], packed(place[once], n[once], ONCE)),
+        (_key(a[same], 0), c[same].view(np.int64), id[of[same]], tie[of[same]], packed(at[same], n[some[same]], SAME)),
+        (_key(marks, 0), zero, zero, zero, zero + MARK),
+        (_key(mix(a[open_] + mix(c[open_])), 1), c[open_].view(np.int64), id[of[open_]], tie[of[open_]], packed(at[open_], n[some[open_]], OPEN)),
+        (_spread(gone_id, gone_at, 2), np.zeros(len(gone_id), np.int64), gone_id, gone_tie, packed(gone_at, gone_n, REMOVED)),
+    ]
+    return [np.concatenate(column) for column in zip(*parts)]
+
+
+def _settle_all(key: np.ndarray, content: np.ndarray, id: np.ndarray, tie: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """Rows of whole keys, sorted, to (id, tie, run) of runs that are removed or still open."""
+    place, n, kind = unpacked(run)
+    mark, group, new = kind == MARK, np.cumsum(_changes(key)) - 1, _changes(key, content, kind == MARK)
+    mixed = (np.bincount(group, mark) + (np.bincount(group, new & ~mark) > 1) > 0)[group]
+    lead = _leads(new)
+    later = ~new & ((place != place[lead]) | (id != id[lead]) | (tie != tie[lead])) & ~mark
+    removed = (kind == REMOVED) | later
+    open_ = ~removed & new & ~mark & ((kind == OPEN) | mixed)
+    keep = removed | open_
+    return [id[keep], tie[keep], packed(place, n, np.where(removed, REMOVED, OPEN))[keep]]
+
+
+def _settle_windows(key: np.ndarray, check: np.ndarray, id: np.ndarray, tie: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """Rows of whole keys, sorted, to (id, tie, run) of windows that are removed."""
+    new = _changes(key, check)
+    lead = _leads(new)
+    removed = (key & 3 == 2) | ~new & ((run != run[lead]) | (id != id[lead]) | (tie != tie[lead]))
+    return [id[removed], tie[removed], run[removed]]
+
+
+def _batches(columns: list[np.ndarray], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), _ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + _ROWS]) for c in columns], list(names))
+
+
+def _sorted_keys(df: DataFrame, settle: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """settle() over all rows of df, those with one key together and sorted by all columns; a key has few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last key so far
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left")) if len(columns[0]) else 0
+            if held and cut == 0 and len(columns[0]) and columns[0][0] != held[-1][0][-1]:
+                yield from _batches(settle(*map(np.concatenate, zip(*held))), ("id", "tie", "run"))
+                held = []
+            elif cut:
+                whole = [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns])]
+                held = []
+                yield from _batches(settle(*whole), ("id", "tie", "run"))
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield from _batches(settle(*map(np.concatenate, zip(*held))), ("id", "tie", "run"))
+
+    return df.repartition("key").sortWithinPartitions(*df.columns).mapInArrow(run, "id bigint, tie bigint, run bigint")
+
+
+def _in_task(rows_of: Callable[[pa.RecordBatch], list[np.ndarray] | None], settle: Callable[[list[list[np.ndarray]]], list[np.ndarray]], together: int) -> Callable:
+    """settle() over what rows_of() makes of slices, whenever a task holds so many rows, and at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, batch.column("text")):
+                made = rows_of(part)
+                if made is not None:
+                    held.append(made)
+                    size += len(made[-1])
+                if size >= together:
+                    yield from _batches(settle(held), _RUN_ROW)
+                    held, size = [], 0
+        if held:
+            yield from _batches(settle(held), _RUN_ROW)
+
+    return run
+
+
+def _part_runs(part: pa.RecordBatch) -> list[np.ndarray]:
+    """id and tie of some documents, and their runs."""
+    return [part.column("id").to_numpy(), part.column("tie").to_numpy(), *runs(*document_words(texts_of(part.column("text"))))]
+
+
+def _settle_runs(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return _settle_task(*_joined(held))
+
+
+def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of several slices as one, documents numbered on."""
+    before = np.cumsum([0, *(len(h[0]) for h in held)])
+    columns = list(zip(*held))
+    columns[2] = [doc + at for doc, at in zip(columns[2], before)]
+    return [np.concatenate(c) for c in columns]
+
+
+def _places(run: np.ndarray) -> np.ndarray:
     """The first word of every window of some runs."""
-    return np.concatenate([np.arange(r["place"], r["place"] + r["n"]) for r in runs])
-
-
-def _removed(intervals: list[dict] | None, extra: list[int] | None, n_words: int) -> np.ndarray:
-    """Whether each word is covered by a removed window."""
-    edge = np.zeros(n_words + 1, np.int64)
-    for s in intervals or ():
-        edge[s["place"]] += 1
-        edge[min(n_words, s["place"] + s["n"] + WINDOW - 1)] -= 1
-    for at in extra or ():
-        edge[at] += 1
-        edge[min(n_words, at + WINDOW)] -= 1
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _settled(text: bytes, intervals: list[dict] | None, extra: list[int] | None) -> tuple[int, int, str, bytes]:
-    words = text.split()
-    if intervals or extra:
-        gone = _removed(intervals, extra, len(words))
-        kept = b" ".join(w for w, g in zip(words, gone) if not g)
-        return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
+    place, n, _ = unpacked(run)
+    return np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _open_windows(part: pa.RecordBatch) -> list[np.ndarray] | None:
+    """Key, check, id, tie and first word of every window of the open runs of some documents."""
+    found = [np.asarray(r.values.to_numpy() if r.is_valid else (), np.int64) for r in part.column("runs")]
+    open_ = [r[r & 7 == OPEN] for r in found]
+    some = [k for k, r in enumerate(open_) if len(r)]
+    if not some:
+        return None
+    part = part.take(pa.array(some))
+    hashes, counts = document_words(texts_of(part.column("text")))
+    place = [_places(open_[k]) for k in some]
+    of = np.repeat(np.arange(len(some)), [len(x) for x in place])
+    place = np.concatenate(place)
+    at = (np.cumsum(counts) - counts)[of] + place
+    key = _key(mix(spans_hash(hashes, at, at + WINDOW)), 0)
+    check = (spans_hash(mix(hashes + np.uint64(BASE)), at, at + WINDOW) >> np.uint64(32)).astype(np.int64)
+    return [key, check, part.column("id").to_numpy()[of], part.column("tie").to_numpy()[of], place]
+
+
+def _first_windows(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows of step 2: windows of open runs, the first of equal ones here, and as removed the others."""
+    key, check, id, tie, place = map(np.concatenate, zip(*held))
+    order = np.lexsort((place, tie, id, check, key))
+    key, check, id, tie, place = (c[order] for c in (key, check, id, tie, place))
+    new = _changes(key, check)
+    lead = _leads(new)
+    gone = ~new & ((place != place[lead]) | (id != id[lead]) | (tie != tie[lead]))
+    gone_id, gone_tie, gone_at, gone_n = intervals(id[gone], tie[gone], place[gone], np.ones(int(gone.sum()), np.int64))
+    first = (key[new], check[new], id[new], tie[new], packed(place[new], np.ones(int(new.sum()), np.int64), REMOVED))
+    rest = (_spread(gone_id, gone_at, 2), np.zeros(len(gone_id), np.int64), gone_id, gone_tie, packed(gone_at, gone_n, REMOVED))
+    return [np.concatenate(c) for c in zip(first, rest)]
+
+
+def _by_document(found: DataFrame, name: str, by: list[str]) -> DataFrame:
+    return found.repartition(*by).groupBy(*by).agg(F.collect_list("run").alias(name))
+
+
+def _kept(text: str | None, *found: pa.Scalar) -> tuple[int, int, str, str]:
+    """Words, removed words, and digest and text of those kept, for the removed runs found."""
+    words = (text or "").encode().split()
+    run = np.concatenate([np.asarray(f.values.to_numpy() if f.is_valid else (), np.int64) for f in found])
+    place, n, kind = unpacked(run)
+    place, n = place[kind == REMOVED], n[kind == REMOVED]
+    removed = 0
+    if len(place):
+        edge = np.bincount(place, minlength=len(words) + 1) - np.bincount(place + n + WINDOW - 1, minlength=len(words) + 1)
+        gone = np.cumsum(edge)[:-1] > 0
+        removed = int(gone.sum())
+        words = [w for w, g in zip(words, gone.tolist()) if not g]
     kept = b" ".join(words)
-    return len(words), 0, hashlib.sha256(kept).hexdigest(), kept
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Steps 1 and 2 for docs(doc_id, tie, text): runs (doc_id, tie, place, n, anchor) with removed, false for firsts."""
-    rows = map_slices(docs, _scan, "key bigint, anchor bigint, content bigint, doc_id bigint, tie bigint, run bigint")
-    kind = F.col("run").bitwiseAND(F.lit(15))
-    where = F.struct("doc_id", "tie", F.shiftright("run", 12).alias("place"))
-    # One exchange by key: whether an anchor occurs again, whether with other words, and else which run is its first.
-    of = Window.partitionBy("key")
-    again = F.sum(F.when((kind == 1) | (kind == 4), 2).otherwise(1)).over(of) > 1
-    other = (F.max((kind == 1).cast("int")).over(of) == 1) | (F.min("content").over(of) != F.max("content").over(of))
-    alone = ~F.coalesce(other, F.lit(False))
-    seen = rows.withColumn("again", again).withColumn("alone", alone).withColumn("earliest", F.min(where).over(of))
-    counted = (kind == 0) | (kind == 4)
-    settled = (kind == 3) | (counted & F.col("alone"))
-    found = seen.where((kind == 2) | (kind == 3) | (counted & F.col("again") & (~F.col("alone") | ~where.eqNullSafe(F.col("earliest")))))
-    # Runs that are removed already are no one's first and go by a key of their own.
-    spread = F.when(settled, F.xxhash64("doc_id", "run"))
-    found = found.select(F.when(~settled, F.coalesce("anchor", "key")).alias("anchor"), F.when(~settled, F.col("content")).alias("content"), spread.alias("spread"), "doc_id", "tie", "run")
-    first = F.min(where).over(Window.partitionBy("anchor", "content", "spread"))
-    place, n = F.shiftright("run", 12).cast("int"), F.shiftright("run", 4).bitwiseAND(F.lit(255)).cast("int")
-    return found.withColumn("first", first).select("doc_id", "tie", place.alias("place"), n.alias("n"), "anchor", (F.col("spread").isNotNull() | ~where.eqNullSafe(F.col("first"))).alias("removed"))
-
-
-def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    return len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), kept.decode()
+
+
+def deduplicate(docs: DataFrame, with_text: bool = True, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept, the words that stay, joined by one space.
 
-    A row for each row of docs. Documents come in order of doc_id, nulls first, then by a hash of the text; rows that
-    repeat both are one document and share its result. Null texts have no words. Other columns are ignored.
+    A row for each row of docs. Documents come in order of doc_id, a null one with the least number there is, then by a
+    hash of the text; rows that repeat both are one document and share its result. Null texts have no words. Other
+    columns are ignored. An empty table gives no rows.
     """
-    out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeats = not keyed.groupBy("doc_id").count().where("count > 1").isEmpty()  # reads no texts
-    keyed = keyed.withColumn("tie", F.xxhash64("text") if repeats else F.lit(0).cast("bigint"))
-    runs_of = repeated_runs(keyed).groupBy("doc_id", "tie").agg(
-        F.collect_list(F.when(F.col("removed"), F.struct("place", "n"))).alias("gone"),
-        F.collect_list(F.when(~F.col("removed"), F.struct("place", "n", "anchor"))).alias("open"),
-    )
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"])
-    met = keyed.join(runs_of, on(keyed, runs_of), "left").select(keyed["doc_id"], keyed["tie"], "text", "gone", "open")
-
-    def settle(part: pa.RecordBatch) -> dict:
-        """Documents without open runs are done; others keep their text and give the hashes of their open windows."""
-        texts, gone, open_ = texts_of(part.column("text")), part.column("gone").to_pylist(), part.column("open").to_pylist()
-        rows = []
-        for text, g, o in zip(texts, gone, open_):
-            if not o:
-                rows.append((*_settled(text, g, None)[: 3 + with_text], *([None] * (not with_text)), None, None, None, None))
-                continue
-            place = _places(o)
-            rows.append((None, None, None, None, text, g, o, _mix(_spans_hash(word_hashes(text), place, place + WINDOW)).astype("<u8").tobytes()))
-        names = ("n_words", "n_removed", "kept_sha256", "kept", "text", "gone", "open", "windows")
-        return {"doc_id": part.column("doc_id"), "tie": part.column("tie")} | {n: [r[k] for r in rows] for k, n in enumerate(names)}
-
-    schema = "doc_id bigint, tie bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, text binary, gone array<struct<place:int,n:int>>, open array<struct<place:int,n:int,anchor:bigint>>, windows binary"
-    state = materialise(map_slices(met, settle, schema), "settled")
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    done = state.where("windows IS NULL").select(columns)
-
-    def opened(batches):
-        for batch in batches:
-            for ids, tie, o, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "open", "windows"))):
-                place = _places(o).astype(np.int32)
-                anchor = np.repeat([r["anchor"] >> 32 for r in o], [r["n"] for r in o]).astype(np.int32)  # with the window's own hash 96 bits
-                yield pa.RecordBatch.from_arrays([pa.array([ids] * len(place), pa.int64()), pa.array([tie] * len(place), pa.int64()), pa.array(place), pa.array(anchor), pa.array(np.frombuffer(blob, "<i8"))], ["doc_id", "tie", "place", "anchor", "window"])
-
-    blobs = state.where("windows IS NOT NULL").select("doc_id", "tie", "open", "windows")
-    blobs = blobs.dropDuplicates(["doc_id", "tie"]) if repeats else blobs
-    open_windows = blobs.mapInArrow(opened, "doc_id bigint, tie bigint, place int, anchor int, window bigint")
-    where = F.struct("doc_id", "tie", "place")
-    firsts = open_windows.groupBy("window", "anchor").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = open_windows.join(firsts, ["window", "anchor"]).where(~where.eqNullSafe(F.col("first"))).groupBy("doc_id", "tie").agg(F.collect_list("place").alias("more"))
-    rest = state.where("windows IS NOT NULL").select("doc_id", "tie", "text", "gone")
-    last = rest.join(later, on(rest, later), "left").select(rest["doc_id"], "text", "gone", "more")
+    id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    repeated = not docs.select(id.alias("id")).groupBy("id").count().where("count > 1").isEmpty()  # reads no texts
+    text = F.col("text").cast("string")
+    tie: Column = F.xxhash64(text, F.col("doc_id").isNull()) if repeated else F.lit(0).cast("bigint")
+    keyed = docs.select(id.alias("id"), tie.alias("tie"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    schema = ", ".join(f"{c} bigint" for c in _RUN_ROW)
+    rows = keyed.select("id", "tie", "text").mapInArrow(_in_task(_part_runs, _settle_runs, together), schema)
+    by = ["id", "tie"] if repeated else ["id"]
+    # The whole of met goes into both branches, so that they read the same exchange of texts.
+    met = keyed.join(_by_document(_sorted_keys(rows, _settle_all), "runs", by), by, "left")
+    opened = met.mapInArrow(_in_task(_open_windows, _first_windows, together), schema)
+    last = met.join(_by_document(_sorted_keys(opened, _settle_windows), "more", by), by, "left")
 
     def finish(part: pa.RecordBatch) -> dict:
-        made = [_settled(t, g, m) for t, g, m in zip(texts_of(part.column("text")), part.column("gone").to_pylist(), part.column("more").to_pylist())]
-        return {"doc_id": part.column("doc_id")} | {n: [r[k] for r in made] for k, n in enumerate(("n_words", "n_removed", "kept_sha256", "kept"))}
+        made = [_kept(t, *found) for t, *found in zip(part.column("text").to_pylist(), part.column("runs"), part.column("more"))]
+        return {"doc_id": part.column("doc_id")} | {name: [m[k] for m in made] for k, name in enumerate(columns)}
 
-    return done.unionByName(map_slices(last, finish, out).select(columns))
+    columns = ("n_words", "n_removed", "kept_sha256", "kept")[: 3 + with_text]
+    return map_slices(last, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
 
 
 def substring_report(docs: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm._common import map_slices, materialise, slices, texts_of
 from tillroll.llm.decontaminate import _NORMAL
+from tillroll.llm.hashing import BASE, BYTE, INVERSE, mix, powers
 from tillroll.llm.labelled import held_out, training_sample
-from tillroll.llm.substrings import _BASE, _BYTE, _INVERSE, _mix, _power
 
 #: Labelled documents that the model is fitted on, at most, and features that it scores, at most.
 MOST_LABELLED, MOST_WORDS = 20_000, 20_000
@@ -49,13 +49,13 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(raw != 32, prepend=False, append=False))
     start, end = edges[::2], edges[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    inverse = _power(_INVERSE, len(raw) + 1)[start]
+    np.cumsum(BYTE[raw] * powers(BASE, len(raw)), out=sums[1:])
+    inverse = powers(INVERSE, len(raw) + 1)[start]
     out = np.zeros((len(start), 1 + len(BEGINNINGS)), np.uint64)
-    out[:, 0] = _mix((sums[end] - sums[start]) * inverse)
+    out[:, 0] = mix((sums[end] - sums[start]) * inverse)
     for k, n in enumerate(BEGINNINGS, 1):
         long = end - start > n
-        out[long, k] = _mix((sums[start[long] + n] - sums[start[long]]) * inverse[long] + np.uint64(n))
+        out[long, k] = mix((sums[start[long] + n] - sums[start[long]]) * inverse[long] + np.uint64(n))
     return out, np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]), "left"), prepend=0)
 
 
