@@ -1,5 +1,8 @@
 """Regular expressions of many rules as one minimal deterministic automaton over bytes, run over many lanes at once.
 
+Matches are leftmost and longest. An automaton of the reversed rules, run from the end of a text, accepts where matches
+begin; from there a rule's own automaton finds the end. Both only step through their transition arrays.
+
 The subset of the syntax: literals, escapes, classes, groups, alternation, and the repeats ? * + {m} {m,} {m,n}.
 """
 
@@ -97,9 +100,17 @@ class _Parser:
 
 @dataclass
 class Rule:
+    """A pattern. least: bytes that a match has at least behind the longest match of head at its beginning; one with
+    fewer is dropped, but still takes its place."""
+
     name: str
     pattern: str
     any_case: bool = False
+    head: str = ""
+    least: int = 0
+
+    def tree(self, pattern: str | None = None):
+        return _Parser(self.pattern if pattern is None else pattern, self.any_case).parse()
 
 
 @dataclass
@@ -149,43 +160,65 @@ class _Nfa:
         return end
 
 
+def backwards(tree):
+    """The tree of the same texts, each from its end to its beginning."""
+    kind, *rest = tree
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        return ("rep", backwards(rest[0]), *rest[1:])
+    return (kind, *map(backwards, rest[::-1] if kind == "cat" else rest))
+
+
+#: Lanes that step together, least bytes of one, and bytes of which the states are held at once.
+LANES, LEAST, SEGMENT = 16384, 256, 8 << 20
+#: Lanes that step one by one instead, when so few are left.
+FEW = 24
+
+
 class Automaton:
-    """Finds, in one pass over bytes, where a match of any rule ends.
+    """A minimal deterministic automaton of some rules' trees, the k-th with bit 1 << k.
 
     classes: the class of each byte. next: the transition array, next[state * n_classes + class], states premultiplied
-    by n_classes. accepts: a bit for each rule, by state; accepting states come last. resets: bytes that lead every
-    state to the start, so no match holds one and a text may be cut after it.
+    by n_classes. accepts: the bits of each state; accepting states come last. If it searches, a match may begin at any
+    byte, and a state accepts where one ends; else matches begin where a run does, and dead is the state of no return.
     """
 
-    def __init__(self, rules: list[Rule]):
+    def __init__(self, trees: list[tuple], search: bool = True):
         nfa = _Nfa()
         start = nfa.state()
         ends = {}
-        for k, rule in enumerate(rules):
+        for k, tree in enumerate(trees):
             here = nfa.state()
             nfa.empty[start].append(here)
-            ends[nfa.build(_Parser(rule.pattern, rule.any_case).parse(), here)] = 1 << k
+            ends[nfa.build(tree, here)] = 1 << k
         sets = sorted({s[0] for s in nfa.step if s}, key=sorted)
         member = np.array([[b in s for s in sets] for b in range(256)])
-        _, first, self.classes = np.unique(member, axis=0, return_index=True, return_inverse=True)
-        self.classes = self.classes.ravel().astype(np.int32)
+        _, first, classes = np.unique(member, axis=0, return_index=True, return_inverse=True)
+        self.classes = classes.ravel().astype(np.int32)
         n = self.n_classes = len(first)
+        closures: dict[int, frozenset[int]] = {}
 
-        def closed(states) -> frozenset[int]:
-            seen, todo = set(states), list(states)
-            while todo:
-                for s in nfa.empty[todo.pop()]:
-                    if s not in seen:
-                        seen.add(s)
-                        todo.append(s)
-            return frozenset(s for s in seen if nfa.step[s] or s in ends)
+        def closure(state: int) -> frozenset[int]:
+            if state not in closures:
+                seen, todo = {state}, [state]
+                while todo:
+                    for s in nfa.empty[todo.pop()]:
+                        if s not in seen:
+                            seen.add(s)
+                            todo.append(s)
+                closures[state] = frozenset(s for s in seen if nfa.step[s] or s in ends)
+            return closures[state]
 
-        from_start = closed([start])
+        # What each state of the rules leads to, by class, closed.
+        moves = [[closure(step[1]) if step and int(b) in step[0] else frozenset() for b in first] for step in nfa.step]
+        from_start = closure(start)
         number, order, table = {from_start: 0}, [from_start], []
-        for states in order:  # subset construction; the search may begin anew at every byte
+        anew = from_start if search else frozenset()
+        for states in order:  # subset construction
             row = []
-            for b in first:
-                to = closed([nfa.step[s][1] for s in states if nfa.step[s] and int(b) in nfa.step[s][0]]) | from_start
+            for c in range(n):
+                to = anew.union(*[moves[s][c] for s in states])
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
@@ -200,7 +233,7 @@ class Automaton:
             if finer.max() == block.max():
                 break
             block = finer
-        some = np.array([np.flatnonzero(block == k)[0] for k in range(block.max() + 1)])
+        some = np.unique(block, return_index=True)[1]
         place = np.lexsort((some, accepts[some] != 0))
         rank = np.empty_like(place)
         rank[place] = np.arange(len(place))
@@ -210,34 +243,125 @@ class Automaton:
         self.first_accept = int(np.count_nonzero(self.accepts == 0)) * n
         self.next = (small * n).astype(np.int32).ravel()
         self.n_states = len(place)
-        resets = (small == rank[block[0]]).all(axis=0)
-        self.resets = resets[self.classes]
-        self.resets[128:] = False
+        self.dead = int(rank[block[number[frozenset()]]]) * n if frozenset() in number else -1
 
-    def scan(self, data: bytes, lanes: int = 16384) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which some rule's match ends, and the rules' bits, in no certain order.
+    def positions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending places of bytes at which some rule's match ends, and the rules' bits; for one that searches.
 
-        The bytes are cut into lanes after resetting bytes, and all lanes step together.
+        In time linear in the data, whatever it holds, and in memory for the states of one segment.
         """
-        raw = np.frombuffer(data, np.uint8)
-        kinds = self.classes[raw]
-        stops = np.flatnonzero(self.resets[raw]) + 1
-        wanted = np.arange(0, len(raw), max(256, len(raw) // lanes))
-        cuts = np.unique(np.concatenate([[0], stops[np.minimum(np.searchsorted(stops, wanted), len(stops) - 1)]])) if len(stops) else np.array([0])
-        cuts = cuts[cuts < len(raw)]
-        length = np.diff(np.append(cuts, len(raw)))
-        longest = np.argsort(-length, kind="stable")
-        at, length = cuts[longest].copy(), length[longest]
-        state = np.full(len(at), self.start, np.int32)
-        where, which = [], []
-        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
-        for n in active.tolist():
-            now = at[:n]
-            state = self.next[state[:n] + kinds[now]]
-            if (hit := state >= self.first_accept).any():
-                where.append(now[hit])
-                which.append(self.accepts[state[hit] // self.n_classes])
-            now += 1
-        if not where:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        where, which, state = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], self.start
+        for at in range(0, len(data), SEGMENT):
+            states = self._states(self.classes[data[at : at + SEGMENT]], state)
+            hit = np.flatnonzero(states >= self.first_accept)
+            where.append(hit + at)
+            which.append(self.accepts[states[hit] // self.n_classes])
+            state = int(states[-1])
         return np.concatenate(where), np.concatenate(which)
+
+    def _states(self, kinds: np.ndarray, state: int) -> np.ndarray:
+        """The state after each byte, given the classes and the state before. The bytes are cut into lanes of one length,
+        which step together, all but the first from the start; then those whose lane before ended otherwise go again
+        until they meet the states that they had."""
+        width = max(1, min(LANES, len(kinds) // LEAST))
+        length = -(-len(kinds) // width)
+        steps = np.zeros(width * length, np.int32)
+        steps[: len(kinds)] = kinds
+        steps = np.ascontiguousarray(steps.reshape(width, length).T)
+        out = np.empty((length, width), np.int32)
+        begun = np.full(width, self.start, np.int32)
+        begun[0] = state
+        now = begun.copy()
+        for k in range(length):
+            now = self.next[now + steps[k]]
+            out[k] = now
+        while True:
+            true = np.concatenate([begun[:1], out[-1, :-1]])
+            wrong = np.flatnonzero(true != begun)
+            if len(wrong) <= FEW:
+                break
+            begun[wrong] = true[wrong]
+            lanes, now = wrong, true[wrong]
+            for k in range(length):
+                now = self.next[now + steps[k, lanes]]
+                other = now != out[k, lanes]
+                if not other.all():
+                    lanes, now = lanes[other], now[other]
+                    if not len(lanes):
+                        break
+                out[k, lanes] = now
+        for lane in wrong.tolist():  # one by one, on through the lanes behind
+            now = int(out[-1, lane - 1])
+            while lane < width and now != begun[lane]:
+                begun[lane] = now
+                column, before = steps[:, lane].tolist(), out[:, lane].tolist()
+                for k, kind in enumerate(column):
+                    now = int(self.next[now + kind])
+                    if now == before[k]:
+                        now = before[-1]
+                        break
+                    before[k] = now
+                out[:, lane] = before
+                lane += 1
+        return out.T.ravel()[: len(kinds)]
+
+    def longest(self, data: np.ndarray, at: int) -> int:
+        """The end of the longest match that begins there, or -1; for one that does not search."""
+        end, state, still = -1, self.start, 0
+        while at < len(data):
+            to = int(self.next[state + self.classes[data[at]]])
+            if to == self.dead:
+                break
+            still = still + 1 if to == state else 0
+            state, at = to, at + 1
+            if still >= 64:  # a state that goes on: all bytes that keep it, at once
+                kept = self.next[state + self.classes] == state
+                ahead = kept[data[at : at + 16 * still]]
+                n = len(ahead) if ahead.all() else int(np.argmin(ahead))
+                at, still = at + n, still + n
+            if state >= self.first_accept:
+                end = at
+        return end
+
+
+class Scanner:
+    """All leftmost, longest matches of each rule that do not overlap others of that rule. groups: rules that share an
+    automaton; rules whose repeats count the same bytes need many states together."""
+
+    def __init__(self, groups: list[list[Rule]]):
+        self.rules = [rule for group in groups for rule in group]
+        self.begins = [Automaton([backwards(rule.tree()) for rule in group]) for group in groups]
+        self.whole = [Automaton([rule.tree()], search=False) for rule in self.rules]
+        self.heads = [Automaton([rule.tree(rule.head)], search=False) if rule.head else None for rule in self.rules]
+        for machine in self.begins:
+            if (machine.next.reshape(-1, machine.n_classes)[:, machine.classes[10]] != machine.start).any():
+                raise ValueError("a rule reads line feeds, which part texts")
+
+    def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each text (start, rule, end) of its matches in bytes, in order; no rule may match over a line feed."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        first = 0
+        for machine in self.begins:
+            where, which = machine.positions(data[::-1])
+            where, which = len(data) - 1 - where[::-1], which[::-1]
+            rules = int(machine.accepts.max()).bit_length() if len(where) else 0
+            for k in range(rules):
+                self._rule(first + k, where[which >> k & 1 == 1], data, starts, out)
+            first += int(np.bitwise_or.reduce(machine.accepts)).bit_length()
+        for found in out:
+            found.sort()
+        return out
+
+    def _rule(self, k: int, begins: np.ndarray, data: np.ndarray, starts: np.ndarray, out: list) -> None:
+        rule, whole, head = self.rules[k], self.whole[k], self.heads[k]
+        at = 0
+        while at < len(begins):
+            start = int(begins[at])
+            end = whole.longest(data, start)
+            inside = head.longest(data, start) if head else start
+            if end - inside >= rule.least:
+                of = int(np.searchsorted(starts, start, "right")) - 1
+                out[of].append((start - int(starts[of]), k, end - int(starts[of])))
+            at = int(np.searchsorted(begins, end, "left"))
