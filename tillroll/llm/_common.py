@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,9 +22,13 @@ SPACES = b" \t\n\r\x0b\f"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tillroll.shared.dir", None)
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temporary one if all
+    run on this machine; on a cluster that is an error, as executors would write to disks that others do not see."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("tillroll.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tillroll-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("tillroll.shared.dir", found)
@@ -31,8 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tillroll/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which is deleted when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/tillroll/{name}-{uuid.uuid4().hex}"
+    target, system = _file_system(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,9 +63,8 @@ def discard(df: DataFrame) -> None:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

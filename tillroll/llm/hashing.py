@@ -8,6 +8,8 @@ spans_hash() is for short runs of well mixed 64-bit numbers, where modulo 2**64
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from tillroll.llm._common import SPACES
@@ -24,8 +26,9 @@ SPACE[list(SPACES)] = True
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Coefficient of each byte modulo PRIME: none for white space, so that sums over words may run on to the next word.
 _CODE = np.where(SPACE, 0, np.arange(256) + 1).astype(np.uint64)
-#: Bytes of a word whose products of 40 bits may be summed before they are reduced.
-_UNREDUCED = 1 << 22
+_BYTE_OR_NONE = np.where(SPACE, 0, BYTE).astype(np.uint64)
+#: Bytes whose products of 40 bits may be summed before they are reduced, and bytes that are hashed at once.
+_UNREDUCED, BLOCK = 1 << 22, 1 << 16
 
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -60,19 +63,38 @@ def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that tell the words apart, and where they begin."""
-    start, end = word_edges(raw)
-    if not len(start):
-        return np.zeros(0, np.uint64), start
+def _in_blocks(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """hashes() of the segments that begin at start, for a block of bytes at a time, whose products stay in the cache."""
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(raw), BLOCK)), len(start)))
+    edges = np.append(start, len(raw))
+    return np.concatenate([np.zeros(0, np.uint64), *(hashes(raw[edges[a] : edges[b]], start[a:b] - start[a]) for a, b in zip(cuts, cuts[1:]))])
+
+
+def _two_polynomials(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of what begins at each start and ends with white space or at the next."""
     code, p = _CODE[raw], np.uint64(PRIME)
     halves = []
     for base in BASES:
         terms = code * powers(base, len(raw), PRIME)
-        if (end - start).max() > _UNREDUCED:
+        if len(raw) > _UNREDUCED:  # a block is that long if one word is
             terms %= p
         halves.append(np.add.reduceat(terms, start) % p * powers(pow(base, -1, PRIME), len(raw), PRIME)[start] % p)
-    return mix(halves[0] | halves[1] << np.uint64(31)), start
+    return mix(halves[0] | halves[1] << np.uint64(31))
+
+
+def _one_polynomial(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(_BYTE_OR_NONE[raw] * powers(BASE, len(raw)), start) * powers(INVERSE, len(raw))[start]
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that tell the words apart, and where they begin."""
+    start, _ = word_edges(raw)
+    return _in_blocks(_two_polynomials, raw, start), start
+
+
+def segment_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of segments, which white space or other segments follow: together 126 bits and the length."""
+    return _in_blocks(_two_polynomials, raw, start), mix(_in_blocks(_one_polynomial, raw, start) + (end - start).astype(np.uint64))
 
 
 def rough_word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code in bits: the decoder's table has 2**LIMIT entries, and ids beyond that many get no code.
+#: Longest code in bits of vocabularies that it leaves room for; the decoder's table has 2**LIMIT entries at most then.
 LIMIT = 18
 BLOCK = 256
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def limit_for(n_ids: int) -> int:
+    """The longest code in bits: LIMIT, or more if so many ids need it."""
+    return max(LIMIT, (n_ids - 1).bit_length() + 1)
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code length of each id under the limit by package-merge; 0 for ids that don't occur."""
     ids = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(ids) > 1 << limit:
-        raise ValueError(f"{len(ids)} ids don't fit codes of {limit} bits")
+    limit = limit or limit_for(len(ids))
     if len(ids) < 2:
         lengths[ids] = 1
         return lengths
@@ -52,16 +56,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and code length for each value of the next LIMIT bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Id and code length for each value of the next bits, and how many bits: those of the longest code."""
     ids = np.flatnonzero(lengths)
+    bits = int(lengths.max(initial=1))
     order = ids[np.lexsort((ids, lengths[ids]))]
-    spans = 1 << (LIMIT - lengths[order].astype(np.int64))
-    symbol, length = np.zeros(1 << LIMIT, np.int32), np.ones(1 << LIMIT, np.int64)
+    spans = 1 << (bits - lengths[order].astype(np.int64))
+    symbol, length = np.zeros(1 << bits, np.int32), np.ones(1 << bits, np.int64)
     n = int(spans.sum())
     symbol[:n] = np.repeat(order, spans)
     length[:n] = np.repeat(lengths[order], spans)
-    return symbol, length
+    return symbol, length, bits
 
 
 def encode(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +101,7 @@ def encode(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.nd
 SIDE_BY_SIDE = 4096
 
 
-def decode(stream: bytes, bit: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def decode(stream: bytes, bit: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The ids of blocks that begin at these ascending bits of the stream and hold count (1 to BLOCK) ids each."""
     out = [np.zeros(0, np.int32)]
     for k in range(0, len(bit), SIDE_BY_SIDE):
@@ -107,17 +112,22 @@ def decode(stream: bytes, bit: np.ndarray, count: np.ndarray, table: tuple[np.nd
     return np.concatenate(out)
 
 
-def _decode(octets: np.ndarray, bit: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    symbol, length = table
-    octets = np.concatenate([octets, np.zeros(8, np.uint8)]).astype(np.uint32)
-    window = octets[:-3] << 24 | octets[1:-2] << 16 | octets[2:-1] << 8 | octets[3:]
+def _decode(octets: np.ndarray, bit: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    symbol, length, bits = table
+    wide = np.uint32 if bits <= 25 else np.uint64  # a window holds a code wherever in its first byte that begins
+    size = np.dtype(wide).itemsize
+    octets = np.concatenate([octets, np.zeros(8, np.uint8)]).astype(wide)
+    window = np.zeros(len(octets) - size + 1, wide)
+    for k in range(size):
+        window |= octets[k : k + len(window)] << wide(8 * (size - 1 - k))
+    room, mask = 8 * size - bits, (1 << bits) - 1
     longest_first = np.argsort(-count, kind="stable")
     at, left = bit[longest_first].astype(np.int64), count[longest_first]
     out = np.zeros((int(left.max(initial=0)), len(left)), np.int32)
     active = np.searchsorted(-left, -np.arange(len(out)), "left")  # blocks with more than so many ids
     for k, n in enumerate(active.tolist()):
         now = at[:n]
-        peek = (window[now >> 3] >> (32 - LIMIT - (now & 7)).astype(np.uint32)) & ((1 << LIMIT) - 1)
+        peek = window[now >> 3] >> (room - (now & 7)).astype(wide) & wide(mask)
         out[k, :n] = symbol[peek]
         now += length[peek]
     back = np.empty_like(longest_first)
