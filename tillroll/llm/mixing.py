@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 A document of source s is repeated Poisson(rate_s) times, rate_s = target share * target size / documents of s. The
-count inverts the distribution at a uniform number hashed from the document and a seed, so a rerun, a retried task or
-another partitioning gives the same mix. No task sees a source's documents together.
+count inverts the distribution at a uniform number hashed from the document's id, its text and a seed, so a rerun, a
+retried task or another partitioning gives the same mix. No task sees a source's documents together.
 """
 
 from __future__ import annotations
@@ -56,27 +56,27 @@ def _thresholds(rate: Column) -> Column:
 def poisson_copies(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = SEED) -> DataFrame:
     """row (the input row as a struct), rate and n_copies for each row of docs, those with no copy included.
 
-    Rows that repeat a doc_id and text draw the same number. A null source is a source; a null doc_id or text hashes as
-    a value of its own. An empty table gives no rows.
+    Rows that repeat both doc_id and text draw the same number. A null source is a source; a null doc_id or text hashes
+    as a value of its own. An empty table gives no rows.
     """
     table = rates(docs, weights, size).withColumn("streams", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
     table = table.select(F.col("source").alias("_s"), "rate", "streams", _thresholds(F.col("rate") / F.col("streams")).alias("cdf"))
-    packed = docs.select(F.struct("*").alias("row"))
+    packed = docs.select(F.struct("*").alias("row"), F.md5(F.col("text").cast("binary")).alias("digest"))
     of = lambda name: F.col("row")[name]
-    drawn = lambda k: F.size(F.filter(F.col("cdf"), lambda p: p <= uniform(F.lit(seed), k, of("doc_id"))))
+    drawn = lambda k: F.size(F.filter(F.col("cdf"), lambda p: p <= uniform(F.lit(seed), k, of("doc_id"), F.col("digest"))))
     same = of("source").cast("string").eqNullSafe(F.col("_s"))
     few = table.limit(BROADCAST_SOURCES + 1).collect()
     if len(few) <= BROADCAST_SOURCES:
         joined = packed.join(F.broadcast(docs.sparkSession.createDataFrame(few, table.schema)), same)
     else:  # too many sources to send everywhere: a shuffled join, in which each source has SALTS keys
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = packed.withColumn("salt", F.pmod(F.xxhash64(of("doc_id")), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("_salt")))
+        joined = packed.withColumn("salt", F.pmod(F.xxhash64(of("doc_id"), F.col("digest")), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("_salt")))
     copies = F.aggregate(F.sequence(F.lit(0), F.col("streams") - 1), F.lit(0), lambda acc, k: acc + drawn(k))
     return joined.select("row", "rate", copies.alias("n_copies"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mix: the columns of docs, each row as often as drawn, in a global order by hash over all partitions."""
+    """The mix: the columns of docs, each row as often as drawn, dealt to partitions at random by hash and shuffled inside each."""
     copies = poisson_copies(docs, weights, size, seed).where("n_copies > 0")
     dealt = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     key = F.xxhash64(F.lit(seed), F.col("row")["doc_id"], F.col("row")["text"], F.col("copy"))

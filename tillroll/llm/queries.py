@@ -66,7 +66,7 @@ ORACLE_SQL = {
             UNION ALL
             SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM chance WHERE k < {mixing.TERMS - 1}
         ), drawn AS (
-            SELECT d.*, s.stream, ('0x' || substr(md5('{mixing.SEED}:' || s.stream || ':' || coalesce(doc_id::VARCHAR, '~')), 1, 13))::BIGINT / {float(1 << 52)} AS u
+            SELECT d.*, s.stream, ('0x' || substr(md5('{mixing.SEED}:' || s.stream || ':' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(md5(text), '~')), 1, 13))::BIGINT / {float(1 << 52)} AS u
             FROM documents d JOIN (SELECT source, unnest(generate_series(0, streams - 1)) AS stream FROM split) s ON d.source IS NOT DISTINCT FROM s.source
         ), copies AS (
             SELECT doc_id, text, lang, d.source, n_chars, count_if(c.cdf <= u)::BIGINT AS n
