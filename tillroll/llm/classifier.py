@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm._common import map_slices, texts_of
-from tillroll.llm.hashing import rough_word_hashes
+from tillroll.llm._common import discard, map_slices, materialise, texts_of
+from tillroll.llm.hashing import rough_word_hashes, word_edges
 from tillroll.llm.labelled import held_out, training_sample
 
 PASSAGE = 64
-#: Labelled documents that the model is fitted on, at most.
-MOST_LABELLED = 8000
+#: Labelled documents that the model is fitted on, at most, and their passages, at most: some 100 MB in the driver.
+MOST_LABELLED, MOST_PASSAGES = 8000, 400_000
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.7
 HIDDEN, GATE, STEPS, BATCH, RATE = 16, 8, 1200, 256, 0.01
@@ -49,6 +49,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and the number of passages of each text, one at least."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     hashes, start = rough_word_hashes(raw)
+    length = word_edges(raw)[1] - start + 1  # with the space behind
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(start, ends, "left"), prepend=0)
     n = np.maximum(1, (counts + PASSAGE - 1) // PASSAGE)
@@ -82,12 +83,13 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x[:, k + 4] = 4 * np.bincount(owner, again, len(doc)) / some
     pairs = hashes.copy()
     pairs[:-1] = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    last = (np.cumsum(counts) - 1)[counts > 0]
+    pairs[last] = hashes[last]  # no word of its text follows
     text = doc[owner]
     order = np.lexsort((pairs, text))
     again[:] = False
     again[order[1:]] = (pairs[order[1:]] == pairs[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
     x[:, k + 5] = 4 * np.bincount(owner, again, len(doc)) / some
-    length = np.diff(edges)
     mean = np.bincount(owner, length, len(doc)) / some
     x[:, k + 6] = np.sqrt(np.maximum(0, np.bincount(owner, length.astype(float) ** 2, len(doc)) / some - mean**2)) / 4
     x[:, k + 7] = words == 0
@@ -159,16 +161,28 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Attention:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, fold: int = FOLD, most: int = MOST_LABELLED) -> Attention:
-    """Fit the model on at most so many labelled documents; executors encode them, the driver gets the codes."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, fold: int = FOLD, most: int = MOST_LABELLED, most_passages: int = MOST_PASSAGES) -> Attention:
+    """Fit the model on a bounded sample of labelled documents; executors encode them, the driver gets the codes.
+
+    The sample is at most so many documents, in order of a hash of their ids, and of these, in that order, each that still
+    fits into so many passages; a document with more of them than that teaches nothing.
+    """
     sample = training_sample(docs, labels, label, folds, fold, most)
 
     def encode(part: pa.RecordBatch) -> dict:
         x, n = passages(texts_of(part.column("text")))
         ends = np.cumsum(n)
-        return {"doc_id": part.column("doc_id"), "label": part.column("label"), "x": [x[e - k : e].astype("<f4").tobytes() for e, k in zip(ends, n)]}
-
-    rows = sorted(map_slices(sample, encode, "doc_id bigint, label int, x binary").collect())
+        return {"doc_id": part.column("doc_id"), "label": part.column("label"), "n": n, "x": [x[e - k : e].astype("<f4").tobytes() for e, k in zip(ends, n)]}
+
+    coded = materialise(map_slices(sample, encode, "doc_id bigint, label int, n bigint, x binary"), "passages")
+    size, taken = 0, []
+    for row in coded.select(F.xxhash64("doc_id", "x").alias("h"), "n").orderBy(F.xxhash64("doc_id"), "doc_id", "h").collect():
+        if size + row["n"] <= most_passages:
+            size += row["n"]
+            taken.append(row["h"])
+    chosen = docs.sparkSession.createDataFrame([(h,) for h in taken], "h bigint")
+    rows = sorted(coded.withColumn("h", F.xxhash64("doc_id", "x")).join(F.broadcast(chosen), "h", "left_semi").select("doc_id", "label", "x").collect())
+    discard(coded)
     return fit([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in rows], np.array([r["label"] for r in rows], float))
 
 
