@@ -175,6 +175,14 @@ def test_mix_reaches_its_weights(spark):
     assert sorted(mixing.mix(docs).select("doc_id").collect()) == sorted(mixing.mix(docs.repartition(7)).select("doc_id").collect())
 
 
+def test_mix_draws_by_id_and_text(spark):
+    """Documents without an id, or with the same one, draw each their own number."""
+    docs = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).cast("bigint").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"))
+    for id in ("doc_id IS NULL", "doc_id = 7"):
+        drawn = Counter(r["n_copies"] for r in mixing.poisson_copies(docs.where(id)).collect())
+        assert all(abs(drawn[k] - 1000 * p) < 100 for k, p in ((0, 0.368), (1, 0.368), (2, 0.184)))
+
+
 def test_mix_with_many_sources(spark, monkeypatch):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % 50).cast("string").alias("source"))
     few = sorted(r["doc_id"] for r in mixing.mix(docs).collect())
@@ -316,6 +324,42 @@ def test_maximal_segments():
         assert [s[:2] for s in toxicity.maximal_segments(x)] == brute(x, 0, len(x))
 
 
+def brute_attention(model, x):
+    """The score of one bag of passages, passage by passage."""
+    a = model.arrays
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    codes = [np.tanh(((p - a["mean"]) / a["spread"]) @ a["E"] + a["e"]) for p in x]
+    weights = np.array([np.exp(sum(w * np.tanh(h @ v) * sigmoid(h @ u) for w, v, u in zip(a["w"], a["V"].T, a["U"].T))) for h in codes])
+    return sigmoid(sum(w * h for w, h in zip(weights / weights.sum(), codes)) @ a["c"] + a["b"][0])
+
+
+def test_quality_scores_by_brute_force(spark, docs, local):
+    labels = table(spark, "labels")
+    model = classifier.train(docs, labels)
+    got = {r["doc_id"]: r for r in classifier.quality_scores(docs, labels).collect()}
+    for i, text in local.items():
+        x, n = classifier.passages([text.encode()])
+        assert n[0] == max(1, -(-len(words_of(text)) // classifier.PASSAGE))
+        expected = brute_attention(model, x.astype(float))
+        assert got[i]["score"] == pytest.approx(expected, abs=1e-9) and got[i]["predicted"] == (expected >= 0.7)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_quality_sample_is_bounded(spark):
+    texts = {k: " ".join(f"w{j}" for j in range(64 * n)) for k, n in enumerate((5, 1, 30, 2, 1, 1, 4, 3))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id bigint, quality int")
+    seen = []
+    fit = classifier.fit
+    try:
+        classifier.fit = lambda bags, y: seen.append(sum(map(len, bags))) or fit(bags, y)
+        classifier.train(docs, labels, folds=99, fold=98, most_passages=12)
+        classifier.train(docs, labels, folds=99, fold=98)
+    finally:
+        classifier.fit = fit
+    assert 8 <= seen[0] <= 12 and seen[1] == 47
+
+
 def test_attention_gradients():
     r = np.random.default_rng(4)
     n = np.array([1, 3, 2])
@@ -376,6 +420,37 @@ def test_decontamination_in_parts(spark, docs):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, parts.collect()))
 
 
+def test_contamination_by_brute_force():
+    """Items and texts over few words, so that runs repeat within and between items."""
+    r = np.random.default_rng(10)
+    for trial in range(60):
+        vocabulary = [f"w{k}" for k in range(int(r.integers(2, 30)))]
+        items = [(str(k), " ".join(r.choice(vocabulary, int(r.integers(0, 45))))) for k in range(12)]
+        items += [("twice", items[0][1]), ("twice", items[1][1])]
+        matcher = decontaminate.Matcher([(i, t.encode()) for i, t in items])
+        for _ in range(12):
+            text = " ".join(r.choice([*vocabulary, "x"], int(r.integers(0, 20))))
+            for _ in range(int(r.integers(0, 3))):
+                words = items[int(r.integers(0, 12))][1].split()
+                a, b = sorted(r.integers(0, len(words) + 1, 2))
+                text += " " + " ".join(words[a:b]) + " " + str(r.choice(vocabulary))
+            spans, ids = matcher.find(decontaminate.normal_words(text.encode()))
+            n, hit, expected, _ = brute_contamination(text, items)
+            assert sum(b - a for a, b in spans) == hit and ids == expected
+
+
+def test_one_automaton_for_a_large_benchmark():
+    """A million words of items: one automaton, and about as many letters as the words have."""
+    r = np.random.default_rng(14)
+    items = [(str(k), b" ".join(b"w%d" % x for x in r.integers(0, 400_000, 100))) for k in range(10_000)]
+    assert decontaminate.AUTOMATON_WORDS >= 1_000_000
+    matcher = decontaminate.Matcher(items)
+    assert matcher.automaton.get_stats()["nodes_count"] <= 1_000_000 * matcher.width + 1
+    words = items[77][1].split()
+    assert matcher.find([b"x", *words[20:50], b"w1", b"x"]) == ([(1, 31)], {"77"})
+    assert matcher.find(words[20:32]) == ([], set())
+
+
 def test_contaminated_words_map_to_the_text():
     text = "Ça va? The QUICK-brown ①fox"
     assert [re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]).encode() for a, b in decontaminate.word_offsets(text)] == decontaminate.normal_words(text.encode())
@@ -485,13 +560,149 @@ REPORTS = {
 }
 
 
-@pytest.mark.parametrize("n", REPORTS)
+def words_of(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+
+
+def expected_1(rows, spark):
+    fps = [brute_fingerprint(r["text"] or "") for r in rows]
+    groups = brute_components(dict(enumerate(fps)))
+    least = {}
+    for k, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            least[groups[k]] = min(r["doc_id"], least.get(groups[k], r["doc_id"]))
+    return [(r["doc_id"], f"{fps[k]:016x}", least.get(groups[k])) for k, r in enumerate(rows)]
+
+
+def expected_2(rows, spark):
+    out = []
+    for r in rows:
+        base = brute_personal(r["text"] or "")
+        out.append((r["doc_id"], *[sum(s.startswith(k) for s in base) for k in pii.KINDS[:4]], hashlib.sha256(",".join(base).encode()).hexdigest()))
+    return out
+
+
+def expected_3(rows, spark):
+    sizes = Counter(r["source"] for r in rows)
+    whole, out = sum(n**mixing.TEMPER for n in sizes.values()), []
+    for r in rows:
+        n = sizes[r["source"]]
+        rate = len(rows) * n**mixing.TEMPER / whole / n
+        out += [tuple(r)] * brute_copies(r["doc_id"], r["text"], rate)
+    return out
+
+
+def brute_copies(id, text, rate):
+    """Poisson inversion for a rate of one stream."""
+    assert rate <= mixing.STEP
+    digest = "~" if text is None else hashlib.md5(text.encode()).hexdigest()
+    u = int(hashlib.md5(f"{mixing.SEED}:0:{'~' if id is None else id}:{digest}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    p, copies, cdf = np.exp(-rate), 0, np.exp(-rate)
+    while cdf <= u:
+        copies, p = copies + 1, p * rate / (copies + 1)
+        cdf += p
+    return copies
+
+
+def expected_4(rows, spark):
+    out = []
+    for r in rows:
+        text, words = r["text"] or "", [w.decode() for w in words_of(r["text"])]
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        at = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        times = Counter(at)
+        repeat = len({k + j for k, w in enumerate(at) if times[w] > 1 for j in range(5)})
+        base = len(words) < 10 or 100 * repeat > 20 * len(words)
+        out.append((r["doc_id"], len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeat, base))
+    return out
+
+
+def expected_7(rows, spark):
+    df = spark.createDataFrame([(k, r["doc_id"], r["text"]) for k, r in enumerate(rows)], "k int, doc_id bigint, text string")
+    tie = {r["k"]: r["t"] for r in df.select("k", F.xxhash64("text", F.col("doc_id").isNull()).alias("t")).collect()}
+    key = lambda k: (-(1 << 63) if rows[k]["doc_id"] is None else rows[k]["doc_id"], tie[k])
+    texts = {key(k): r["text"] or "" for k, r in enumerate(rows)}
+    found = brute_substrings(texts)
+    return [(r["doc_id"], *found[key(k)]) for k, r in enumerate(rows)]
+
+
+def brute_contamination(text, items):
+    """n_words, n_hit, the items and whether it is contaminated; items(id, text), ids as text."""
+    normal = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    words, hit, ids = normal(text), set(), set()
+    for item, of in items:
+        of = normal(of)
+        n = min(13, len(of))
+        wanted = {tuple(of[k : k + n]) for k in range(len(of) - n + 1)} if n else set()
+        at = [k for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in wanted] if n else []
+        hit.update(k + j for k in at for j in range(n))
+        ids.update([item] if at else [])
+    return len(words), len(hit), ids, bool(hit) and 20 * len(hit) >= len(words)
+
+
+def expected_8(rows, spark):
+    items = [(str(r["item_id"]), r["text"]) for r in table(spark, "benchmark").collect()]
+    out = []
+    for r in rows:
+        n, hit, ids, bad = brute_contamination(r["text"], items)
+        out.append((r["doc_id"], n, hit, len(ids), decontaminate.items_digest(list(ids)), bad))
+    return out
+
+
+def expected_10(rows, spark):
+    out = []
+    for r in rows:
+        base = brute_secrets(r["text"] or "")
+        out.append((r["doc_id"], *[sum(s.startswith(k) for s in base) for k in secrets.BASE], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(brute_all_secrets(r["text"] or ""))))
+    return out
+
+
+COLUMNS = {
+    1: ["doc_id", "fingerprint", "component_id"],
+    2: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"],
+    3: SCHEMA.replace("`", "").replace(" bigint", "").replace(" string", "").replace(" int", "").split(", "),
+    4: ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"],
+    7: ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    8: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    10: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+}
+
+
+@pytest.mark.parametrize("n", COLUMNS)
 def test_odd_rows(spark, odd, nothing, n):
-    made = REPORTS[n](odd, spark)
-    rows = made.collect()
-    if n != 3:
-        assert len(rows) == odd.count()
-        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect())
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns: the values by brute force."""
+    found = Counter(tuple(r[c] for c in COLUMNS[n]) for r in REPORTS[n](odd, spark).collect())
+    assert found == Counter(globals()[f"expected_{n}"](odd.collect(), spark))
+    assert REPORTS[n](nothing, spark).collect() == []
+
+
+def test_odd_rows_as_tokens(spark, odd, nothing):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    wanted = {}
+    for r in odd.collect():
+        ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        wanted.setdefault(-1 if r["doc_id"] is None else r["doc_id"], Counter())[(len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))] += 1
+    rows, start = tokens.token_report(odd).collect(), 0
+    for id in sorted(wanted):
+        some = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows if r["doc_id"] == (None if id < 0 else id))
+        assert Counter((n, crc) for _, n, crc in some) == wanted[id]
+        for at, n, _ in some:
+            assert at == start
+            start += n
+    assert len(rows) == odd.count() and tokens.token_report(nothing).collect() == []
+
+
+@pytest.mark.parametrize("n", [6, 9])
+def test_odd_rows_have_scores(spark, odd, nothing, n):
+    """Equal texts have equal scores, a null text that of an empty one; ids and other columns have no part."""
+    rows = REPORTS[n](odd, spark).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    alone = REPORTS[n](spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, ""])], "doc_id bigint, text string"), spark).collect()
+    score = {([*ODD, ""][r["doc_id"]] or ""): r["score"] for r in alone}
+    assert len({(([*ODD, ""][r["doc_id"]] or ""), r["score"]) for r in alone}) == len(score)
     assert REPORTS[n](nothing, spark).collect() == []
 
 
@@ -520,10 +731,7 @@ def test_pipeline(spark, docs, local):
     for i in sorted(kept):
         n = sizes[source[i]]
         rate = len(kept) * n**mixing.TEMPER / whole / n
-        u, p, copies, cdf = int(hashlib.md5(f"{mixing.SEED}:0:{i}".encode()).hexdigest()[:13], 16) / (1 << 52), np.exp(-rate), 0, np.exp(-rate)
-        while cdf <= u:
-            copies, p = copies + 1, p * rate / (copies + 1)
-            cdf += p
+        copies = brute_copies(i, kept[i], rate)
         ids = [*plain.encode(kept[i], add_special_tokens=False).ids, 0]
         for _ in range(copies):
             expected.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
@@ -581,14 +789,96 @@ def test_items_without_an_id(spark, tmp_path, words):
     assert {r["doc_id"] for r in found.where("contaminated").collect()} == {0, 1, 2, 3}
 
 
-def test_clean_words_count_against_a_segment(spark):
-    hashes, n = toxicity.token_hashes([b"ab cd ef"])
-    order = np.argsort(hashes[:2, 0])
-    model = toxicity.Model(hashes[:2, 0][order], np.array([-0.7, 2.0])[order], 1.0, 0.1, np.zeros(4))
-    assert model.tokens(hashes).tolist() == [-0.7 - toxicity.COST, 2.0 - toxicity.COST, -toxicity.COST] and n.tolist() == [3]
-    fitted = toxicity.train(table(spark, "documents", "/root/testdata/sf0.01"), table(spark, "labels", "/root/testdata/sf0.01"))
-    assert (fitted.scores < 0).any() and (fitted.scores > 0).any()
-    assert fitted.scale != 0.1 and fitted.scale > 0
+def brute_features(word):
+    return [word[:n] + b"*" for n in toxicity.BEGINNINGS if len(word) > n] + [word]
+
+
+def brute_best(x):
+    best = now = 0.0
+    for v in x:
+        now = max(0.0, now + v)
+        best = max(best, now)
+    return best
+
+
+def brute_gains(docs, labelled, corpus):
+    """What each feature adds, from documents (words) and their labels, and occurrences in all documents."""
+    n, of, seen = [Counter(), Counter()], [0, 0], Counter()
+    for i, y in labelled.items():
+        found = Counter(f for w in docs[i] for f in brute_features(w))
+        n[y].update(found)
+        seen.update(found.keys())
+        of[y] += len(docs[i])
+    size, gain, rate = sum(map(len, docs.values())), {}, {}
+    for f in sorted(n[0] | n[1], key=lambda f: (not f.endswith(b"*"), len(f))):
+        word = f.rstrip(b"*")
+        up = [g for g in brute_features(word + b"x" * f.endswith(b"*")) if g.endswith(b"*") and len(g) < len(f) + (not f.endswith(b"*"))]
+        up = up[-1] if up and up[-1] != f else None
+        rate[f], gain[f] = [], 0.0
+        for y in (0, 1):
+            mean = rate[up][y] * corpus[f] / corpus[up] if up else corpus[f] / size
+            moved = (n[y][f] + toxicity.PRIOR) / (of[y] * mean + toxicity.PRIOR)
+            rate[f].append(mean * moved)
+            gain[f] += (2 * y - 1) * np.log(moved)
+    return {f: round(g / toxicity.GRAIN) * toxicity.GRAIN for f, g in gain.items() if seen[f] >= toxicity.LEAST_DOCS}
+
+
+def test_toxicity_of_small_tables_by_brute_force(spark):
+    r = np.random.default_rng(12)
+    common, bad = [f"word{k % 7}ing{k}" for k in range(40)] + ["the", "of", "a"], ["scum", "idiots", "idiotic", "idiotically"]
+    texts, toxic = {}, {}
+    for i in range(90):
+        toxic[i] = int(i % 4 == 0)
+        words = list(r.choice(common, int(r.integers(3, 40))))
+        for _ in range(3 * toxic[i]):
+            words.insert(int(r.integers(0, len(words) + 1)), str(r.choice(bad)))
+        texts[i] = " ".join(map(str, words))
+    texts |= {90: "", 91: None, 92: "Idiots, SCUM! idiotness", 93: "the of a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, y in toxic.items() if i < 80], "doc_id bigint, toxic int")
+    words = {i: re.findall(r"[0-9a-z]+", (t or "").lower().encode().decode()) for i, t in texts.items()}
+    words = {i: [w.encode() for w in ws] for i, ws in words.items()}
+    corpus = Counter(f for ws in words.values() for w in ws for f in brute_features(w))
+    learnt = {i: toxic[i] for i in range(80) if zlib.crc32(str(i).encode()) % 3 != 1}
+    part = {x["doc_id"]: x["p"] for x in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(toxicity.CROSS)).alias("p")).collect()}
+    score_of = lambda gain, i: [sum(gain.get(f, 0.0) for f in brute_features(w)) - toxicity.COST for w in words[i]]
+    held = {k: brute_gains(words, {i: y for i, y in learnt.items() if part[i] != k}, corpus) for k in range(toxicity.CROSS)}
+    apart = {i: score_of(held[part[i]], i) for i in learnt}
+    clean = [apart[i] for i, y in learnt.items() if not y]
+    every = np.concatenate(clean)
+    low, high = 0.0, 50.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if np.mean(np.exp(np.minimum(mid * every, 500))) > 1 else (mid, high)
+    scale = len(clean) / sum(len(x) * np.exp(-high * brute_best(x)) for x in clean)
+    model = toxicity.train(docs, labels)
+    assert model.rate == pytest.approx(high, rel=1e-6) and model.scale == pytest.approx(scale, rel=1e-6)
+
+    def evidence(x):
+        least = np.log(scale * max(1, len(x)))
+        every = [high * s - least for *_, s in toxicity.maximal_segments(np.array(x))]
+        known = sum(e for e in every if e > 0)
+        return [1.0, np.clip(high * brute_best(x) - least, -10, 30) / 10, np.log1p(known), float(known > 0)]
+
+    x, y = np.array([evidence(apart[i]) for i in learnt]), np.array(list(learnt.values()))
+    p = 1 / (1 + np.exp(-x @ model.curve))
+    assert np.abs(x.T @ (p - y) + 1e-2 * model.curve).max() < 1e-6  # the curve is the likeliest one
+    gain = brute_gains(words, learnt, corpus)
+    assert len(model.words) == len(gain) and sorted(model.gains) == pytest.approx(sorted(gain.values()))
+    got = {row["doc_id"]: row for row in toxicity.toxicity_scores(docs, labels).collect()}
+    for i in texts:
+        expected = 1 / (1 + np.exp(-(np.array(evidence(score_of(gain, i))) @ model.curve)))
+        assert got[i]["score"] == pytest.approx(expected, abs=1e-9)
+        assert got[i]["predicted"] == (expected >= 0.7) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert got[92]["score"] > 0.7 > got[93]["score"]
+
+
+def test_toxicity_held_out_on_few_labels(spark):
+    """A tenth of the labels: 33 toxic documents to learn from."""
+    sf = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: r["toxic"] for r in table(spark, "labels", sf).collect()}
+    held = [r.asDict() | {"toxic": known[r["doc_id"]]} for r in QUERIES["op9_toxic_segments"](spark, sf).collect() if r["held_out"] and r["doc_id"] in known]
+    assert auc(held, "toxic") > 0.8
 
 
 def test_scale_of_chance_segments():
