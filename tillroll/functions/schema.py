@@ -11,7 +11,8 @@ PRICE_FIELDS = ["ITEM_PRICE", "ITEM_UNIT_PRICE", "ITEM_DISCOUNT", "SUBTOTAL_PRIC
 SUMMARY_HEADS = ["SUBTOTAL_NAME", "TAX_NAME", "TOTAL_NAME", "TIP_NAME"]
 HEADS = ["ITEM_NAME", *SUMMARY_HEADS]
 ITEM_DEPENDENTS = ["ITEM_PRICE", "ITEM_QTY", "ITEM_UNIT_PRICE", "ITEM_CODE", "ITEM_SKU", "ITEM_DISCOUNT", "ITEM_OPTION", "ITEM_TAX_FLAG", "ITEM_ETC"]
-DEPENDENTS = [*ITEM_DEPENDENTS, "SUBTOTAL_PRICE", "TAX_PRICE", "TAX_RATE", "TOTAL_PRICE", "TIP_PRICE"]
+SUMMARY_DEPENDENTS = ["SUBTOTAL_PRICE", "TAX_PRICE", "TAX_RATE", "TOTAL_PRICE", "TIP_PRICE"]
+DEPENDENTS = [*ITEM_DEPENDENTS, *SUMMARY_DEPENDENTS]
 #: Candidate dependents beside the true ones: all summary and payment fields and these of the document.
 HARD_NEGATIVES = ["STORE_NAME", "STORE_ADDRESS", "STORE_PHONE", "DATE", "TIME", "RECEIPT_ID", *SUMMARY_FIELDS, *PAYMENT_FIELDS]
 
@@ -22,9 +23,9 @@ ALIASES = {
     "MENU_SUB_CNT": "ITEM_QTY", "MENU_SUB_UNITPRICE": "ITEM_UNIT_PRICE", "MENU_SUB_ETC": "ITEM_ETC", "VOID_MENU_NM": "ITEM_NAME", "VOID_MENU_PRICE": "ITEM_PRICE",
     "TOTAL_TOTAL_PRICE": "TOTAL_PRICE", "TOTAL_CASHPRICE": "CASH_PRICE", "TOTAL_CHANGEPRICE": "CHANGE_PRICE", "TOTAL_CREDITCARDPRICE": "CARD_PRICE",
     "TOTAL_EMONEYPRICE": "CARD_PRICE", "TOTAL_TOTAL_ETC": "PAYMENT_INFO", "TOTAL_MENUTYPE_CNT": "PAYMENT_INFO", "TOTAL_MENUQTY_CNT": "PAYMENT_INFO",
-} | {f"{whole}_{old}": new for whole in ("SUBTOTAL", "SUB_TOTAL") for old, new in {
-    "SUBTOTAL_PRICE": "SUBTOTAL_PRICE", "TAX_PRICE": "TAX_PRICE", "DISCOUNT_PRICE": "DISCOUNT_PRICE", "SERVICE_PRICE": "SERVICE_PRICE", "OTHERSVC_PRICE": "SERVICE_PRICE", "ETC": "PAYMENT_INFO",
-}.items()}
+    "SUBTOTAL_SUBTOTAL_PRICE": "SUBTOTAL_PRICE", "SUBTOTAL_TAX_PRICE": "TAX_PRICE", "SUBTOTAL_DISCOUNT_PRICE": "DISCOUNT_PRICE", "SUBTOTAL_SERVICE_PRICE": "SERVICE_PRICE", "SUBTOTAL_OTHERSVC_PRICE": "SERVICE_PRICE", "SUBTOTAL_ETC": "PAYMENT_INFO",
+    "SUB_TOTAL_SUBTOTAL_PRICE": "SUBTOTAL_PRICE", "SUB_TOTAL_TAX_PRICE": "TAX_PRICE", "SUB_TOTAL_DISCOUNT_PRICE": "DISCOUNT_PRICE", "SUB_TOTAL_SERVICE_PRICE": "SERVICE_PRICE", "SUB_TOTAL_OTHERSVC_PRICE": "SERVICE_PRICE", "SUB_TOTAL_ETC": "PAYMENT_INFO",
+}
 
 #: Fields to the older name that stands for them.
 OLD_NAMES = {

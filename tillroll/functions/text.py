@@ -1,4 +1,4 @@
-"""Text columns: OCR comparison measures, policy predicates, money and dates."""
+"""Text columns: OCR comparison measures, money and dates."""
 
 from __future__ import annotations
 
@@ -49,43 +49,6 @@ def character_accuracy(truth: Column, found: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.levenshtein(found, truth) / F.greatest(F.length(truth), F.length(found), F.lit(1)))
 
 
-def policy_text(text: Column) -> Column:
-    return F.upper(collapse(text))
-
-
-def compact(text: Column) -> Column:
-    return F.regexp_replace(policy_text(text), "[^A-Z0-9]", "")
-
-
-def is_price_like(text: Column) -> Column:
-    value = F.trim(F.replace(policy_text(text), F.lit("$"), F.lit("")))
-    value = F.trim(F.regexp_replace(value, r"^(?:CAD|USD|PHP|AUD|NZD|RM|RS|R|P)\s*", ""))
-    value = F.regexp_replace(F.regexp_replace(value, r"^[()]+|[()]+$", ""), "[+-]$", "")
-    return value.rlike(r"^-?[0-9]{1,6}(?:,[0-9]{3})*[.,][0-9]{2}$")
-
-
-def is_quantity_like(text: Column) -> Column:
-    return policy_text(text).rlike(r"^(?:X\s*[0-9]{1,3}(?:[.,][0-9]+)?|[0-9]{1,3}(?:[.,][0-9]+)?\s*X|QTY|QUANTITY)$")
-
-
-def is_size_like(text: Column) -> Column:
-    unit = "(?:OZ|0Z|ML|M1|L|G|KG|LB|LBS|CT|PK|PKG|PACK|PC|PCS|EA)"
-    return F.replace(policy_text(text), F.lit(" "), F.lit("")).rlike(rf"^[0-9]+(?:X[0-9]+)?(?:[.,][0-9]+)?{unit}$")
-
-
-def is_code_like(text: Column) -> Column:
-    value, short = policy_text(text), compact(text)
-    other = is_price_like(text) | is_quantity_like(text) | is_size_like(text) | value.contains("@")
-    form = short.rlike(r"^(?:[0-9]{4,}|[0-9]{3,}[A-Z0-9]{0,8}|[A-Z]{1,5}[0-9]{3,}[A-Z0-9]{0,8})$") | value.rlike("[/-][0-9]{4,}")
-    return ~other & (F.length(short) >= 4) & short.rlike("[0-9]") & form
-
-
-def is_strong_code(text: Column) -> Column:
-    """A code even inside an item's name."""
-    other = is_price_like(text) | is_quantity_like(text) | is_size_like(text)
-    return ~other & (compact(text).rlike("^[0-9]{4,}$") | policy_text(text).rlike("^(?:(?:TPD|SKU|PLU)[/-]?[0-9]{3,}[A-Z0-9]*|#?[0-9]{4,}[A-Z]{0,4})$"))
-
-
 def amount(text: Column) -> Column:
     """The number in a text, 0 if there is none."""
     return F.coalesce(F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double"), F.lit(0.0))

@@ -8,23 +8,22 @@ from pyspark.sql.window import Window
 
 from tillroll.functions import labels as L
 from tillroll.functions import policy as Y
-from tillroll.functions import text as X
 from tillroll.operators.spans import in_document
 
 #: Rules and overrides that may be held in a plan.
 MOST_RULES = 10_000
 
-#: What a word labelled as an item's name becomes, by the first predicate that holds.
+#: What a word labelled as an item's name becomes, by the first kind that it is.
 IN_NAME = [
-    (Y.is_service, "SERVICE_NAME", "service"),
-    (Y.is_membership, "PAYMENT_INFO", "membership"),
-    (Y.is_placeholder, "ITEM_ETC", "placeholder"),
-    (Y.is_category_header, "ITEM_CATEGORY", "category header"),
-    (X.is_size_like, "ITEM_OPTION", "size"),
-    (X.is_price_like, "ITEM_PRICE", "price"),
-    (X.is_quantity_like, "ITEM_QTY", "quantity"),
-    (Y.is_tax_flag, "ITEM_TAX_FLAG", "tax flag"),
-    (X.is_strong_code, "ITEM_CODE", "code"),
+    ("service", "SERVICE_NAME"),
+    ("membership", "PAYMENT_INFO"),
+    ("placeholder", "ITEM_ETC"),
+    ("category header", "ITEM_CATEGORY"),
+    ("size", "ITEM_OPTION"),
+    ("price", "ITEM_PRICE"),
+    ("quantity", "ITEM_QTY"),
+    ("tax flag", "ITEM_TAX_FLAG"),
+    ("strong code", "ITEM_CODE"),
 ]
 
 
@@ -52,16 +51,16 @@ def item_policy(words: DataFrame, row: str = "line_no") -> DataFrame:
     held = held.withColumn("_begins", (named & ~goes_on).cast("int")).withColumn("_named", named)
     held = held.withColumn("_run", F.sum("_begins").over(in_document()))
     run = Window.partitionBy("doc_id", "_run", "_named").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    held = held.withColumn("_phrase", F.when(named, X.policy_text(F.array_join(F.collect_list(F.coalesce(word, F.lit(""))).over(run), " "))))
-    cases = [(F.col("_phrase").isin(Y.OPTION_PHRASES), "ITEM_OPTION", "option phrase"), *((holds(word), new, why) for holds, new, why in IN_NAME)]
+    held = held.withColumn("_phrase", F.when(named, Y.written(F.array_join(F.collect_list(F.coalesce(word, F.lit(""))).over(run), " "))))
+    cases = [(F.col("_phrase").isin(Y.OPTION_PHRASES), "ITEM_OPTION", "option phrase"), *((Y.is_kind(word, kind), new, kind.removeprefix("strong ")) for kind, new in IN_NAME)]
     choice = _first([(c, F.struct(F.lit(new).alias("field"), F.lit(why).alias("why"))) for c, new, why in cases])
     held = held.withColumn("_choice", F.when(named, choice)).withColumn("_now", F.coalesce("_choice.field", "_field"))
 
     in_row = Window.partitionBy("doc_id", "_row")
     any_of = lambda c: F.max(F.coalesce(c, F.lit(False))).over(in_row)
     item_row = any_of(F.col("_now") == "ITEM_NAME") & any_of(F.col("_now") == "ITEM_PRICE")
-    held = held.withColumn("_item_row", item_row).withColumn("_counted", any_of((F.col("_now") == "ITEM_QTY") | X.is_quantity_like(word)))
-    cases = [(X.is_code_like(word), "ITEM_CODE", "code in row"), (X.is_size_like(word), "ITEM_OPTION", "size in row"), (X.is_quantity_like(word), "ITEM_QTY", "quantity in row"), (X.is_price_like(word) & F.col("_counted"), "ITEM_UNIT_PRICE", "price in row with quantity")]
+    held = held.withColumn("_item_row", item_row).withColumn("_counted", any_of((F.col("_now") == "ITEM_QTY") | Y.is_kind(word, "quantity")))
+    cases = [(Y.is_kind(word, "code"), "ITEM_CODE", "code in row"), (Y.is_kind(word, "size"), "ITEM_OPTION", "size in row"), (Y.is_kind(word, "quantity"), "ITEM_QTY", "quantity in row"), (Y.is_kind(word, "price") & F.col("_counted"), "ITEM_UNIT_PRICE", "price in row with quantity")]
     choice = _first([(c, F.struct(F.lit(new).alias("field"), F.lit(why).alias("why"))) for c, new, why in cases])
     late = F.when(F.col("_item_row") & (F.col("_now") == "O"), choice)
     return held.withColumn("_late", late).select(*[F.col(c) for c in words.columns], F.coalesce("_late.field", "_now").alias("new_field"), F.coalesce("_late.why", "_choice.why").alias("reason"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +31,34 @@ def edge_metrics(pairs: DataFrame, threshold: float = S.THRESHOLD, *keys: str) -
 
 
 def item_price_metrics(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
-    """The same of distinct (document, head, dependent) between item names and prices."""
-    some = pairs.where("head_field = 'ITEM_NAME' AND dep_field = 'ITEM_PRICE'").groupBy("doc_id", "head_span_id", "dep_span_id").agg(F.max("prob").alias("prob"), F.max("gold").alias("gold"))
+    """The same of distinct (document, head, dependent) whose dependent is an item's price, whatever the head."""
+    some = pairs.where("dep_field = 'ITEM_PRICE'").groupBy("doc_id", "head_span_id", "dep_span_id").agg(F.max("prob").alias("prob"), F.max("gold").alias("gold"))
     return edge_metrics(some, threshold)
 
 
+def _hard_kinds() -> dict[str, Column]:
+    """Which wrong edge counts as what."""
+    f, starts = F.col("dep_field"), lambda *names: reduce(or_, [F.col("dep_field").startswith(n) for n in names])
+    item = F.col("head_field") == "ITEM_NAME"
+    return {
+        "store": starts("STORE_"),
+        "total_subtotal": starts("TOTAL_", "SUBTOTAL_") | (f == "TAX_PRICE"),
+        "tax": starts("TAX_"),
+        "summary": starts("TOTAL_", "SUBTOTAL_", "DISCOUNT_", "SERVICE_", "TIP_"),
+        "payment": starts("PAYMENT_", "CARD_", "CASH_", "CHANGE_"),
+        "item": item,
+        "wrong_price": item & f.isin("TOTAL_PRICE", "SUBTOTAL_PRICE", "TAX_PRICE", "TIP_PRICE", "PAYMENT_INFO"),
+    }
+
+
 def hard_negatives(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
-    """Wrong edges to fields that no item may hold: counts by (head, field), by field, by head, and of all."""
+    """Wrong edges to fields that no item may hold: counts by (head, field), by field, by head, and of all.
+
+    n_item counts those of item names, n_wrong_price those of item names to a sum or payment.
+    """
     wrong = pairs.where((F.col("gold") == 0) & (F.col("prob") >= threshold) & L.is_hard_negative_for_items(F.col("dep_field")))
-    f = F.col("dep_field")
-    kinds = {
-        "store": f.startswith("STORE_"),
-        "total_subtotal": f.startswith("TOTAL_") | f.startswith("SUBTOTAL_") | (f == "TAX_PRICE"),
-        "tax": f.startswith("TAX_"),
-        "payment": f.startswith("PAYMENT_") | f.startswith("CARD_") | f.startswith("CASH_") | f.startswith("CHANGE_"),
-    }
-    sets = wrong.groupingSets([["head_field", "dep_field"], ["dep_field"], ["head_field"], []], "head_field", "dep_field")
-    return sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()])
+    sets = wrong.withColumns({f"_{k}": c for k, c in _hard_kinds().items()}).groupingSets([["head_field", "dep_field"], ["dep_field"], ["head_field"], []], "head_field", "dep_field")
+    return sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), *[F.count_if(F.col(f"_{k}")).alias(f"n_{k}") for k in _hard_kinds()])
 
 
 def dependent_collisions(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
@@ -53,20 +67,83 @@ def dependent_collisions(pairs: DataFrame, threshold: float = S.THRESHOLD) -> Da
     return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("collisions"), F.count_if(F.col("n") > 1).alias("dependents"))
 
 
+def _tallies(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """One row of counts at every threshold, as columns with its place behind the name: n edges, tp right ones, hard
+    ones to fields that no item may hold, collisions beyond the first of a dependent; and of distinct pairs with an item's
+    price, pn and ptp. pos and ppos count true edges and true pairs.
+
+    Edges meet their dependent, then all; both steps stay on the layout by doc_id.
+    """
+    gold, price = F.col("gold") == 1, F.col("dep_field") == "ITEM_PRICE"
+    steps = list(enumerate(thresholds))
+    over = lambda c, t: F.col(c) >= t
+    each = pairs.groupBy("doc_id", "dep_span_id", "head_span_id").agg(
+        F.count_if(gold).alias("pos"),
+        F.max(F.when(price, F.col("prob"))).alias("p"),
+        F.max(F.when(price, F.col("gold"))).alias("g"),
+        *[c.alias(f"{name}{k}") for k, t in steps for name, c in (("n", F.count_if(over("prob", t))), ("tp", F.count_if(over("prob", t) & gold)), ("hard", F.count_if(over("prob", t) & ~gold & L.is_hard_negative_for_items(F.col("dep_field")))))],
+    )
+    one = each.groupBy("doc_id", "dep_span_id").agg(
+        F.sum("pos").alias("pos"),
+        F.count_if(F.col("g") == 1).alias("ppos"),
+        *[F.sum(f"{c}{k}").alias(f"{c}{k}") for k, _ in steps for c in ("n", "tp", "hard")],
+        *[c.alias(f"{name}{k}") for k, t in steps for name, c in (("pn", F.count_if(over("p", t))), ("ptp", F.count_if(over("p", t) & (F.col("g") == 1))))],
+    )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return one.agg(
+        total("pos", "pos"),
+        total("ppos", "ppos"),
+        *[total(f"{c}{k}", f"{c}{k}") for k, _ in steps for c in ("n", "tp", "hard", "pn", "ptp")],
+        *[total(F.greatest(F.col(f"n{k}") - 1, F.lit(0)), f"collisions{k}") for k, _ in steps],
+    )
+
+
+def _renamed(columns: list[Column], prefix: str) -> list[Column]:
+    return [c.alias(f"{prefix}_{name}") for c, name in zip(columns, ("precision", "recall", "f1"))]
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """Edge metrics at every threshold from one pass: counts by the highest threshold reached, then running sums."""
-    level = sum(((F.col("prob") >= t).cast("int") for t in thresholds), F.lit(0))
-    counted = pairs.groupBy(level.alias("level")).agg(F.count_if(F.col("gold") == 1).alias("pos"), F.count_if(F.col("gold") == 0).alias("neg"))
-    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in enumerate(thresholds, 1)]))
-    joined = counted.withColumn("step", steps).select("step.*", "level", "pos", "neg")  # as many rows as thresholds, squared
-    over = F.col("level") >= F.col("k")
-    total = joined.groupBy("threshold").agg(*[F.coalesce(F.sum(F.when(c, v)), F.lit(0)).alias(n) for n, c, v in (("tp", over, F.col("pos")), ("fp", over, F.col("neg")), ("fn", ~over, F.col("pos")))])
-    return _with_prf(total, "threshold")
+    """At every threshold, from one pass: measures of edges and of pairs with an item's price, wrong edges to fields that
+    no item may hold, and collisions."""
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{c}{k}").alias(c) for c in ("n", "tp", "hard", "pn", "ptp", "collisions")]) for k, t in enumerate(thresholds)]))
+    each = _tallies(pairs, thresholds).select("pos", "ppos", rows.alias("r")).select("pos", "ppos", "r.*")
+    edge = precision_recall(F.col("tp"), F.col("n") - F.col("tp"), F.col("pos") - F.col("tp"))
+    pair = precision_recall(F.col("ptp"), F.col("pn") - F.col("ptp"), F.col("ppos") - F.col("ptp"))
+    return each.select("threshold", *_renamed(edge, "edge"), *_renamed(pair, "pair"), F.col("hard").alias("hard_negatives"), "collisions")
 
 
 def best_threshold(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """The threshold with the best f1, then precision, then the least."""
-    return threshold_sweep(pairs, thresholds).orderBy(F.desc("f1"), F.desc("precision"), "threshold").limit(1)
+    """The threshold with the best f1 of pairs with an item's price, then their precision, then the fewest wrong edges to
+    fields that no item may hold, then the least."""
+    return threshold_sweep(pairs, thresholds).orderBy(F.desc("pair_f1"), F.desc("pair_precision"), "hard_negatives", "threshold").limit(1)
+
+
+def evaluation(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+    """One row that sums up the edges of all documents: pairs, measures of edges, of pairs with an item's price and of
+    edges to sums, wrong edges by kind, and collisions."""
+    over, gold = F.col("prob") >= threshold, F.col("gold") == 1
+    sums = F.col("dep_field").isin(*S.SUMMARY_DEPENDENTS)
+    wrong = over & ~gold & L.is_hard_negative_for_items(F.col("dep_field"))
+    kinds = pairs.agg(
+        F.count("*").alias("n_pairs"),
+        F.count_if(gold).alias("n_positive"),
+        *[F.count_if(sums & c).alias(n) for n, c in (("stp", over & gold), ("sfp", over & ~gold), ("sfn", ~over & gold))],
+        *[F.count_if(wrong & c).alias(f"hard_{k}") for k, c in _hard_kinds().items()],
+    )
+    swept = threshold_sweep(pairs, [threshold])
+    summary = _renamed(precision_recall(F.col("stp"), F.col("sfp"), F.col("sfn")), "summary")
+    return swept.join(F.broadcast(kinds)).select("threshold", "n_pairs", "n_positive", *[f"{a}_{b}" for a in ("edge", "pair") for b in ("precision", "recall", "f1")], *summary, "hard_negatives", *[f"hard_{k}" for k in _hard_kinds()], "collisions")
+
+
+def matched_span_metrics(matched: DataFrame, gold: DataFrame) -> DataFrame:
+    """By field: the share of predicted spans whose matched gold line has their field, and of gold lines that such a span
+    matches. matched(doc_id, field, gold_id, gold_field), the latter two null without a match; gold(doc_id, gold_id, field).
+    """
+    right = F.col("gold_field") == F.col("field")
+    found = matched.groupBy("field").agg(F.count("*").alias("pred"), F.count_if(right).alias("correct"), F.count_distinct(F.when(right, F.struct("doc_id", "gold_id"))).alias("matched"))
+    both = found.join(gold.groupBy("field").agg(F.count("*").alias("gold")), "field", "full_outer").na.fill(0)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return both.select("field", "pred", "gold", "correct", "matched", ratio("correct", "pred").alias("precision"), ratio("matched", "gold").alias("recall"))
 
 
 def strict_span_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -103,26 +103,34 @@ def match_by_overlap(spans: DataFrame, lines: DataFrame) -> DataFrame:
     return spans.join(first, ["doc_id", "span_id"], "left")
 
 
-def nearest_same_row(heads: DataFrame, candidates: DataFrame, height: float = 20.0) -> DataFrame:
-    """For each head the candidate with the least score on its row, to its right; a candidate may serve several heads.
+def _tall(p: str = "") -> Column:
+    return F.greatest(F.lit(1.0), (F.col(f"{p}y1") - F.col(f"{p}y0")).cast("double"))
 
-    Heights here are alike, so the row's tolerance follows from one height: 1.45 heights, from 10 to 90.
+
+def nearest_same_row(heads: DataFrame, candidates: DataFrame, right: bool = False) -> DataFrame:
+    """For each head the candidate with the least score on its row; a candidate may serve several heads.
+
+    The row's tolerance is 1.45 times the upper median of the heights of the head and its document's candidates, from 10
+    to 90. With right, candidates to the left by more than a fifth of the head's height are left out.
     """
-    reach = min(max(1.45 * height, 10.0), 90.0)
     cx, cy = (lambda p: (F.col(f"{p}x0") + F.col(f"{p}x1")) / 2), (lambda p: (F.col(f"{p}y0") + F.col(f"{p}y1")) / 2)
     other = candidates.select("doc_id", *[F.col(c).alias(f"c_{c}") for c in ("span_id", "text", "x0", "y0", "x1", "y1")])
+    tall = other.groupBy("doc_id").agg(F.collect_list(_tall("c_")).alias("_talls"))  # of one receipt
+    every = F.array_sort(F.concat(F.array(_tall()), F.col("_talls")))
+    reach = F.greatest(F.lit(10.0), F.least(F.lit(90.0), 1.45 * F.element_at(every, F.floor(F.size(every) / 2).cast("int") + 1)))
+    placed = heads.join(tall, "doc_id").withColumn("_reach", reach).drop("_talls")
     dx, dy = cx("c_") - cx(""), F.abs(cy("c_") - cy(""))
-    joined = heads.join(other, "doc_id").where((dy <= reach) & (dx >= -0.2 * height))
+    joined = placed.join(other, "doc_id").where((dy <= F.col("_reach")) & ((dx >= -0.2 * _tall()) if right else F.lit(True)))
     score = 10 * dy + 0.04 * F.abs(dx) + F.when(dx < 0, 25.0).otherwise(0.0)
     best = Window.partitionBy("doc_id", "span_id").orderBy("score", "c_span_id")
-    return joined.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    return joined.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "_reach")
 
 
 def nearest_exclusive(heads: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc_id, span_id and c_span_id: as nearest_same_row(), but heads take candidates in order and each serves once.
+    """doc_id, span_id and c_span_id: as nearest_same_row() to the right, but heads take candidates in order and each
+    serves once; the median is over the head and the candidates that are left.
 
-    The choice of one head depends on those before it, so a document is one group; the tolerance follows from the upper
-    median height of the head and the candidates left.
+    The choice of one head depends on those before it, so a document is one group: the spans of one receipt.
     """
     import pandas as pd
 
@@ -134,12 +142,11 @@ def nearest_exclusive(heads: DataFrame, candidates: DataFrame) -> DataFrame:
         out = []
         for head in page[page["role"] == 0].itertuples():
             tall = sorted(max(1.0, r.y1 - r.y0) for r in (head, *left))
-            height = tall[len(tall) // 2]
-            reach = min(max(1.45 * height, 10.0), 90.0)
+            reach = max(10.0, min(90.0, 1.45 * tall[len(tall) // 2]))
             near = []
             for k, c in enumerate(left):
                 dx, dy = (c.x0 + c.x1 - head.x0 - head.x1) / 2, abs(c.y0 + c.y1 - head.y0 - head.y1) / 2
-                if dy <= reach and dx >= -0.2 * height:
+                if dy <= reach and dx >= -0.2 * max(1.0, head.y1 - head.y0):
                     near.append((10 * dy + 0.04 * abs(dx) + 25 * (dx < 0), k))
             if near:
                 out.append((head.doc_id, head.span_id, left.pop(min(near)[1]).span_id))
@@ -148,6 +155,78 @@ def nearest_exclusive(heads: DataFrame, candidates: DataFrame) -> DataFrame:
     return sides.groupBy("doc_id").applyInPandas(greedy, "doc_id bigint, span_id int, c_span_id int")
 
 
+def candidate_spans(spans: DataFrame, vocabulary: list[str] = S.FIELDS) -> DataFrame:
+    """Adds new_id, dense over the spans that can be in a pair, in order, and reason, why another is not (else null)."""
+    field = L.canonical_field(F.col("field"))
+    reason = F.when(L.field_for_vocabulary(F.col("field"), vocabulary).isNull(), "field_not_in_vocab").when(~(L.is_head(field) | L.is_candidate_dependent(field)), "not_relg_candidate")
+    marked = spans.withColumn("reason", reason)
+    number = F.row_number().over(Window.partitionBy("doc_id", F.col("reason").isNull()).orderBy("span_id")) - 1
+    return marked.withColumn("new_id", F.when(F.col("reason").isNull(), number))
+
+
+def relation_list(documents: DataFrame) -> DataFrame:
+    """The relations of documents(doc_id, item_relations, summary_relations, payment_relations, relations, rel_g_edges), one
+    row each with its place rel_idx: all of the first three if there are any, else relations, else rel_g_edges."""
+    none = lambda c: F.coalesce(F.col(c), F.array())
+    own = F.concat(*[none(f"{k}_relations") for k in ("item", "summary", "payment")])
+    chosen = F.when(F.size(own) > 0, own).when(F.size(none("relations")) > 0, F.col("relations")).otherwise(none("rel_g_edges"))
+    return documents.select("doc_id", F.posexplode(chosen).alias("rel_idx", "relation"))
+
+
+def group_keys(spans: DataFrame, relations: DataFrame) -> DataFrame:
+    """Adds group_key to spans(doc_id, span_id, first_word, last_word): that of the last relation which one of its two
+    sides meets the span, null if none does.
+
+    relations(doc_id, rel_idx, group_id, head_field, head_words, dep_field, dep_words). A side meets the span that shares
+    most of its words, the first of equal ones; a relation counts if its fields are a head and a dependent and both sides
+    meet a span. One without a group_id takes the key that its head's span has by then, else one of its own place; as
+    that depends on those before, documents with such relations are folded one by one, all others by aggregates.
+    """
+    fits = relations.where(L.is_head(L.canonical_field(F.col("head_field"))) & L.is_dependent(L.canonical_field(F.col("dep_field"))))
+    words = spans.select("doc_id", "span_id", F.explode(F.sequence("first_word", "last_word")).alias("word"))
+
+    def met(side: str) -> DataFrame:
+        wanted = fits.select("doc_id", "rel_idx", F.explode(F.array_distinct(f"{side}_words")).alias("word"))
+        shared = wanted.join(words, ["doc_id", "word"]).groupBy("doc_id", "rel_idx", "span_id").agg(F.count("*").alias("n"))
+        return shared.groupBy("doc_id", "rel_idx").agg(F.max(F.struct("n", -F.col("span_id"))).alias("best")).select("doc_id", "rel_idx", (-F.col("best")["col2"]).alias(side))
+
+    both = fits.select("doc_id", "rel_idx", "group_id").join(met("head"), ["doc_id", "rel_idx"]).join(met("dep"), ["doc_id", "rel_idx"])
+    open_ = both.withColumn("open", F.max(F.col("group_id").isNull()).over(Window.partitionBy("doc_id")))
+    sides = open_.where("NOT open").select("doc_id", "rel_idx", "group_id", F.explode(F.array_distinct(F.array("head", "dep"))).alias("span_id"))
+    last = sides.groupBy("doc_id", "span_id").agg(F.max_by("group_id", "rel_idx").alias("group_key"))
+
+    def fold(page):
+        import pandas as pd
+
+        keys: dict[int, str] = {}
+        for r in page.sort_values("rel_idx").itertuples():
+            own = r.group_id if isinstance(r.group_id, str) else keys.get(r.head) or f"item_rel_{r.rel_idx:04d}"
+            keys[r.head] = keys[r.dep] = own
+        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "span_id": list(keys), "group_key": list(keys.values())})
+
+    folded = open_.where("open").drop("open").groupBy("doc_id").applyInPandas(fold, "doc_id bigint, span_id int, group_key string")
+    return spans.join(last.unionByName(folded), ["doc_id", "span_id"], "left")
+
+
+def edge_verdicts(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+    """Pairs with a status: correct or wrong if they are over the threshold, missed if they are true and are not; and
+    hard_negative, wrong to a total or subtotal."""
+    over, gold = F.col("prob") >= threshold, F.col("gold") == 1
+    status = F.when(over & gold, "correct").when(over, "wrong").when(gold, "missed")
+    hard = (F.col("status") == "wrong") & (F.col("dep_field").startswith("TOTAL_") | F.col("dep_field").startswith("SUBTOTAL_"))
+    return pairs.withColumn("status", status).where("status IS NOT NULL").withColumn("hard_negative", hard)
+
+
+def item_errors(spans: DataFrame, pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+    """doc_id, kind, span_id and n: names to which no selected edge gives a price, or more than one does; dependents with
+    more than one edge over the threshold."""
+    priced = select_edges(pairs, threshold).where("head_field = 'ITEM_NAME' AND dep_field = 'ITEM_PRICE'").groupBy("doc_id", F.col("head_span_id").alias("span_id")).agg(F.count("*").alias("n"))
+    names = spans.where("field = 'ITEM_NAME'").select("doc_id", "span_id").join(priced, ["doc_id", "span_id"], "left").na.fill(0, ["n"])
+    wrong = names.where("n <> 1").select("doc_id", F.when(F.col("n") == 0, "no price").otherwise("several prices").alias("kind"), "span_id", "n")
+    shared = pairs.where(F.col("prob") >= threshold).groupBy("doc_id", F.col("dep_span_id").alias("span_id")).agg(F.count("*").alias("n")).where("n > 1")
+    return wrong.unionByName(shared.select("doc_id", F.lit("collision").alias("kind"), "span_id", "n"))
+
+
 def precision_recall(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """precision, recall and f1, zero where nothing can be divided."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

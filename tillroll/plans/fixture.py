@@ -1,4 +1,4 @@
-"""Receipts made from the order tables, by one text of SQL that Spark and DuckDB read alike.
+"""Receipts made from the order tables, for Spark and, written apart, for DuckDB.
 
 A document is an order, a line of it an item: two words of the part's name, a quantity, a currency sign and a price;
 before them the customer as the store's name, after them the total. A noisy label stands for a model's prediction.
@@ -7,6 +7,7 @@ before them the customer as the store's name, after them the total. A noisy labe
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.session import table
 
@@ -55,7 +56,51 @@ LINES_SQL = LINES.format(**{t: t for t in _TABLES})
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(WORDS, **{t: table(spark, sf_dir, t) for t in _TABLES})
+    """Lines are read, numbered and counted once, beside their order, and make their words in place; the first line of an
+    order also makes its head and total. So words keep the layout by doc_id of the lines.
+
+    A word's number follows from its line, as each line has five words and every line an order with a customer.
+    """
+    whole = lambda cents: F.concat(F.floor(cents / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    word = lambda line, pos, number, text, label, k: F.struct(line.cast("int").alias("line_no"), F.lit(pos).alias("pos"), number.cast("int").alias("word_idx"), text.alias("text"), F.lit(label).alias("gold_label"), k.alias("k"))
+    line, n, doc, zero = F.col("line_no"), F.col("n"), F.col("doc_id"), F.lit(0)
+    item = [
+        (0, F.col("name_1"), "B-ITEM_NAME"),
+        (1, F.col("name_2"), "I-ITEM_NAME"),
+        (2, F.concat(F.col("qty").cast("string"), F.lit("X")), "B-ITEM_QTY"),
+        (3, F.lit("$"), "B-ITEM_PRICE"),
+        (4, whole(F.col("cents")), "I-ITEM_PRICE"),
+    ]
+    total = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    edge = [
+        word(zero, 0, zero, F.col("c_name"), "B-STORE_NAME", doc),
+        word(n + 1, 0, 5 * n + 1, F.lit("TOTAL"), "B-TOTAL_NAME", doc),
+        word(n + 1, 3, 5 * n + 2, F.lit("$"), "B-TOTAL_PRICE", doc),
+        word(n + 1, 4, 5 * n + 3, whole(total), "I-TOTAL_PRICE", doc),
+    ]
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    # The key has its name before it is dealt out by, so that the layout is known further on.
+    counted = LINES.replace("l_orderkey AS doc_id", "doc_id").replace("l_orderkey", "doc_id").replace("AS line_no,", "AS line_no, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS n,")
+    numbered = spark.sql(counted, lineitem=table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), part=table(spark, sf_dir, "part"))
+    placed = numbered.join(orders.select("o_orderkey", "o_totalprice", "c_name"), doc == F.col("o_orderkey"))
+    inside = F.array(*[word(line, pos, 5 * line - 4 + pos, text, label, F.col("l_partkey")) for pos, text, label in item])
+    made = placed.select("doc_id", "n", F.explode(F.when(line == 1, F.concat(inside, F.array(*edge))).otherwise(inside)).alias("w")).select("doc_id", "n", "w.*")
+    h, gold, field = (F.col("doc_id") * 31 + line * 7 + F.col("pos") * 13) % 17, F.col("gold_label"), F.substring("gold_label", 3, 99)
+    prefix = F.substring("gold_label", 1, 2)
+    noisy = (
+        F.when(h == 0, "O")
+        .when((h == 1) & (prefix == "I-"), F.concat(F.lit("B-"), field))
+        .when((h == 2) & (field == "ITEM_PRICE"), F.concat(prefix, F.lit("MENU_PRICE")))
+        .when((h == 2) & (field == "ITEM_NAME"), F.concat(prefix, F.lit("menu.nm")))
+        .otherwise(gold)
+    )
+    x0 = F.element_at(F.array(*map(F.lit, (40, 110, 300, 520, 535))), F.col("pos") + 1)
+    down = 30 * line + F.col("k") % 5
+    return made.select(
+        "doc_id", "line_no", "pos", "word_idx", "text", "gold_label", noisy.alias("pred_label"), (1 - ((doc + F.col("pos")) % 10).cast("double") / 20).alias("confidence"),
+        x0.alias("x0"), (100 + down).cast("int").alias("y0"), (x0 + 8 * F.length("text")).cast("int").alias("x1"), (120 + down).cast("int").alias("y1"),
+        F.lit(800).alias("page_w"), (260 + 30 * n).cast("int").alias("page_h"),
+    )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import geometry as G
 from tillroll.functions import labels as L
+from tillroll.functions import policy as Y
 from tillroll.functions import schema as S
 from tillroll.functions import text as X
 from tillroll.operators import metrics as M
 from tillroll.operators import pairs as P
 from tillroll.operators import spans as B
-from tillroll.plans.fixture import LINES_SQL, WORDS_SQL, words
+from tillroll.plans.fixture import LINES_SQL, WORDS_SQL, lines, words
 from tillroll.queries._registry import registry
 
 QUERIES: dict = {}
@@ -199,14 +200,27 @@ def span_gold_match(spark, sf_dir):
     return P.match_by_overlap(B.bio_spans(w, "pred_label"), w.select("doc_id", "line_no", "word_idx")).select("doc_id", "span_id", "match_line", "overlap")
 
 
-_NEAR = "h.x0 + h.x1", "c.x0 + c.x1"
+def _near_sql(dep: str, right: bool) -> str:
+    return f"""{_WORDS}, {_spans_sql('gold_label', 'spans')}, s AS (SELECT *, greatest(1.0, y1 - y0) AS tall, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM spans), t AS (SELECT doc_id, list(tall) AS talls FROM s WHERE field = '{dep}' GROUP BY doc_id),
+    h AS (SELECT s.*, greatest(10.0, least(90.0, 1.45 * list_sort(list_append(talls, tall))[(len(talls) + 1) // 2 + 1])) AS reach FROM s JOIN t ON s.doc_id = t.doc_id WHERE field = 'ITEM_NAME'),
+    j AS (SELECT h.doc_id, h.span_id, h.tall, h.reach, c.span_id AS c_span_id, c.text AS c_text, c.cx - h.cx AS dx, abs(c.cy - h.cy) AS dy FROM h JOIN s c ON h.doc_id = c.doc_id AND c.field = '{dep}'),
+    p AS (SELECT *, 10 * dy + 0.04 * abs(dx) + CASE WHEN dx < 0 THEN 25 ELSE 0 END AS score FROM j WHERE dy <= reach{" AND dx >= -0.2 * tall" if right else ""})
+    SELECT doc_id, span_id, c_span_id, c_text, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, span_id ORDER BY score, c_span_id) = 1"""
 
 
-@query(f"""{_WORDS}, {_spans_sql('gold_label', 'spans')}, j AS (SELECT h.doc_id, h.span_id, c.span_id AS c_span_id, c.text AS c_text, ((c.x0 + c.x1) - (h.x0 + h.x1)) / 2 AS dx, abs(((c.y0 + c.y1) - (h.y0 + h.y1)) / 2) AS dy FROM spans h JOIN spans c ON h.doc_id = c.doc_id WHERE h.field = 'ITEM_NAME' AND c.field = 'ITEM_PRICE'),
-    s AS (SELECT *, 10 * dy + 0.04 * abs(dx) + CASE WHEN dx < 0 THEN 25 ELSE 0 END AS score FROM j WHERE dy <= 29 AND dx >= -4) SELECT doc_id, span_id, c_span_id, c_text, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, span_id ORDER BY score, c_span_id) = 1""")
-def nearest_same_row(spark, sf_dir):
+def _near(spark, sf_dir, dep, right):
     s = _spans(spark, sf_dir, "gold_label")
-    return P.nearest_same_row(s.where("field = 'ITEM_NAME'"), s.where("field = 'ITEM_PRICE'")).select("doc_id", "span_id", "c_span_id", "c_text", F.round("score", 6).alias("score"))
+    return P.nearest_same_row(s.where("field = 'ITEM_NAME'"), s.where(F.col("field") == dep), right).select("doc_id", "span_id", "c_span_id", "c_text", F.round("score", 6).alias("score"))
+
+
+@query(_near_sql("ITEM_PRICE", True))
+def nearest_same_row(spark, sf_dir):
+    return _near(spark, sf_dir, "ITEM_PRICE", True)
+
+
+@query(_near_sql("ITEM_QTY", False))
+def nearest_quantity(spark, sf_dir):
+    return _near(spark, sf_dir, "ITEM_QTY", False)
 
 
 @query(None)
@@ -256,14 +270,25 @@ def field_edge_metrics(spark, sf_dir):
     return _rounded(M.edge_metrics(_scored(spark, sf_dir), S.THRESHOLD, "dep_field"), *_R)
 
 
-@query(f"{_PAIRS}, d AS (SELECT doc_id, head_span_id, dep_span_id, max(prob) AS prob, max(gold) AS gold FROM scored WHERE head_field = 'ITEM_NAME' AND dep_field = 'ITEM_PRICE' GROUP BY ALL), c AS (SELECT {_T} FROM d) SELECT {_ROUND} FROM c")
+@query(f"{_PAIRS}, d AS (SELECT doc_id, head_span_id, dep_span_id, max(prob) AS prob, max(gold) AS gold FROM scored WHERE dep_field = 'ITEM_PRICE' GROUP BY ALL), c AS (SELECT {_T} FROM d) SELECT {_ROUND} FROM c")
 def item_price_pair_metrics(spark, sf_dir):
     return _rounded(M.item_price_metrics(_scored(spark, sf_dir)), *_R)
 
 
-@query(f"""{_PAIRS}, w AS (SELECT * FROM scored WHERE gold = 0 AND prob >= 0.3 AND dep_field IN ({_list(['O', *S.DOCUMENT_FIELDS, *S.SUMMARY_FIELDS, *S.PAYMENT_FIELDS])}))
-    SELECT head_field, dep_field, grouping(head_field, dep_field)::INT AS level, count(*) AS n, count_if(starts_with(dep_field, 'STORE_')) AS n_store, count_if(starts_with(dep_field, 'TOTAL_') OR starts_with(dep_field, 'SUBTOTAL_') OR dep_field = 'TAX_PRICE') AS n_total_subtotal,
-        count_if(starts_with(dep_field, 'TAX_')) AS n_tax, count_if(regexp_matches(dep_field, '^(PAYMENT|CARD|CASH|CHANGE)_')) AS n_payment FROM w GROUP BY GROUPING SETS ((head_field, dep_field), (dep_field), (head_field), ())""")
+_HARD = f"dep_field IN ({_list(['O', *S.DOCUMENT_FIELDS, *S.SUMMARY_FIELDS, *S.PAYMENT_FIELDS])})"
+_HARD_KINDS = {
+    "store": "starts_with(dep_field, 'STORE_')",
+    "total_subtotal": "starts_with(dep_field, 'TOTAL_') OR starts_with(dep_field, 'SUBTOTAL_') OR dep_field = 'TAX_PRICE'",
+    "tax": "starts_with(dep_field, 'TAX_')",
+    "summary": "regexp_matches(dep_field, '^(TOTAL|SUBTOTAL|DISCOUNT|SERVICE|TIP)_')",
+    "payment": "regexp_matches(dep_field, '^(PAYMENT|CARD|CASH|CHANGE)_')",
+    "item": "head_field = 'ITEM_NAME'",
+    "wrong_price": "head_field = 'ITEM_NAME' AND dep_field IN ('TOTAL_PRICE', 'SUBTOTAL_PRICE', 'TAX_PRICE', 'TIP_PRICE', 'PAYMENT_INFO')",
+}
+
+
+@query(f"""{_PAIRS}, w AS (SELECT * FROM scored WHERE gold = 0 AND prob >= 0.3 AND {_HARD})
+    SELECT head_field, dep_field, grouping(head_field, dep_field)::INT AS level, count(*) AS n, {", ".join(f"count_if({c}) AS n_{k}" for k, c in _HARD_KINDS.items())} FROM w GROUP BY GROUPING SETS ((head_field, dep_field), (dep_field), (head_field), ())""")
 def hard_negative_breakdown(spark, sf_dir):
     return M.hard_negatives(_scored(spark, sf_dir), 0.3)
 
@@ -273,18 +298,88 @@ def dependent_collisions(spark, sf_dir):
     return M.dependent_collisions(_scored(spark, sf_dir), 0.3)
 
 
-_SWEEP = f"{_PAIRS}, t AS (SELECT unnest([{', '.join(map(str, M.THRESHOLDS))}])::DOUBLE AS threshold), c AS (SELECT threshold, {_COUNTS.replace('{t}', 'threshold')} FROM scored, t GROUP BY threshold), r AS (SELECT threshold, {_PRF} FROM c)"
-_SWEPT = "threshold, tp, fp, fn, support, predicted, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+_MEASURES = lambda p, tp, fp, fn: f"round(coalesce({tp} / nullif({tp} + {fp}, 0), 0), 6) AS {p}_precision, round(coalesce({tp} / nullif({tp} + {fn}, 0), 0), 6) AS {p}_recall, round(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0), 6) AS {p}_f1"
 
 
-@query(f"{_SWEEP} SELECT {_SWEPT} FROM r")
+def _sweep_sql(thresholds: list[float]) -> str:
+    tally = _COUNTS.replace("{t}", "threshold")
+    return f"""{_PAIRS}, t AS (SELECT unnest([{", ".join(map(str, thresholds))}])::DOUBLE AS threshold), e AS (SELECT threshold, {tally}, count_if(gold = 0 AND prob >= threshold AND {_HARD}) AS hard FROM scored, t GROUP BY threshold),
+    d AS (SELECT doc_id, head_span_id, dep_span_id, max(prob) AS prob, max(gold) AS gold FROM scored WHERE dep_field = 'ITEM_PRICE' GROUP BY ALL), p AS (SELECT threshold, {tally} FROM d, t GROUP BY threshold),
+    k AS (SELECT threshold, sum(n - 1)::BIGINT AS collisions FROM (SELECT threshold, doc_id, dep_span_id, count(*) AS n FROM scored, t WHERE prob >= threshold GROUP BY ALL) GROUP BY threshold),
+    swept AS (SELECT t.threshold, {_MEASURES("edge", "e.tp", "e.fp", "e.fn")}, {_MEASURES("pair", "p.tp", "p.fp", "p.fn")}, hard AS hard_negatives, coalesce(collisions, 0) AS collisions FROM t JOIN e USING (threshold) JOIN p USING (threshold) LEFT JOIN k USING (threshold))"""
+
+
+_SWEPT = [f"{a}_{b}" for a in ("edge", "pair") for b in ("precision", "recall", "f1")]
+
+
+@query(f"{_sweep_sql(M.THRESHOLDS)} SELECT * FROM swept")
 def threshold_sweep(spark, sf_dir):
-    return _rounded(M.threshold_sweep(_scored(spark, sf_dir)), *_R)
+    return _rounded(M.threshold_sweep(_scored(spark, sf_dir)), *_SWEPT)
 
 
-@query(f"{_SWEEP} SELECT {_SWEPT} FROM r ORDER BY r.f1 DESC, r.precision DESC, threshold LIMIT 1")
+@query(f"{_sweep_sql(M.THRESHOLDS)} SELECT * FROM swept ORDER BY pair_f1 DESC, pair_precision DESC, hard_negatives, threshold LIMIT 1")
 def best_threshold(spark, sf_dir):
-    return _rounded(M.best_threshold(_scored(spark, sf_dir)), *_R)
+    return _rounded(M.best_threshold(_scored(spark, sf_dir)), *_SWEPT)
+
+
+@query(f"""{_sweep_sql([0.3])}, s AS (SELECT {_COUNTS.replace("{t}", "0.3")} FROM scored WHERE dep_field IN ({_list(S.SUMMARY_DEPENDENTS)})),
+    h AS (SELECT {", ".join(f"count_if({c}) AS hard_{k}" for k, c in _HARD_KINDS.items())} FROM scored WHERE gold = 0 AND prob >= 0.3 AND {_HARD}), n AS (SELECT count(*) AS n_pairs, count_if(gold = 1) AS n_positive FROM scored)
+    SELECT swept.*, n.*, h.*, {_MEASURES("summary", "tp", "fp", "fn")} FROM swept, s, h, n""")
+def evaluation_summary(spark, sf_dir):
+    return _rounded(M.evaluation(_scored(spark, sf_dir), 0.3), *_SWEPT, "summary_precision", "summary_recall", "summary_f1")
+
+
+@query(f"""{_PAIRS} SELECT doc_id, pair_index, CASE WHEN prob >= {S.THRESHOLD} THEN CASE WHEN gold = 1 THEN 'correct' ELSE 'wrong' END ELSE 'missed' END AS status, prob >= {S.THRESHOLD} AND gold = 0 AND regexp_matches(dep_field, '^(TOTAL|SUBTOTAL)_') AS hard_negative
+    FROM scored WHERE prob >= {S.THRESHOLD} OR gold = 1""")
+def edge_verdicts(spark, sf_dir):
+    return P.edge_verdicts(_scored(spark, sf_dir)).select("doc_id", "pair_index", "status", "hard_negative")
+
+
+@query(f"""{_EDGES}, q AS (SELECT doc_id, head_span_id AS span_id, count(*) AS n FROM edges WHERE head_field = 'ITEM_NAME' AND dep_field = 'ITEM_PRICE' GROUP BY ALL), m AS (SELECT s.doc_id, s.span_id, coalesce(n, 0) AS n FROM spans s LEFT JOIN q ON s.doc_id = q.doc_id AND s.span_id = q.span_id WHERE field = 'ITEM_NAME')
+    SELECT doc_id, CASE WHEN n = 0 THEN 'no price' ELSE 'several prices' END AS kind, span_id, n FROM m WHERE n <> 1 UNION ALL SELECT doc_id, 'collision', dep_span_id, count(*) FROM scored WHERE prob >= {S.THRESHOLD} GROUP BY doc_id, dep_span_id HAVING count(*) > 1""")
+def item_errors(spark, sf_dir):
+    return P.item_errors(_spans(spark, sf_dir), _scored(spark, sf_dir))
+
+
+_RELATED = [*S.HEADS, *dict.fromkeys([*S.DEPENDENTS, *S.HARD_NEGATIVES])]
+
+
+@query(f"""{_WORDS}, {_spans_sql('pred_label', 'spans')}, m AS (SELECT doc_id, span_id, CASE WHEN field NOT IN ({_list(S.FIELDS)}) THEN 'field_not_in_vocab' WHEN field NOT IN ({_list(_RELATED)}) THEN 'not_relg_candidate' END AS reason FROM spans)
+    SELECT doc_id, span_id, reason, CASE WHEN reason IS NULL THEN (row_number() OVER (PARTITION BY doc_id, reason IS NULL ORDER BY span_id) - 1)::INT END AS new_id FROM m""")
+def candidate_span_filter(spark, sf_dir):
+    return P.candidate_spans(_spans(spark, sf_dir)).select("doc_id", "span_id", "reason", "new_id")
+
+
+@query(f"""{_WORDS}, {_spans_sql('pred_label', 'spans')}, {_spans_sql('gold_label', 'gold')}, o AS (SELECT p.doc_id, p.span_id, p.field, g.span_id AS gold_id, g.field AS gold_field, least(p.last_word, g.last_word) - greatest(p.first_word, g.first_word) + 1 AS n FROM spans p JOIN gold g ON p.doc_id = g.doc_id AND p.first_word <= g.last_word AND g.first_word <= p.last_word),
+    b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, span_id ORDER BY n DESC, gold_id) = 1), f AS (SELECT s.field, count(*) AS pred, count_if(gold_field = s.field) AS correct, count(DISTINCT CASE WHEN gold_field = s.field THEN (s.doc_id, gold_id) END) AS matched FROM spans s LEFT JOIN b USING (doc_id, span_id) GROUP BY s.field),
+    h AS (SELECT field, count(*) AS gold FROM gold GROUP BY field), x AS (SELECT field, coalesce(pred, 0) AS pred, coalesce(gold, 0) AS gold, coalesce(correct, 0) AS correct, coalesce(matched, 0) AS matched FROM f FULL JOIN h USING (field))
+    SELECT *, round(coalesce(correct / nullif(pred, 0), 0), 6) AS precision, round(coalesce(matched / nullif(gold, 0), 0), 6) AS recall FROM x""")
+def span_match_metrics(spark, sf_dir):
+    w = words(spark, sf_dir)
+    gold, pred = B.bio_spans(w, "gold_label"), B.bio_spans(w, "pred_label")
+    held = gold.select("doc_id", F.col("span_id").alias("line_no"), F.explode(F.sequence("first_word", "last_word")).alias("word_idx"))
+    found = P.match_by_overlap(pred.select("doc_id", "span_id", "field", "first_word", "last_word"), held)
+    named = gold.select("doc_id", F.col("span_id").alias("gold_id"), F.col("field").alias("gold_field"))
+    matched = found.withColumnRenamed("match_line", "gold_id").join(named, ["doc_id", "gold_id"], "left")
+    return _rounded(M.matched_span_metrics(matched, named.withColumnRenamed("gold_field", "field")), "precision", "recall")
+
+
+# Relations of each line, written before and after each other: its name with its quantity, then with its price, under one
+# key, and in every third line also the name with the price of the line before, under another.
+_RELATIONS = """SELECT doc_id, CAST(3 * line_no + k AS INT) AS rel_idx, CASE k WHEN 2 THEN 'next_' ELSE 'line_' END || line_no AS group_id, 5 * line_no - 4 AS h0, 5 * line_no - 3 AS h1,
+    CASE k WHEN 0 THEN 5 * line_no - 2 WHEN 1 THEN 5 * line_no - 1 ELSE 5 * line_no - 6 END AS d0, CASE k WHEN 0 THEN 5 * line_no - 2 WHEN 1 THEN 5 * line_no ELSE 5 * line_no - 5 END AS d1, CASE k WHEN 0 THEN 'ITEM_QTY' ELSE 'MENU_PRICE' END AS dep_field
+    FROM {lines} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) WHERE k < 2 OR (line_no % 3 = 0)"""
+
+
+@query(f"""{_WORDS}, {_spans_sql('pred_label', 'spans')}, r AS ({_RELATIONS.format(lines=f"({LINES_SQL})")}),
+    m AS (SELECT r.doc_id, rel_idx, group_id, span_id, side FROM (SELECT *, 'h' AS side, h0 AS a, h1 AS b FROM r UNION ALL SELECT *, 'd', d0, d1 FROM r) r JOIN spans s ON r.doc_id = s.doc_id AND first_word <= b AND a <= last_word
+        QUALIFY row_number() OVER (PARTITION BY r.doc_id, rel_idx, side ORDER BY least(b, last_word) - greatest(a, first_word) DESC, span_id) = 1),
+    w AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, rel_idx) = 2), g AS (SELECT doc_id, span_id, arg_max(group_id, rel_idx) AS group_key FROM w GROUP BY ALL)
+    SELECT s.doc_id, s.span_id, s.field, group_key FROM spans s LEFT JOIN g ON s.doc_id = g.doc_id AND s.span_id = g.span_id""")
+def group_keys(spark, sf_dir):
+    made = spark.sql(_RELATIONS.replace("{lines}", "{l}"), l=lines(spark, sf_dir))
+    sides = made.select("doc_id", "rel_idx", "group_id", F.lit("ITEM_NAME").alias("head_field"), F.array("h0", "h1").alias("head_words"), "dep_field", F.array("d0", "d1").alias("dep_words"))
+    return P.group_keys(_spans(spark, sf_dir), sides).select("doc_id", "span_id", "field", "group_key")
 
 
 @query(f"""{_WORDS}, {_spans_sql('gold_label', 'gold')}, {_spans_sql('pred_label', 'pred')}, j AS (SELECT coalesce(g.field, p.field) AS field, g.field AS gf, p.field AS pf FROM gold g FULL JOIN pred p ON g.doc_id = p.doc_id AND g.field = p.field AND g.first_word = p.first_word AND g.last_word = p.last_word),
@@ -321,7 +416,7 @@ def bio_grammar_violations(spark, sf_dir):
     return B.bio_violations(words(spark, sf_dir), "pred_label", "line_no").select("doc_id", "word_idx", "pred_label")
 
 
-@query(f"""WITH lines AS ({LINES_SQL}), m AS (SELECT unnest(['a', 'b', 'c']) AS model), t AS (SELECT doc_id, line_no, model, lpad(((cents - cents % 100) / 100)::BIGINT::VARCHAR, 5, '0') || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS truth FROM lines, m WHERE line_no <= 2),
+@query(f"""WITH lines AS ({LINES_SQL}), m AS (SELECT unnest(['a', 'b', 'c']) AS model), t AS (SELECT doc_id, line_no, model, lpad(((cents - cents % 100) / 100)::BIGINT::VARCHAR, 5, '0') || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS truth FROM lines, m),
     f AS (SELECT *, CASE model WHEN 'a' THEN replace(truth, '0', 'O') WHEN 'b' THEN replace(truth, '.', ',') ELSE replace(truth, '1', '') END AS found FROM t)
     SELECT model, doc_id, line_no, levenshtein(truth, found) AS distance, round(levenshtein(truth, found) / length(truth), 6) AS cer, round(greatest(0, 1 - levenshtein(truth, found) / greatest(length(truth), length(found), 1)), 6) AS char_accuracy, truth = found AS exact, regexp_replace(truth, '[^0-9]', '', 'g') = regexp_replace(found, '[^0-9]', '', 'g') AS digits_match,
         (abs((length(truth) - length(replace(truth, '.', ''))) - (length(found) - length(replace(found, '.', '')))) + abs((length(truth) - length(replace(truth, ',', ''))) - (length(found) - length(replace(found, ',', '')))))::INT AS punctuation FROM f""")
@@ -330,8 +425,6 @@ def ocr_token_compare(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    from tillroll.plans.fixture import lines
-
     whole = F.lpad(((F.col("cents") - F.col("cents") % 100) / 100).cast("bigint").cast("string"), 5, "0")
     t = lines(spark, sf_dir).withColumn("truth", F.concat(whole, F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))).withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
     found = F.when(F.col("model") == "a", F.translate("truth", "0", "O")).when(F.col("model") == "b", F.translate("truth", ".", ",")).otherwise(F.translate("truth", "1", ""))
@@ -355,7 +448,7 @@ def ocr_confusions(spark, sf_dir):
     return M.character_confusions(_compared(spark, sf_dir))
 
 
-@query(f"""{_WORDS} SELECT text, count(*) AS n, regexp_matches(text, '^-?[0-9]{{1,6}}[.][0-9][0-9]$') AS price, regexp_matches(text, '^[0-9]{{1,3}}X$') AS quantity, regexp_matches(text, '^[0-9]{{4,}}$') AS strong_code FROM words WHERE line_no BETWEEN 1 AND 2 GROUP BY ALL""")
+@query(f"""{_WORDS} SELECT text, count(*) AS n, regexp_matches(text, '^-?[0-9]{{1,6}}[.][0-9][0-9]$') AS price, regexp_matches(text, '^[0-9]{{1,3}}X$') AS quantity, regexp_matches(text, '^[0-9]{{4,}}$') AS strong_code FROM words GROUP BY ALL""")
 def item_policy_texts(spark, sf_dir):
     t = F.col("text")
-    return words(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n")).select("text", "n", X.is_price_like(t).alias("price"), X.is_quantity_like(t).alias("quantity"), X.is_strong_code(t).alias("strong_code"))
+    return words(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n")).select("text", "n", Y.is_kind(t, "price").alias("price"), Y.is_kind(t, "quantity").alias("quantity"), Y.is_kind(t, "strong code").alias("strong_code"))

@@ -102,7 +102,7 @@ def export_box_validation(spark, sf_dir):
     return A.box_report(shifted)
 
 
-@query("SELECT label, round(avg(embedding[1]), 6) AS d0, round(avg(embedding[2]), 6) AS d1, count(*) AS n FROM embeddings GROUP BY label")
+@query("WITH each AS (SELECT label, i, round(avg(embedding[i]), 6) AS value, count(*) AS n FROM embeddings, unnest(generate_series(1, len(embedding))) AS x(i) GROUP BY ALL) SELECT label, list(value ORDER BY i) AS vector, max(n) AS n FROM each GROUP BY label")
 def span_pool_mean(spark, sf_dir):
     made = B.pool(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label")
     return made.withColumn("vector", F.transform("vector", lambda v: F.round(v, 6)))
