@@ -78,6 +78,40 @@ def test_sources(spark, tmp_path):
     assert sinks.manifest(spark, str(tmp_path / "a.jsonl")).count() == 1
 
 
+def test_lines_of_blocks(spark, tmp_path):
+    """Line numbers over the blocks of a file, with blank lines and Windows ends."""
+    from tillroll.sources import ocr
+
+    text = "".join(f'{{"id": {k}}}' + ("\r\n" if k % 3 else "\n\n") for k in range(3000)) + 'a.png\t{"id": -1}\nno json'
+    (tmp_path / "a.jsonl").write_text(text, newline="")
+    (tmp_path / "b.jsonl").write_text('{"id": 7}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        rows = ocr.json_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = {(r["path"][-7:], r["line_no"]): r["value"] for r in rows}
+    expected = {("a.jsonl", k): x.rstrip("\r") for k, x in enumerate(text.split("\n"), 1) if x.strip()} | {("b.jsonl", 1): '{"id": 7}'}
+    assert found == expected
+    assert [(r["file_name"], r["parsed"] is None) for r in rows if r["value"].startswith(("a.png", "no"))] == [("a.png", False), (None, True)]
+
+
+def test_summary_and_report(spark, tmp_path):
+    from tillroll.sources import sinks
+
+    df = spark.createDataFrame([(1, "a|b", None)], "n int, t string, z int")
+    sinks.write_summary(df, str(tmp_path / "s"), ["t", "missing", "n"])
+    assert next((tmp_path / "s").glob("*.csv")).read_text() == "t,missing,n\na|b,,1\n"
+    sinks.write_report(df, str(tmp_path / "r"))
+    import json
+
+    assert json.loads(next((tmp_path / "r").glob("*.txt")).read_text()) == {"n": 1, "t": "a|b", "z": None}
+    assert sinks.markdown_table(df) == ["| n | t | z |", "|---|---|---|", "| 1 | a\\|b |  |"]
+    with pytest.raises(Exception, match="exists"):
+        sinks.write_report(df, str(tmp_path / "r"))
+
+
 def test_streams(spark, tmp_path):
     from tillroll.streaming import events as E
 
@@ -190,3 +224,136 @@ def test_models_best_first(spark):
     rows = [("a", "12.30", "12,30"), ("b", "12.30", "12.30"), ("b", "tea", "x"), ("c", "12.30", "99999"), ("d", "tea", "tea"), ("e", "12.30", "12.30"), ("e", "tea", "tea")]
     made = M.summarise_models(M.compare_tokens(spark.createDataFrame(rows, "model string, truth string, found string")))
     assert [r["model"] for r in made.collect()] == ["e", "b", "a", "c", "d"]
+
+
+# Greedy operators against a plain reading of their rules.
+def some_spans(seed, n=25):
+    import numpy as np
+
+    r, rows = np.random.default_rng(seed), []
+    for d in range(n):
+        for k in range(int(r.integers(0, 9))):
+            x, y = int(r.integers(0, 300)), int(r.integers(0, 60))
+            rows.append((d, k, str(r.choice(["ITEM_NAME", "ITEM_PRICE", "ITEM_QTY"])), f"t{k}", 3 * k, 3 * k + int(r.integers(0, 3)), x, y, x + int(r.integers(1, 60)), y + int(r.integers(1, 40))))
+    return rows
+
+
+SPANS = "doc_id bigint, span_id int, field string, text string, first_word int, last_word int, x0 int, y0 int, x1 int, y1 int"
+
+
+def brute_nearest(head, candidates, right):
+    tall = lambda s: max(1, s[9] - s[7])
+    talls = sorted(map(tall, [head, *candidates]))
+    reach = max(10.0, min(90.0, talls[len(talls) // 2] * 1.45))
+    found = []
+    for c in candidates:
+        dx, dy = (c[6] + c[8]) / 2 - (head[6] + head[8]) / 2, abs((c[7] + c[9]) / 2 - (head[7] + head[9]) / 2)
+        if dy <= reach and not (right and dx < -0.2 * tall(head)):
+            found.append((dy * 10 + abs(dx) * 0.04 + (0 if dx >= 0 else 25), c[1]))
+    return min(found)[1] if found else None
+
+
+def test_nearest_by_brute_force(spark):
+    from tillroll.operators import pairs as P
+
+    rows = some_spans(3) + [(90, 0, "ITEM_NAME", "h", 0, 0, 100, 0, 120, 10), (90, 1, "ITEM_PRICE", "p", 1, 1, 85, 0, 125, 60), (91, 0, "ITEM_NAME", "h", 0, 0, 0, 0, 5, 5)]
+    df = spark.createDataFrame(rows, SPANS).repartition(3)
+    names, prices = df.where("field = 'ITEM_NAME'"), df.where("field = 'ITEM_PRICE'")
+    of = lambda d, field: [r for r in rows if r[0] == d and r[2] == field]
+    for right in (True, False):
+        expected = {(r[0], r[1]): brute_nearest(r, of(r[0], "ITEM_PRICE"), right) for r in rows if r[2] == "ITEM_NAME"}
+        got = {(r["doc_id"], r["span_id"]): r["c_span_id"] for r in P.nearest_same_row(names, prices, right).collect()}
+        assert got == {k: v for k, v in expected.items() if v is not None}
+    expected = {}
+    for d in {r[0] for r in rows}:
+        left = of(d, "ITEM_PRICE")
+        for head in of(d, "ITEM_NAME"):
+            best = brute_nearest(head, left, True) if left else None
+            if best is not None:
+                expected[d, head[1]] = best
+                left = [c for c in left if c[1] != best]
+    assert {(r["doc_id"], r["span_id"]): r["c_span_id"] for r in P.nearest_exclusive(names, prices).collect()} == expected
+
+
+def test_group_keys_in_order(spark):
+    from tillroll.operators import pairs as P
+    import numpy as np
+
+    rows, r, relations = some_spans(5), np.random.default_rng(6), []
+    for d in range(25):
+        for k in range(int(r.integers(0, 8))):
+            side = lambda: sorted(map(int, r.integers(0, 24, int(r.integers(1, 5)))))
+            relations.append((d, k, None if d % 2 and r.random() < 0.8 else f"g{int(r.integers(0, 4))}", str(r.choice(["ITEM_NAME", "ITEM_NAME", "menu.nm", "DATE"])), side(), str(r.choice(["ITEM_PRICE", "ITEM_PRICE", "ITEM_QTY", "STORE_NAME"])), side()))
+    schema = "doc_id bigint, rel_idx int, group_id string, head_field string, head_words array<int>, dep_field string, dep_words array<int>"
+    expected = {}
+    for d, k, own, head_field, head, dep_field, dep in sorted(relations, key=lambda x: x[:2]):
+        if head_field == "DATE" or dep_field == "STORE_NAME":
+            continue
+        met = []
+        for words in (head, dep):
+            share = [(len(set(words) & set(range(s[4], s[5] + 1))), -s[1]) for s in rows if s[0] == d]
+            met.append(-max(share)[1] if share and max(share)[0] else None)
+        if None not in met:
+            key = own or expected.get((d, met[0])) or f"item_rel_{k:04d}"
+            expected[d, met[0]] = expected[d, met[1]] = key
+    got = P.group_keys(spark.createDataFrame(rows, SPANS), spark.createDataFrame(relations, schema)).collect()
+    assert {(x["doc_id"], x["span_id"]): x["group_key"] for x in got} == {(s[0], s[1]): expected.get((s[0], s[1])) for s in rows}
+    assert any(v.startswith("item_rel") for v in expected.values())
+
+
+def test_relations_by_precedence(spark):
+    from tillroll.operators import pairs as P
+
+    rows = [(1, ["a"], None, ["b"], ["x"], ["y"]), (2, [], [], None, ["x"], ["y"]), (3, None, None, None, [], ["y", "z"]), (4, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, item_relations array<string>, summary_relations array<string>, payment_relations array<string>, relations array<string>, rel_g_edges array<string>")
+    assert sorted(map(tuple, P.relation_list(df).collect())) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "x"), (3, 0, "y"), (3, 1, "z")]
+
+
+def test_rows_and_relaxed_spans_by_brute_force(spark):
+    from tillroll.operators import metrics as M
+    from tillroll.operators import spans as B
+
+    rows = some_spans(7)
+    words = spark.createDataFrame([(r[0], r[1], r[6], r[7], r[9]) for r in rows], "doc_id bigint, word_idx int, x0 int, y0 int, y1 int").repartition(3)
+    expected = {}
+    for d in {r[0] for r in rows}:
+        page = [r for r in rows if r[0] == d]
+        talls = sorted(max(1, r[9] - r[7]) for r in page)
+        near, found = max(8.0, 0.65 * talls[len(talls) // 2]), []
+        for w in sorted(page, key=lambda r: ((r[7] + r[9]) / 2, r[6], r[1])):
+            middle = (w[7] + w[9]) / 2
+            row = next((x for x in found if abs(sum(x[0]) / len(x[0]) - middle) <= near), None)
+            if row is None:
+                found.append(row := ([], len(found)))
+            row[0].append(middle)
+            expected[d, w[1]] = row[1]
+    assert {(r["doc_id"], r["word_idx"]): r["row_id"] for r in B.row_clusters(words).collect()} == expected
+    other = some_spans(8)
+    counts = {}
+    for field in ("ITEM_NAME", "ITEM_PRICE", "ITEM_QTY"):
+        tp = fp = fn = 0
+        for d in range(25):
+            left = [(r[4], r[5]) for r in sorted(rows, key=lambda r: r[4:6]) if (r[0], r[2]) == (d, field)]
+            for p in sorted((r[4], r[5]) for r in other if (r[0], r[2]) == (d, field)):
+                hit = next((g for g in left if g[0] <= p[1] and p[0] <= g[1]), None)
+                tp, fp = tp + (hit is not None), fp + (hit is None)
+                if hit:
+                    left.remove(hit)
+            fn += len(left)
+        counts[field] = (tp, fp, fn)
+    made = M.relaxed_span_metrics(spark.createDataFrame(rows, SPANS), spark.createDataFrame(other, SPANS)).collect()
+    assert {r["field"]: (r["tp"], r["fp"], r["fn"]) for r in made} == counts
+
+
+def test_tail_and_cover(spark):
+    from tillroll.operators import splits as Z
+
+    df = spark.range(0, 50_000, 3).select(F.col("id"), (F.col("id") % 7).alias("label"), F.when(F.col("id") % 1000 == 0, "validation").otherwise("train").alias("split"))
+    ids = [3 * k for k in range(16667)]
+    for ratio in (0.0, 0.001, 0.15, 0.5, 0.9999):
+        take = min(max(round(len(ids) * ratio), 1), len(ids) - 1)
+        got = Z.tail_split(df.select("id"), "id", ratio).where("split = 'validation'").agg(F.min("id"), F.count("*")).first()
+        assert tuple(got) == (ids[-take], take)
+    moved = Z.cover_labels(df, "label", "split", 9, "id")
+    assert moved.columns == df.columns and moved.count() == len(ids)
+    assert {r["count"] for r in moved.where("split = 'validation'").groupBy("label").count().collect()} == {9}

@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def tail_split(df: DataFrame, key: str, ratio: float) -> DataFrame:
-    """Adds split: the last ids, half-even of ratio but one at least and not all, are validation.
+def rank_cut(ids: DataFrame, key: str, take: int, n: int, within: int = 10_000) -> object:
+    """The take-th greatest of n distinct numbers. An approximate quantile on either side leaves about one in so many to
+    sort, so no task sorts them all."""
+    low, high = ids.agg(F.percentile_approx(key, [max(0.0, 1 - take / n - 2 / within), min(1.0, 1 - take / n + 2 / within)], within)).first()[0]
+    above = ids.where(F.col(key) > F.lit(high)).count()
+    if above >= take:  # not within the quantile's stated error
+        low, high, above = high, None, 0
+    some = ids.where((F.col(key) >= F.lit(low)) & ((F.col(key) <= F.lit(high)) if high is not None else F.lit(True)))
+    found = some.orderBy(F.desc(key)).limit(take - above).agg(F.min(key), F.count("*")).first()
+    return found[0] if found[1] == take - above else ids.orderBy(F.desc(key)).limit(take).agg(F.min(key)).first()[0]
 
-    The cut is the id at that rank, found by one aggregate over distinct ids, so no task sorts all rows.
-    """
+
+def tail_split(df: DataFrame, key: str, ratio: float) -> DataFrame:
+    """Adds split: the last ids, half-even of ratio but one at least and not all, are validation. Ids are numbers."""
     ids = df.select(key).distinct()
     n = ids.count()
     take = min(max(round(n * ratio), 1), max(n - 1, 0))
-    cut = ids.orderBy(F.desc(key)).limit(take).agg(F.min(key)).first()[0] if take else None
+    cut = rank_cut(ids, key, take, n) if take else None
     return df.withColumn("split", F.when(F.col(key) >= F.lit(cut), "validation").otherwise("train") if take else F.lit("train"))
 
 
@@ -34,12 +43,17 @@ def balanced_sample(df: DataFrame, group: str, augmented: Column, order: str, n:
 
 
 def cover_labels(df: DataFrame, label: str, split: str, least: int, order: str) -> DataFrame:
-    """Moves train rows to validation, in order, until each label has so many there."""
+    """Moves train rows to validation, in order, until each label has so many there.
+
+    order tells the rows of a label apart. A label's first rows are found before any shuffle, so many from each task, and
+    only they are ranked; they are as many as labels times least, which is why they may be sent to all.
+    """
     have = df.groupBy(label).agg(F.count_if(F.col(split) == "validation").alias("_have"))
-    rank = F.row_number().over(Window.partitionBy(label, split).orderBy(order))
-    joined = df.join(have, label).withColumn("_k", rank)
-    moved = (F.col(split) == "train") & (F.col("_k") <= least - F.col("_have"))
-    return joined.withColumn(split, F.when(moved, "validation").otherwise(F.col(split))).drop("_have", "_k")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(order))
+    first = df.where(F.col(split) == "train").select(label, order).withColumn("_k", rank).where(F.col("_k") <= least)
+    moved = first.join(have, label).where(F.col("_k") <= least - F.col("_have")).select(label, order, F.lit(True).alias("_moved"))
+    joined = df.join(F.broadcast(moved), [label, order], "left")
+    return joined.withColumn(split, F.when(F.col("_moved") & (F.col(split) == "train"), "validation").otherwise(F.col(split))).select(*df.columns)
 
 
 def oversample(df: DataFrame, times: Column) -> DataFrame:

@@ -58,17 +58,18 @@ def _labelled(spark, sf_dir):
 
 def _sql_repair() -> str:
     fields = "CASE WHEN pred_label = 'O' THEN 'O' WHEN substr(pred_label, 3) = 'MENU_PRICE' THEN 'ITEM_PRICE' WHEN substr(pred_label, 3) = 'menu.nm' THEN 'ITEM_NAME' ELSE substr(pred_label, 3) END"
-    return f"""WITH words AS ({WORDS_SQL}), rel AS ({_SIDES.format(list='list_value')} ({_RELATIONS} ({LINES_SQL}))),
-    w AS (SELECT doc_id, word_idx, text, {fields} AS field, x0, y0, x1, y1 FROM words),
+    return f"""WITH words AS ({WORDS_SQL}), rel AS MATERIALIZED ({_SIDES.format(list='list_value')} ({_RELATIONS} ({LINES_SQL}))),
+    w AS MATERIALIZED (SELECT doc_id, word_idx, text, {fields} AS field, x0, y0, x1, y1 FROM words),
     s AS (SELECT doc_id, relation_id, 'head' AS side, 'ITEM_NAME' AS want, unnest(head_words) AS word_idx FROM rel UNION ALL SELECT doc_id, relation_id, 'tail', 'ITEM_PRICE', unnest(tail_words) FROM rel),
     j AS (SELECT s.*, text, field, coalesce(field = want, false) AS fits, x0, y0, x1, y1 FROM s LEFT JOIN w USING (doc_id, word_idx))"""
 
 
-@query(f"""{_sql_repair()}, g AS (SELECT doc_id, relation_id, side, coalesce(string_agg(word_idx::VARCHAR, ',' ORDER BY word_idx) FILTER (fits), '') AS ids, coalesce(string_agg(text, ' ' ORDER BY word_idx) FILTER (fits), '') AS txt, min(x0) FILTER (fits) AS x0, max(y1) FILTER (fits) AS y1,
-        count(field) AS valid, count(*) AS given, count_if(fits) AS fit FROM j GROUP BY ALL)
-    SELECT doc_id, relation_id, h.ids AS head_ids, h.txt AS head_text, coalesce(h.x0, -1) AS head_x0, t.ids AS tail_ids, t.txt AS tail_text, coalesce(t.y1, -1) AS tail_y1, h.fit > 0 AND t.fit > 0 AS kept,
-        concat_ws(', ', CASE WHEN h.valid > 0 AND h.fit = 0 THEN 'head: no word of its field' END, CASE WHEN t.valid < t.given THEN 'tail: word out of range' END, CASE WHEN t.valid > 0 AND t.fit = 0 THEN 'tail: no word of its field' END) AS warnings
-    FROM g h JOIN g t USING (doc_id, relation_id) WHERE h.side = 'head' AND t.side = 'tail'""")
+_SIDE = lambda side: f"coalesce(string_agg(word_idx::VARCHAR, ',' ORDER BY word_idx) FILTER (fits AND side = '{side}'), '') AS {side}_ids, coalesce(string_agg(text, ' ' ORDER BY word_idx) FILTER (fits AND side = '{side}'), '') AS {side}_text, count_if(side = '{side}' AND field IS NOT NULL) AS {side}_valid, count_if(side = '{side}') AS {side}_given, count_if(side = '{side}' AND fits) AS {side}_fit"
+
+
+@query(f"""{_sql_repair()}, g AS (SELECT doc_id, relation_id, {_SIDE("head")}, {_SIDE("tail")}, coalesce(min(x0) FILTER (fits AND side = 'head'), -1) AS head_x0, coalesce(max(y1) FILTER (fits AND side = 'tail'), -1) AS tail_y1 FROM j GROUP BY ALL)
+    SELECT doc_id, relation_id, head_ids, head_text, head_x0, tail_ids, tail_text, tail_y1, head_fit > 0 AND tail_fit > 0 AS kept,
+        concat_ws(', ', CASE WHEN head_valid > 0 AND head_fit = 0 THEN 'head: no word of its field' END, CASE WHEN tail_valid < tail_given THEN 'tail: word out of range' END, CASE WHEN tail_valid > 0 AND tail_fit = 0 THEN 'tail: no word of its field' END) AS warnings FROM g""")
 def relation_repair(spark, sf_dir):
     made = C.repair_relations(_relations(spark, sf_dir), _labelled(spark, sf_dir))
     return made.select("doc_id", "relation_id", F.array_join("head_words", ",").alias("head_ids"), "head_text", F.coalesce("head_x0", F.lit(-1)).alias("head_x0"), F.array_join("tail_words", ",").alias("tail_ids"), "tail_text", F.coalesce("tail_y1", F.lit(-1)).alias("tail_y1"), "kept", F.array_join("warnings", ", ").alias("warnings"))
@@ -131,14 +132,15 @@ def record_errors(spark, sf_dir):
     return C.record_errors(made, ["O", "B-ITEM_NAME"]).select("doc_id", "line_no", F.array_join("errors", ", ").alias("errors"))
 
 
-@query(f"""WITH words AS ({WORDS_SQL}), w AS (SELECT doc_id, CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label FROM words),
+@query(f"""WITH words AS ({WORDS_SQL}), w AS (SELECT doc_id, line_no, CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label FROM words),
     g AS (SELECT doc_id, count_if(label LIKE '%ITEM_NAME%') AS name_words, count_if(label LIKE '%ITEM_PRICE%') AS price_words FROM w GROUP BY ALL),
-    r AS (SELECT l_orderkey AS doc_id, count(*) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 1 GROUP BY ALL)
+    r AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, line_no FROM w GROUP BY ALL HAVING count_if(label LIKE '%ITEM_NAME%') > 0 AND count_if(label LIKE '%ITEM_PRICE%') > 0) GROUP BY ALL)
     SELECT doc_id, name_words, price_words, coalesce(k, 0) AS n_relations, concat_ws(', ', CASE WHEN price_words > 0 AND name_words = 0 THEN 'price without name' END, CASE WHEN name_words > 0 AND price_words = 0 THEN 'name without price' END, CASE WHEN k IS NULL THEN 'no relations' END) AS issues FROM g LEFT JOIN r USING (doc_id)""")
 def label_presence_audit(spark, sf_dir):
-    held = words(spark, sf_dir).selectExpr("doc_id", "CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label")
-    related = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").selectExpr("l_orderkey AS doc_id")
-    return C.audit_labels(held, related).withColumn("issues", F.array_join("issues", ", "))
+    held = words(spark, sf_dir).selectExpr("doc_id", "line_no", "CASE WHEN doc_id % 13 = 1 AND pred_label LIKE '%PRICE%' THEN NULL WHEN doc_id % 13 = 2 AND pred_label LIKE '%NAME%' THEN 'O' ELSE pred_label END AS label")
+    has = lambda field: F.count_if(F.col("label").contains(field)) > 0
+    related = held.groupBy("doc_id", "line_no").agg(has("ITEM_NAME").alias("a"), has("ITEM_PRICE").alias("b")).where("a AND b").select("doc_id")
+    return C.audit_labels(held.drop("line_no"), related).withColumn("issues", F.array_join("issues", ", "))
 
 
 #: The same box as named corners, an array of corners, of corner points, and of a corner and a size.

@@ -12,9 +12,11 @@ from tillroll.functions import schema as S
 from tillroll.functions import text as X
 from tillroll.operators import metrics as M
 from tillroll.operators import pairs as P
+from tillroll.operators import preparation as W
 from tillroll.operators import spans as B
 from tillroll.plans.fixture import LINES_SQL, WORDS_SQL, lines, words
 from tillroll.queries._registry import registry
+from tillroll.sources import ocr as O
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -452,3 +454,45 @@ def ocr_confusions(spark, sf_dir):
 def item_policy_texts(spark, sf_dir):
     t = F.col("text")
     return words(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n")).select("text", "n", Y.is_kind(t, "price").alias("price"), Y.is_kind(t, "quantity").alias("quantity"), Y.is_kind(t, "strong code").alias("strong_code"))
+
+
+# Items with texts of blanks, boxes without a size, and boxes beside the page.
+_ITEMS = """SELECT doc_id, word_idx AS raw_index, CASE WHEN word_idx % 11 = 3 THEN '  ' WHEN word_idx % 11 = 4 THEN ' ' || text || ' ' ELSE text END AS text, page_w, page_h,
+    CAST(x0 + CASE word_idx % 13 WHEN 5 THEN 900 WHEN 6 THEN -700 ELSE 0 END AS DOUBLE) AS a, CAST(y0 AS DOUBLE) AS b, CAST(x1 + CASE word_idx % 13 WHEN 5 THEN 900 ELSE 0 END AS DOUBLE) AS c, CAST(CASE WHEN word_idx % 13 = 7 THEN y0 ELSE y1 END AS DOUBLE) AS d FROM """
+_PREPARED = f"""{_WORDS}, i AS ({_ITEMS} words), x AS (SELECT *, least(greatest(round_even(a, 0)::INT, 0), page_w - 1) AS l, least(greatest(round_even(b, 0)::INT, 0), page_h - 1) AS t, least(greatest(round_even(c, 0)::INT, 0), page_w - 1) AS r, least(greatest(round_even(d, 0)::INT, 0), page_h - 1) AS m FROM i),
+    s AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty_text' WHEN NOT (c > a AND d > b) THEN 'invalid_box' WHEN NOT (r > l AND m > t) THEN 'invalid_box_after_clamp' END AS skipped FROM x)"""
+
+
+def _items(spark, sf_dir):
+    made = spark.sql(_ITEMS + "{w}", w=words(spark, sf_dir))
+    return made.withColumn("box", F.array("a", "b", "c", "d")).drop("a", "b", "c", "d")
+
+
+@query(f"""{_PREPARED} SELECT doc_id, raw_index, trim(text) AS text, skipped, CASE WHEN skipped IS NULL THEN (row_number() OVER (PARTITION BY doc_id, skipped IS NULL ORDER BY raw_index) - 1)::INT END AS word_idx,
+    CASE WHEN skipped IS NULL THEN concat_ws(',', l, t, r, m) END AS pixel, CASE WHEN skipped IS NULL THEN concat_ws(',', 1000 * l // page_w, 1000 * t // page_h, 1000 * r // page_w, 1000 * m // page_h) END AS thousandth FROM s""")
+def prepared_words(spark, sf_dir):
+    made = W.prepare_words(_items(spark, sf_dir))
+    joined = lambda c: F.when(F.col("skipped").isNull(), F.array_join(F.transform(c, lambda v: v.cast("string")), ",")).alias(c)
+    return made.select("doc_id", "raw_index", "text", "skipped", "word_idx", joined("pixel"), joined("thousandth"))
+
+
+@query(f"{_PREPARED} SELECT doc_id, count(*) AS n_items, count_if(skipped IS NULL) AS n_words, count_if(skipped = 'empty_text') AS n_empty, count_if(skipped LIKE 'invalid%') AS n_invalid, coalesce(max(CASE WHEN skipped IS NULL OR skipped = 'invalid_box_after_clamp' THEN greatest(a, b, c, d) END) <= 1000 AND greatest(max(page_w), max(page_h)) > 1000, false) AS maybe_thousandths FROM s GROUP BY doc_id")
+def skipped_words(spark, sf_dir):
+    return W.skip_counts(W.prepare_words(_items(spark, sf_dir)))
+
+
+@query(f"{_WORDS} SELECT doc_id, word_idx, text, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM words")
+def page_words(spark, sf_dir):
+    """Pages of four shapes, written as JSON and read as any page is: a list, words, tokens with values, lines and blocks."""
+    box = F.array("x0", "y0", "x1", "y1")
+    quad = F.array("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")
+    w = words(spark, sf_dir)
+    held = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.struct(*cols).alias("item")))), lambda x: x["item"])
+    corners = F.struct("text", F.col("x0").alias("left"), F.col("y0").alias("top"), F.col("x1").alias("right"), F.col("y1").alias("bottom"))
+    made = w.groupBy("doc_id").agg(held("text", box.alias("box")).alias("boxes"), held(F.col("text").alias("value"), quad.alias("quad")).alias("quads"), held(corners.alias("c")).alias("named"))
+    named = F.transform("named", lambda x: x["c"])
+    shape = F.col("doc_id") % 4
+    page = F.when(shape == 0, F.to_json("boxes")).when(shape == 1, F.to_json(F.struct(F.col("boxes").alias("words")))).when(shape == 2, F.to_json(F.struct(F.col("quads").alias("tokens"))))
+    page = page.otherwise(F.to_json(F.struct(F.slice(named, 1, 2).alias("lines"), F.slice(named, 3, 1_000_000).alias("blocks"))))
+    read = O.words_of_pages(made.select("doc_id", F.parse_json(page).alias("page")))
+    return read.select("doc_id", "word_idx", "text", *[F.col("box")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds k, the place of a line in its block of a file; a task reads a block's lines in order."""
+    now, seen = None, 0
+    for batch in batches:
+        places = []
+        for at in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+            now, seen = at, seen + 1 if at == now else 1
+            places.append(seen)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "k"])
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no from 1, value and parsed (a variant, null if the line is no JSON) of all lines but blank ones."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "value"))
-    lines = whole.where(F.trim("value") != "").select("path", (F.col("k") + 1).alias("line_no"), "value")
-    tail = F.element_at(F.split("value", "\t"), -1)
-    return lines.withColumn("parsed", F.coalesce(F.try_parse_json("value"), F.try_parse_json(tail)))
+    """path, line_no from 1, value, file_name and parsed (a variant, null if the line is no JSON) of all lines but blank ones.
+
+    A line may be JSON, or fields parted by tabs of which the last is; file_name is then the first. Files are read by
+    blocks; a line's number is that in its block and the lines of the blocks before.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.rtrim("value", F.lit("\r")).alias("value"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.mapInArrow(_numbered, "path string, block bigint, value string, k bigint").join(blocks, ["path", "block"])
+    some = numbered.where(F.regexp_replace("value", r"\s+", "") != "").select("path", (F.col("before") + F.col("k")).alias("line_no"), "value")
+    whole, fields = F.try_parse_json("value"), F.split("value", "\t")
+    return some.withColumn("file_name", F.when(whole.isNull() & (F.size(fields) > 1), fields[0])).withColumn("parsed", F.coalesce(whole, F.try_parse_json(F.element_at(fields, -1))))
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:

@@ -18,6 +18,23 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     made.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+def write_summary(df: DataFrame, path: str, columns: list[str], overwrite: bool = False) -> None:
+    """These columns in this order, a missing one empty, as one CSV file with a header; for tables of summary rows."""
+    made = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+    made.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+
+
+def write_report(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One row as one JSON document, indented."""
+    made = df.limit(1).select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    made.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def markdown_table(df: DataFrame) -> list[str]:
+    """A small table's head, rule and rows."""
+    return ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *[r["line"] for r in markdown(df).collect()]]
+
+
 def markdown(df: DataFrame) -> DataFrame:
     """Rows of a Markdown table as line, with bars escaped."""
     cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|") for c in df.columns]
