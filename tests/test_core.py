@@ -173,8 +173,10 @@ def test_categories(spark):
     got = [tuple(r)[2:] for r in made.collect()]
     other = ("OTHER", 0.35, "none")
     assert got == [("DRINK", 0.8, "iced latte"), other, ("DRINK", 0.8, "iced latte"), ("FOOD", 0.7, "tart & tea"), ("FOOD", 0.7, "tart & tea"), other, ("OTHER", 0.0, "empty"), ("OTHER", 0.0, "empty"), ("HEALTH", 1.0, "override")]
-    with pytest.raises(ValueError):
-        C.categorise(made, "item", rules * 3000)
+    more = [*rules, *[("NEVER", 0.1, f"none{k}") for k in range(C.RULES_IN_PLAN)]]  # too many for the plan
+    joined = C.categorise(spark.createDataFrame([(i, "kept") for i in items], "item string, category_note string"), "item", more, {"zed": "FIRST", "Zed": "HEALTH"})
+    assert sorted((tuple(r) for r in joined.collect()), key=repr) == sorted((tuple(r) for r in made.collect()), key=repr)
+    assert C.categorise(made.where("false").select("item"), "item", more).collect() == []
 
 
 def test_record_errors(spark):

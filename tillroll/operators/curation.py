@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +12,8 @@ from tillroll.functions import labels as L
 from tillroll.functions import policy as Y
 from tillroll.operators.spans import in_document
 
-#: Rules and overrides that may be held in a plan.
-MOST_RULES = 10_000
+#: Rules and overrides that are held in a plan; more are joined.
+RULES_IN_PLAN = 1000
 
 #: What a word labelled as an item's name becomes, by the first kind that it is.
 IN_NAME = [
@@ -130,13 +132,14 @@ def categorise(df: DataFrame, text: str, rules: list[tuple[str, float, str]], ov
     """Adds category, category_confidence and category_rule by rules (category, confidence, keyword), the first match first.
 
     A keyword matches as whole words, or one of 6 or more characters anywhere in the text without its spaces. Overrides
-    give whole texts a category with confidence 1. Else OTHER, 0.35, or 0 for an empty or null text. The rules are
-    literals of the plan, so that no join or shuffle is needed; more than MOST_RULES are refused.
+    give whole texts a category with confidence 1. Else OTHER, 0.35, or 0 for an empty or null text. Up to RULES_IN_PLAN
+    rules are literals of the plan, so that no join or shuffle is needed; more are joined to the distinct texts' runs of
+    words and of characters, with the same result.
     """
     overrides = overrides or {}
-    if len(rules) + len(overrides) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     out = df.withColumn("_text", item_text(F.col(text)))
+    if len(rules) + len(overrides) > RULES_IN_PLAN:
+        return _categorise_by_join(df.columns, out, rules, overrides)
     known = [F.struct(F.lit(c).alias("category"), F.lit(float(p)).alias("confidence"), F.lit(k).alias("rule"), item_text(F.lit(k)).alias("key")) for c, p, k in rules]
     padded, short = F.concat(F.lit(" "), F.col("_text"), F.lit(" ")), F.replace(F.col("_text"), F.lit(" "), F.lit(""))
 
@@ -157,6 +160,35 @@ def categorise(df: DataFrame, text: str, rules: list[tuple[str, float, str]], ov
     return found.select(*[F.col(c) for c in df.columns], F.col("_found.category").alias("category"), F.col("_found.confidence").alias("category_confidence"), F.col("_found.rule").alias("category_rule"))
 
 
+def _categorise_by_join(columns: list[str], out: DataFrame, rules: list[tuple[str, float, str]], overrides: dict[str, str]) -> DataFrame:
+    """categorise() for many rules: keywords meet equal runs of a text's words, long ones equal runs of its characters."""
+    spark = out.sparkSession
+    # An override comes before all rules, the last of equal ones first.
+    rows = [(k - len(overrides), v, 1.0, "override", name, True) for k, (name, v) in enumerate(reversed(overrides.items()))]
+    rows += [(k, c, float(p), key, key, False) for k, (c, p, key) in enumerate(rules)]
+    table = spark.createDataFrame(rows, "place bigint, category string, confidence double, rule string, name string, whole boolean").withColumn("key", item_text(F.col("name")))
+    table = table.where("key <> ''").withColumn("short", F.replace("key", F.lit(" "), F.lit("")))
+    size = table.agg(F.max(F.size(F.split("key", " "))), F.collect_set(F.when(F.length("short") >= 6, F.length("short")))).first()  # lengths of keywords
+    texts = out.where("_text <> ''").select("_text").distinct().withColumn("_words", F.split("_text", " ")).withColumn("_short", F.replace("_text", F.lit(" "), F.lit("")))
+    starts = lambda n, of: F.when(of >= n, F.sequence(F.lit(1), of - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.array(*[F.transform(starts(n, F.size("_words")), lambda i: F.array_join(F.slice("_words", i, n), " ")) for n in range(1, (size[0] or 0) + 1)]))
+    parts = F.flatten(F.array(*[F.transform(starts(n, F.length("_short")), lambda i: F.substring("_short", i, F.lit(n))) for n in sorted(size[1] or [])]))
+    found = [texts.join(table.where("whole"), F.col("_text") == F.col("key")).select("_text", "place")]
+    if size[0]:
+        found.append(texts.select("_text", F.explode(grams).alias("key")).join(table.where("NOT whole"), "key").select("_text", "place"))
+    if size[1]:
+        found.append(texts.select("_text", F.explode(parts).alias("short")).join(table.where("NOT whole"), "short").select("_text", "place"))
+    best = reduce(DataFrame.unionByName, found).groupBy("_text").agg(F.min("place").alias("place")).join(table, "place").select("_text", "category", "confidence", "rule")
+    joined = out.join(best, "_text", "left")
+    none = F.col("_text") == ""
+    return joined.select(
+        *[F.col(c) for c in columns],
+        F.coalesce("category", F.lit("OTHER")).alias("category"),
+        F.when(none, 0.0).otherwise(F.coalesce("confidence", F.lit(0.35))).alias("category_confidence"),
+        F.when(none, "empty").otherwise(F.coalesce("rule", F.lit("none"))).alias("category_rule"),
+    )
+
+
 def record_errors(records: DataFrame, labels: list[str]) -> DataFrame:
     """Adds errors to records(words, boxes, normalized_boxes, labels), whose arrays should be equally long.
 
