@@ -12,6 +12,7 @@ from tillroll.functions import labels as L
 from tillroll.functions import schema as S
 from tillroll.functions import text as X
 from tillroll.operators.pairs import precision_recall
+from tillroll.operators.spans import bio_spans
 
 THRESHOLDS = [k / 10 for k in range(1, 10)]
 
@@ -246,3 +247,40 @@ def character_confusions(df: DataFrame, truth: str = "truth", found: str = "foun
     return each.where(F.col("pair").isin(*pairs)).groupBy("model", "pair").agg(F.count("*").alias("n"))
 
 
+
+
+def token_metrics(words: DataFrame, gold: str, pred: str) -> DataFrame:
+    """One row: tokens, right ones, accuracy, and measures of the spans that the labels stand for, as wholes and of any field."""
+    tokens = words.agg(F.count("*").alias("n_tokens"), F.count_if(F.col(gold) == F.col(pred)).alias("n_correct"))
+    key = ["doc_id", "field", "first_word", "last_word"]
+    spans = lambda label, name: bio_spans(words, label).select(*key).distinct().withColumn(name, F.lit(1))
+    both = spans(gold, "g").join(spans(pred, "p"), key, "full_outer")
+    counts = both.agg(F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    accuracy = F.when(F.col("n_tokens") > 0, F.col("n_correct") / F.col("n_tokens")).otherwise(0.0).alias("accuracy")
+    return tokens.join(F.broadcast(counts)).select("n_tokens", "n_correct", accuracy, *_renamed(precision_recall(F.col("tp"), F.col("fp"), F.col("fn")), "span"))
+
+
+def flattened(df: DataFrame, *keys: str) -> DataFrame:
+    """A row for each number of each row: the keys, metric and value."""
+    names = [c for c in df.columns if c not in keys]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]))
+    return df.select(*keys, each.alias("m")).select(*keys, "m.*")
+
+
+def differences(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """By key, the greatest and mean absolute difference of two numbers, and how many there are; such rows merge."""
+    diff = F.abs(F.col(a) - F.col(b))
+    return df.groupBy(*keys).agg(F.max(diff).alias("max_diff"), F.avg(diff).alias("mean_diff"), F.count(diff).alias("n"))
+
+
+def verdicts(df: DataFrame, f1: str = "f1", hard: str = "hard_negatives", collisions: str = "collisions") -> DataFrame:
+    """Adds verdict, strong from an f1 of 0.9, usable from 0.8, else review; and notes on what remains."""
+    band = F.when(F.col(f1) >= 0.9, "strong").when(F.col(f1) >= 0.8, "usable").otherwise("review")
+    notes = F.array_compact(F.array(F.when(F.col(hard) > 0, "hard negatives remain"), F.when(F.col(collisions) > 0, "dependents collide")))
+    return df.withColumn("verdict", band).withColumn("notes", F.array_join(notes, ", "))
+
+
+def best_checkpoint(df: DataFrame, run: str, value: str, order: str, greater: bool = True) -> DataFrame:
+    """By run, the row with the greatest (or least) value, the first of equal ones."""
+    rank = F.struct((F.col(value) if not greater else -F.col(value)).alias("v"), F.col(order).alias("o"))
+    return df.groupBy(run).agg(F.min_by(order, rank).alias(order), F.min_by(value, rank).alias(value))

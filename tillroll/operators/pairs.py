@@ -217,6 +217,12 @@ def edge_verdicts(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame
     return pairs.withColumn("status", status).where("status IS NOT NULL").withColumn("hard_negative", hard)
 
 
+def edge_payload(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+    """Adds pred, 1 over the threshold, and correct, whether that agrees with gold."""
+    over = F.col("prob") >= threshold
+    return pairs.withColumn("pred", over.cast("int")).withColumn("correct", over == (F.col("gold") == 1))
+
+
 def item_errors(spans: DataFrame, pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
     """doc_id, kind, span_id and n: names to which no selected edge gives a price, or more than one does; dependents with
     more than one edge over the threshold."""

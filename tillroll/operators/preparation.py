@@ -36,15 +36,17 @@ def prepare_words(items: DataFrame, thousandths: bool = False) -> DataFrame:
 
 
 def skip_counts(prepared: DataFrame) -> DataFrame:
-    """By document: items, words, and items skipped for want of text and of a box; and whether all boxes may be thousandths
-    already, as none is beyond 1000 on a page that is larger."""
+    """By document: items, words, items skipped for want of text and of a box, and two warnings: many_outside, over two and
+    over half of the boxes end beyond the page; maybe_thousandths, none does beyond 1000 on a page of over 1500."""
     why = lambda *names: F.count_if(F.col("skipped").isin(*names))
-    far = F.max(F.when(F.col("skipped").isNull() | (F.col("skipped") == "invalid_box_after_clamp"), F.array_max("box")))
-    small = (far <= 1000) & (F.max(F.greatest("page_w", "page_h")) > 1000)
+    boxed = F.col("skipped").isNull() | (F.col("skipped") == "invalid_box_after_clamp")
+    outside = F.count_if(boxed & ((F.col("box")[2] > F.col("page_w")) | (F.col("box")[3] > F.col("page_h"))))
+    small = (F.max(F.when(boxed, F.array_max("box"))) <= 1000) & (F.max(F.greatest("page_w", "page_h")) > 1500)
     return prepared.groupBy("doc_id").agg(
         F.count("*").alias("n_items"),
         F.count_if(F.col("skipped").isNull()).alias("n_words"),
         why("empty_text").alias("n_empty"),
         why("invalid_box", "invalid_box_after_clamp").alias("n_invalid"),
+        (outside > F.greatest(F.lit(2), F.floor(F.count_if(boxed) / 2))).alias("many_outside"),
         F.coalesce(small, F.lit(False)).alias("maybe_thousandths"),
     )

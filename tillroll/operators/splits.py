@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +87,47 @@ def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("_a", F.lit(1)), right.select(key).distinct().withColumn("_b", F.lit(1))
     side = F.when(F.col("_a").isNull(), "right").when(F.col("_b").isNull(), "left").otherwise("both")
     return a.join(b, key, "full_outer").select(key, side.alias("side"))
+
+
+def seeded_split(df: DataFrame, key: str, validation: int, test: int, seed: int = 42) -> DataFrame:
+    """Adds split: the first test keys in order of a hash with the seed, then the validation ones, the rest train.
+
+    Of one or two keys all train; else two are left for train and validation, and one for train.
+    """
+    ids = df.select(key).distinct()
+    n = ids.count()
+    test = max(0, min(test, n - 2)) if n > 2 else 0
+    validation = max(0, min(validation, n - test - 1)) if n > 2 else 0
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    first = ids.withColumn("_h", order).orderBy("_h").limit(test + validation)
+    ranked = first.withColumn("_k", F.row_number().over(Window.orderBy("_h"))).select(key, F.when(F.col("_k") <= test, "test").otherwise("validation").alias("split"))
+    return df.join(F.broadcast(ranked), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def of_splits(df: DataFrame, mapping: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """Rows whose split, train where mapping(key, split) has none, is wanted."""
+    return df.join(mapping.select(key, "split"), key, "left").withColumn("split", F.coalesce("split", F.lit("train"))).where(F.col("split").isin(*wanted))
+
+
+def outside(df: DataFrame, path: str, names: list[str]) -> DataFrame:
+    """Rows whose path has none of these as one of its parts."""
+    return df.where(~F.arrays_overlap(F.split(F.col(path), "/"), F.array(*map(F.lit, names))))
+
+
+def listed(df: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """Rows whose key a manifest lists."""
+    return df.join(manifest.select(key).distinct(), key, "left_semi")
+
+
+def checked_union(*sources: DataFrame) -> DataFrame:
+    """The rows of all sources, which must have the same columns of the same types in any order."""
+    for df in sources[1:]:
+        if dict(df.dtypes) != dict(sources[0].dtypes):
+            raise ValueError(f"columns differ: {sorted(set(df.dtypes) ^ set(sources[0].dtypes))}")
+    return reduce(DataFrame.unionByName, sources)
+
+
+def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Words of two readings that differ at a place: doc_id, word_idx, left_text and right_text, null where one has none."""
+    a, b = left.select("doc_id", "word_idx", F.col("text").alias("left_text")), right.select("doc_id", "word_idx", F.col("text").alias("right_text"))
+    return a.join(b, ["doc_id", "word_idx"], "full_outer").where(~F.col("left_text").eqNullSafe(F.col("right_text")))

@@ -457,7 +457,7 @@ def item_policy_texts(spark, sf_dir):
 
 
 # Items with texts of blanks, boxes without a size, and boxes beside the page.
-_ITEMS = """SELECT doc_id, word_idx AS raw_index, CASE WHEN word_idx % 11 = 3 THEN '  ' WHEN word_idx % 11 = 4 THEN ' ' || text || ' ' ELSE text END AS text, page_w, page_h,
+_ITEMS = """SELECT doc_id, word_idx AS raw_index, CASE WHEN word_idx % 11 = 3 THEN '  ' WHEN word_idx % 11 = 4 THEN ' ' || text || ' ' ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 2000 ELSE page_w END AS page_w, page_h,
     CAST(x0 + CASE word_idx % 13 WHEN 5 THEN 900 WHEN 6 THEN -700 ELSE 0 END AS DOUBLE) AS a, CAST(y0 AS DOUBLE) AS b, CAST(x1 + CASE word_idx % 13 WHEN 5 THEN 900 ELSE 0 END AS DOUBLE) AS c, CAST(CASE WHEN word_idx % 13 = 7 THEN y0 ELSE y1 END AS DOUBLE) AS d FROM """
 _PREPARED = f"""{_WORDS}, i AS ({_ITEMS} words), x AS (SELECT *, least(greatest(round_even(a, 0)::INT, 0), page_w - 1) AS l, least(greatest(round_even(b, 0)::INT, 0), page_h - 1) AS t, least(greatest(round_even(c, 0)::INT, 0), page_w - 1) AS r, least(greatest(round_even(d, 0)::INT, 0), page_h - 1) AS m FROM i),
     s AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty_text' WHEN NOT (c > a AND d > b) THEN 'invalid_box' WHEN NOT (r > l AND m > t) THEN 'invalid_box_after_clamp' END AS skipped FROM x)"""
@@ -476,7 +476,11 @@ def prepared_words(spark, sf_dir):
     return made.select("doc_id", "raw_index", "text", "skipped", "word_idx", joined("pixel"), joined("thousandth"))
 
 
-@query(f"{_PREPARED} SELECT doc_id, count(*) AS n_items, count_if(skipped IS NULL) AS n_words, count_if(skipped = 'empty_text') AS n_empty, count_if(skipped LIKE 'invalid%') AS n_invalid, coalesce(max(CASE WHEN skipped IS NULL OR skipped = 'invalid_box_after_clamp' THEN greatest(a, b, c, d) END) <= 1000 AND greatest(max(page_w), max(page_h)) > 1000, false) AS maybe_thousandths FROM s GROUP BY doc_id")
+_BOXED = "(skipped IS NULL OR skipped = 'invalid_box_after_clamp')"
+
+
+@query(f"""{_PREPARED} SELECT doc_id, count(*) AS n_items, count_if(skipped IS NULL) AS n_words, count_if(skipped = 'empty_text') AS n_empty, count_if(skipped LIKE 'invalid%') AS n_invalid, count_if({_BOXED} AND (c > page_w OR d > page_h)) > greatest(2, count_if({_BOXED}) // 2) AS many_outside,
+    coalesce(max(CASE WHEN {_BOXED} THEN greatest(a, b, c, d) END) <= 1000 AND greatest(max(page_w), max(page_h)) > 1500, false) AS maybe_thousandths FROM s GROUP BY doc_id""")
 def skipped_words(spark, sf_dir):
     return W.skip_counts(W.prepare_words(_items(spark, sf_dir)))
 
