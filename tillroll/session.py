@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parent.parent)
+ROOT, PACKAGE = str(Path(__file__).resolve().parent.parent), Path(__file__).resolve().parent.name
+#: The context that has the archive.
+_shipped: dict[str, object] = {}
 
 #: Settings that suit any size; partition counts and memory belong to the cluster.
 DEFAULTS = {
@@ -23,14 +28,30 @@ DEFAULTS = {
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    """Let Python workers import this package: as an archive that Spark sends to every executor, once for a session.
+
+    With a local master the workers are on this machine and read it where the driver does.
+    """
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        paths = context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        if ROOT not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    elif _shipped.get("to") is not context:
+        folder = tempfile.mkdtemp(prefix=f"{PACKAGE}-")  # the driver serves the archive from here to executors
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{PACKAGE}", "zip", _copied(folder)))
+        _shipped["to"] = context
     return spark
 
 
+def _copied(folder: str) -> str:
+    """A folder with the package's sources alone."""
+    target = f"{folder}/sources"
+    shutil.copytree(f"{ROOT}/{PACKAGE}", f"{target}/{PACKAGE}", ignore=shutil.ignore_patterns("__pycache__"))
+    return target
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tillroll")
