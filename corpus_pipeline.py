@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import decontaminate, mixing, quality, simhash, tokens
-from tillroll.llm._common import materialise
+from tillroll.llm._common import discard, materialise
 from tillroll.session import ship, table
 
 
@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated to their target weights, in a global order by hash."""
+    """Sources repeated to their target weights, shuffled over all partitions by hash."""
     return mixing.mix(docs)
 
 
@@ -61,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(ship(spark), sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; a stage's table goes when the next is
+    written, that of the last but one when the shards are."""
+    docs, held = table(ship(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if held is not None:
+            discard(held)
+        held = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out
