@@ -707,12 +707,34 @@ def test_odd_rows_have_scores(spark, odd, nothing, n):
 
 
 def test_odd_rows_in_the_pipeline(spark, odd, nothing):
+    """Each stage on what the one before kept, against a plain reading of its rule."""
     for docs in (odd, nothing):
         now = docs
-        for name, stage in corpus_pipeline.STAGES:
-            before, now = now, stage(spark, now, SF)
-            assert name == "token shards" or now.columns == docs.columns
-        now.collect()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, now = now.collect(), stage(spark, now, SF)
+            assert now.columns == docs.columns
+            kept = Counter(map(tuple, now.collect()))
+            if name == "quality rules":
+                fine = []
+                for r in before:
+                    m = dict(zip(quality.MEASURES, quality.measure(r["text"])))
+                    fine += [tuple(r)] * (not any(eval(rule.replace(" OR ", " or ").replace(" AND ", " and "), {}, m) for rule in quality.RULES.values()))
+                assert kept == Counter(fine)
+            elif name == "simhash near-dedup":
+                groups = brute_components(dict(enumerate(brute_fingerprint(r["text"] or "") for r in before)))
+                of = {}
+                for k, r in enumerate(before):
+                    of.setdefault(groups[k], []).append(r)
+                least = lambda rows: min((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+                assert sum(kept.values()) == len(of)
+                assert Counter((r[0] is None, r[0] or 0) for r in kept.elements()) == Counter(map(least, of.values()))
+            elif name == "benchmark decontamination":
+                items = [(str(r["item_id"]), r["text"]) for r in table(spark, "benchmark").collect()]
+                assert kept == Counter(tuple(r) for r in before if not brute_contamination(r["text"], items)[3])
+            else:
+                assert kept == Counter(expected_3(before, spark))
+        rows = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert sum(r["n_tokens"] for r in rows) == max([r["start"] + r["n_tokens"] for r in rows], default=0) and len(rows) == now.count()
 
 
 def test_pipeline(spark, docs, local):
@@ -761,6 +783,45 @@ ACCOUNTS = [
 ]
 
 
+def brute_accounts(text):
+    """Every place at which an account of its country's length, or else the longest of a valid checksum, begins."""
+    out, at = [], 0
+    alnum = lambda c: c.isascii() and c.isalnum()
+    for i in range(len(text)):
+        if i < at or (i and alnum(text[i - 1])) or not re.match("[A-Z]{2}[0-9]{2}", text[i:]):
+            continue
+        found = []
+        for j in range(i + 15, min(len(text), i + 34 * 2) + 1):
+            piece = text[i:j]
+            account = piece.replace(" ", "")
+            form = re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+", piece) and not (j < len(text) and alnum(text[j]))
+            known = pii.ACCOUNT.get(piece[:2])
+            if form and (len(account) == known if known else 15 <= len(account) <= 34) and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1:
+                found.append(j)
+        if found:
+            at = found[-1]
+            out.append((i, at))
+    return out
+
+
+def test_accounts_by_brute_force(local):
+    r = np.random.default_rng(21)
+    good = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "FR1420041010050500013M02606", "ES9121000418450200051332"]
+    texts = [t for t, _ in ACCOUNTS] + list(local.values())[:60]
+    for _ in range(400):
+        parts = []
+        for _ in range(int(r.integers(1, 5))):
+            account = str(r.choice(good))
+            if r.random() < 0.5:
+                account = " ".join(account[k : k + 4] for k in range(0, len(account), 4))
+            if r.random() < 0.3:
+                account = account[:-1] + "7"
+            parts += [account, str(r.choice(["", "BIC", "x", "é", "XK05 1212 0123 4567 8906", "ZZ", "2024-01-02", "a b", "1"]))]
+        texts.append(str(r.choice([" ", ", ", ""])).join(parts))
+    for text in texts:
+        assert [(a, b) for k, a, b, _ in pii.personal_spans(text) if k == "iban"] == brute_accounts(text)
+
+
 @pytest.mark.parametrize("text,expected", ACCOUNTS)
 def test_accounts_before_words(text, expected):
     assert [text[a:b] for k, a, b, _ in pii.personal_spans(text) if k == "iban"] == expected
