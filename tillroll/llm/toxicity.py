@@ -31,11 +31,12 @@ MOST_LABELLED = 20_000
 #: Lengths in bytes of the beginnings that are features of longer words.
 BEGINNINGS = (5, 6, 7, 8, 9)
 #: Documents of the sample that a feature with a score must be in; one in fewer adds nothing to its beginnings.
-LEAST_DOCS = 2
+LEAST_DOCS = 3
 #: Weight of the prior of a feature's rate, in occurrences.
 PRIOR = 1.0
-#: Cost of a token: log-odds that a passage must have on average to be toxic.
-COST = 0.5
+#: Cost of a token: log-odds that a passage must have on average to be toxic. This and the least number of documents had the
+#: least cross-fitted loss on labelled documents that may be learnt from.
+COST = 1.5
 #: Scores are multiples of this, so that clean words have a bounded number of them.
 GRAIN = 1 / 256
 #: Parts of the sample, each scored by log-odds of the others.
@@ -132,13 +133,14 @@ class Model:
     rate: float = 1.0
     scale: float = 0.1
     curve: np.ndarray | None = None
+    cost: float = COST
 
     def tokens(self, of: np.ndarray) -> np.ndarray:
         """The score of each word, from its row of features."""
         if not hasattr(self, "_lookup"):
             self._lookup = Lookup(self.words)
         which, at = self._lookup.find(of.ravel())
-        return np.bincount(which // of.shape[1], self.gains[at], len(of)) - COST
+        return np.bincount(which // of.shape[1], self.gains[at], len(of)) - self.cost
 
     def scores(self, texts: list[bytes]) -> list[np.ndarray]:
         """The scores of the words of each text."""
