@@ -884,14 +884,16 @@ def brute_gains(docs, labelled, corpus):
     return {f: round(g / toxicity.GRAIN) * toxicity.GRAIN for f, g in gain.items() if seen[f] >= toxicity.LEAST_DOCS}
 
 
-def test_toxicity_of_small_tables_by_brute_force(spark):
+@pytest.mark.parametrize("slips", [0, 1])
+def test_toxicity_of_small_tables_by_brute_force(spark, slips):
+    """slips: bad words in some clean documents too, without which no clean word scores above zero and the rate is 1."""
     r = np.random.default_rng(12)
     common, bad = [f"word{k % 7}ing{k}" for k in range(40)] + ["the", "of", "a"], ["scum", "idiots", "idiotic", "idiotically"]
     texts, toxic = {}, {}
     for i in range(90):
         toxic[i] = int(i % 4 == 0)
         words = list(r.choice(common, int(r.integers(3, 40))))
-        for _ in range(3 * toxic[i]):
+        for _ in range(3 * toxic[i] + slips * (i % 10 == 1)):
             words.insert(int(r.integers(0, len(words) + 1)), str(r.choice(bad)))
         texts[i] = " ".join(map(str, words))
     texts |= {90: "", 91: None, 92: "Idiots, SCUM! idiotness", 93: "the of a"}
@@ -911,6 +913,8 @@ def test_toxicity_of_small_tables_by_brute_force(spark):
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (low, mid) if np.mean(np.exp(np.minimum(mid * every, 500))) > 1 else (mid, high)
+    assert (every.max() > 0) == bool(slips)
+    high = high if slips else 1.0
     scale = len(clean) / sum(len(x) * np.exp(-high * brute_best(x)) for x in clean)
     model = toxicity.train(docs, labels)
     assert model.rate == pytest.approx(high, rel=1e-6) and model.scale == pytest.approx(scale, rel=1e-6)
