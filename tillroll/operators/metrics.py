@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import labels as L
 from tillroll.functions import schema as S
 from tillroll.functions import text as X
+from tillroll.operators import pages
 from tillroll.operators.pairs import precision_recall
 from tillroll.operators.spans import bio_spans
 
@@ -99,41 +100,73 @@ def _tallies(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     )
 
 
+def tallies_of(counts: DataFrame, thresholds: list[float], *more: Column) -> DataFrame:
+    """The row of _tallies() from counts(head_field, dep_field, step, gold, n) as pages.tallies() makes them, where each
+    document has a pair once."""
+    at = {t: k for k, t in enumerate(sorted(thresholds), 1)}
+    n, edge, gold, price = F.col("n"), F.col("dep_field").isNotNull(), F.col("gold") == 1, F.col("dep_field") == "ITEM_PRICE"
+    total = lambda c, name: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name)
+    hard = ~gold & L.is_hard_negative_for_items(F.col("dep_field"))
+    out = [total(edge & gold, "pos"), total(price & gold, "ppos")]
+    for k, t in enumerate(thresholds):
+        over = F.col("step") >= at[t]
+        out += [total(edge & over, f"n{k}"), total(edge & over & gold, f"tp{k}"), total(over & hard, f"hard{k}"), total(price & over, f"pn{k}"), total(price & over & gold, f"ptp{k}")]
+        out.append((F.coalesce(F.sum(F.when(over, F.when(edge, n).otherwise(-n))), F.lit(0))).alias(f"collisions{k}"))
+    return counts.agg(*out, *more)
+
+
 def _renamed(columns: list[Column], prefix: str) -> list[Column]:
     return [c.alias(f"{prefix}_{name}") for c, name in zip(columns, ("precision", "recall", "f1"))]
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+def threshold_sweep(pairs: DataFrame, thresholds: list[float] = THRESHOLDS, counted: bool = False) -> DataFrame:
     """At every threshold, from one pass: measures of edges and of pairs with an item's price, wrong edges to fields that
-    no item may hold, and collisions."""
+    no item may hold, and collisions. Pairs may be counted already, by pages.tallies() at the same thresholds."""
+    return _swept((tallies_of if counted else _tallies)(pairs, thresholds), thresholds)
+
+
+def _swept(tallied: DataFrame, thresholds: list[float], *more: str) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{c}{k}").alias(c) for c in ("n", "tp", "hard", "pn", "ptp", "collisions")]) for k, t in enumerate(thresholds)]))
-    each = _tallies(pairs, thresholds).select("pos", "ppos", rows.alias("r")).select("pos", "ppos", "r.*")
+    each = tallied.select("pos", "ppos", *more, rows.alias("r")).select("pos", "ppos", *more, "r.*")
     edge = precision_recall(F.col("tp"), F.col("n") - F.col("tp"), F.col("pos") - F.col("tp"))
     pair = precision_recall(F.col("ptp"), F.col("pn") - F.col("ptp"), F.col("ppos") - F.col("ptp"))
-    return each.select("threshold", *_renamed(edge, "edge"), *_renamed(pair, "pair"), F.col("hard").alias("hard_negatives"), "collisions")
+    return each.select("threshold", *_renamed(edge, "edge"), *_renamed(pair, "pair"), F.col("hard").alias("hard_negatives"), "collisions", *more)
 
 
-def best_threshold(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+def best_threshold(pairs: DataFrame, thresholds: list[float] = THRESHOLDS, counted: bool = False) -> DataFrame:
     """The threshold with the best f1 of pairs with an item's price, then their precision, then the fewest wrong edges to
     fields that no item may hold, then the least."""
-    return threshold_sweep(pairs, thresholds).orderBy(F.desc("pair_f1"), F.desc("pair_precision"), "hard_negatives", "threshold").limit(1)
+    return threshold_sweep(pairs, thresholds, counted).orderBy(F.desc("pair_f1"), F.desc("pair_precision"), "hard_negatives", "threshold").limit(1)
 
 
-def evaluation(pairs: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+def evaluation(pairs: DataFrame, threshold: float = S.THRESHOLD, counted: bool = False) -> DataFrame:
     """One row that sums up the edges of all documents: pairs, measures of edges, of pairs with an item's price and of
-    edges to sums, wrong edges by kind, and collisions."""
-    over, gold = F.col("prob") >= threshold, F.col("gold") == 1
+    edges to sums, wrong edges by kind, and collisions. counted: see threshold_sweep()."""
+    over, gold = F.col("step") >= 1 if counted else F.col("prob") >= threshold, F.col("gold") == 1
     sums = F.col("dep_field").isin(*S.SUMMARY_DEPENDENTS)
     wrong = over & ~gold & L.is_hard_negative_for_items(F.col("dep_field"))
-    kinds = pairs.agg(
-        F.count("*").alias("n_pairs"),
-        F.count_if(gold).alias("n_positive"),
-        *[F.count_if(sums & c).alias(n) for n, c in (("stp", over & gold), ("sfp", over & ~gold), ("sfn", ~over & gold))],
-        *[F.count_if(wrong & c).alias(f"hard_{k}") for k, c in _hard_kinds().items()],
-    )
-    swept = threshold_sweep(pairs, [threshold])
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) if counted else F.count_if(c)
+    kinds = {
+        "n_pairs": tally(F.col("dep_field").isNotNull()) if counted else F.count("*"),
+        "n_positive": tally(gold),
+        **{n: tally(sums & c) for n, c in (("stp", over & gold), ("sfp", over & ~gold), ("sfn", ~over & gold))},
+        **{f"hard_{k}": tally(wrong & c) for k, c in _hard_kinds().items()},
+    }
+    kinds = [c.alias(n) for n, c in kinds.items()]
+    names = ["n_pairs", "n_positive", "stp", "sfp", "sfn", *[f"hard_{k}" for k in _hard_kinds()]]
+    whole = _swept(tallies_of(pairs, [threshold], *kinds), [threshold], *names) if counted else threshold_sweep(pairs, [threshold]).join(F.broadcast(pairs.agg(*kinds)))
     summary = _renamed(precision_recall(F.col("stp"), F.col("sfp"), F.col("sfn")), "summary")
-    return swept.join(F.broadcast(kinds)).select("threshold", "n_pairs", "n_positive", *[f"{a}_{b}" for a in ("edge", "pair") for b in ("precision", "recall", "f1")], *summary, "hard_negatives", *[f"hard_{k}" for k in _hard_kinds()], "collisions")
+    return whole.select("threshold", "n_pairs", "n_positive", *[f"{a}_{b}" for a in ("edge", "pair") for b in ("precision", "recall", "f1")], *summary, "hard_negatives", *[f"hard_{k}" for k in _hard_kinds()], "collisions")
+
+
+def counted_edge_metrics(counts: DataFrame, *keys: str) -> DataFrame:
+    """edge_metrics() by key columns from the numbers of pages.tallies() at one threshold, and hard_negatives, wrong edges
+    to fields that no item may hold."""
+    over, gold = F.col("step") >= 1, F.col("gold") == 1
+    tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    hard = tally(over & ~gold & L.is_hard_negative_for_items(F.col("dep_field")))
+    made = counts.where("dep_field IS NOT NULL").groupBy(*keys).agg(*[tally(c).alias(n) for n, c in (("tp", over & gold), ("fp", over & ~gold), ("fn", ~over & gold))], hard.alias("hard_negatives"))
+    return _with_prf(made, *keys, "hard_negatives")
 
 
 def matched_span_metrics(matched: DataFrame, gold: DataFrame) -> DataFrame:
@@ -143,6 +176,12 @@ def matched_span_metrics(matched: DataFrame, gold: DataFrame) -> DataFrame:
     right = F.col("gold_field") == F.col("field")
     found = matched.groupBy("field").agg(F.count("*").alias("pred"), F.count_if(right).alias("correct"), F.count_distinct(F.when(right, F.struct("doc_id", "gold_id"))).alias("matched"))
     both = found.join(gold.groupBy("field").agg(F.count("*").alias("gold")), "field", "full_outer").na.fill(0)
+    return matched_span_ratios(both)
+
+
+def matched_span_ratios(counts: DataFrame) -> DataFrame:
+    """The same from counts(field, pred, gold, correct, matched) of parts of the documents."""
+    both = counts.groupBy("field").agg(*[F.sum(c).alias(c) for c in ("pred", "gold", "correct", "matched")])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return both.select("field", "pred", "gold", "correct", "matched", ratio("correct", "pred").alias("precision"), ratio("matched", "gold").alias("recall"))
 
@@ -158,27 +197,14 @@ def strict_span_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
 def relaxed_span_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """By field, predicted spans that overlap a gold span of their field that no earlier one has taken.
 
-    The choice is greedy in order, so a document's spans of one field are one group.
+    The choice is greedy in order; documents are worked on many at a time, see pages.taken().
     """
-    import pandas as pd
-
-    cols = ["doc_id", "field", "first_word", "last_word"]
-    sides = gold.select(*cols, F.lit(0).alias("role")).unionByName(pred.select(*cols, F.lit(1).alias("role")))
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["first_word", "last_word"])
-        left = [(r.first_word, r.last_word) for r in page[page["role"] == 0].itertuples()]
-        n_gold, tp, fp = len(left), 0, 0
-        for r in page[page["role"] == 1].itertuples():
-            at = next((k for k, (a, b) in enumerate(left) if r.first_word <= b and a <= r.last_word), None)
-            if at is None:
-                fp += 1
-            else:
-                left.pop(at)
-                tp += 1
-        return pd.DataFrame({"field": [page["field"].iloc[0]], "tp": [tp], "fp": [fp], "fn": [n_gold - tp]})
-
-    counts = sides.groupBy("doc_id", "field").applyInPandas(greedy, "field string, tp bigint, fp bigint, fn bigint")
+    side = lambda df, pred: df.select("doc_id", "field", "first_word", "last_word", F.lit(pred).alias("pred"))
+    return relaxed_of(pages.by_document(side(gold, False).unionByName(side(pred, True)), pages.overlaps, pages.OVERLAPS))
+
+
+def relaxed_of(counts: DataFrame) -> DataFrame:
+    """The same from counts(field, tp, fp, fn) of parts of the documents."""
     return _with_prf(counts.groupBy("field").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "field")
 
 

@@ -130,29 +130,12 @@ def nearest_exclusive(heads: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc_id, span_id and c_span_id: as nearest_same_row() to the right, but heads take candidates in order and each
     serves once; the median is over the head and the candidates that are left.
 
-    The choice of one head depends on those before it, so a document is one group: the spans of one receipt.
+    The choice of one head depends on those before it; documents are worked on many at a time, see pages.exclusive().
     """
-    import pandas as pd
-
-    sides = heads.select("doc_id", "span_id", F.lit(0).alias("role"), "x0", "y0", "x1", "y1").unionByName(candidates.select("doc_id", "span_id", F.lit(1).alias("role"), "x0", "y0", "x1", "y1"))
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("span_id")
-        left = [r for r in page[page["role"] == 1].itertuples()]
-        out = []
-        for head in page[page["role"] == 0].itertuples():
-            tall = sorted(max(1.0, r.y1 - r.y0) for r in (head, *left))
-            reach = max(10.0, min(90.0, 1.45 * tall[len(tall) // 2]))
-            near = []
-            for k, c in enumerate(left):
-                dx, dy = (c.x0 + c.x1 - head.x0 - head.x1) / 2, abs(c.y0 + c.y1 - head.y0 - head.y1) / 2
-                if dy <= reach and dx >= -0.2 * max(1.0, head.y1 - head.y0):
-                    near.append((10 * dy + 0.04 * abs(dx) + 25 * (dx < 0), k))
-            if near:
-                out.append((head.doc_id, head.span_id, left.pop(min(near)[1]).span_id))
-        return pd.DataFrame(out, columns=["doc_id", "span_id", "c_span_id"])
-
-    return sides.groupBy("doc_id").applyInPandas(greedy, "doc_id bigint, span_id int, c_span_id int")
+    from tillroll.operators import pages
+
+    side = lambda df, head: df.select("doc_id", "span_id", F.lit(head).alias("head"), "x0", "y0", "x1", "y1")
+    return pages.by_document(side(heads, True).unionByName(side(candidates, False)), pages.exclusive, pages.EXCLUSIVE)
 
 
 def candidate_spans(spans: DataFrame, vocabulary: list[str] = S.FIELDS) -> DataFrame:

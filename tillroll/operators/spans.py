@@ -106,30 +106,14 @@ def chunks(words: DataFrame, size: int = 510) -> DataFrame:
     return words.withColumn("k", k).withColumn("chunk", F.floor(F.col("k") / size)).withColumn("place", F.col("k") % size).drop("k")
 
 
-def row_clusters(words: DataFrame) -> DataFrame:
+def row_clusters(words: DataFrame, together: bool = False) -> DataFrame:
     """doc_id, word_idx and row_id: words by height joined to the first row whose running mean is near.
 
-    The order decides, so a document is one group; it holds the words of one receipt.
+    The order decides; documents are worked on many at a time, see pages.rows(). together: see pages.by_document().
     """
-    import pandas as pd
-
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        middle = (page["y0"] + page["y1"]) / 2
-        heights = sorted((page["y1"] - page["y0"]).clip(lower=1))
-        tolerance = max(8.0, 0.65 * heights[len(heights) // 2])
-        rows: list[list[float]] = []  # mean, count
-        found = {}
-        for k in page.assign(m=middle).sort_values(["m", "x0", "word_idx"]).index:
-            at = next((j for j, (mean, _) in enumerate(rows) if abs(mean - middle[k]) <= tolerance), None)
-            if at is None:
-                at = len(rows)
-                rows.append([0.0, 0])
-            mean, n = rows[at]
-            rows[at] = [(mean * n + middle[k]) / (n + 1), n + 1]
-            found[k] = at
-        return pd.DataFrame({"doc_id": page["doc_id"], "word_idx": page["word_idx"], "row_id": page.index.map(found).astype("int32")})
-
-    return words.select("doc_id", "word_idx", "x0", "y0", "y1").groupBy("doc_id").applyInPandas(cluster, "doc_id bigint, word_idx int, row_id int")
+    from tillroll.operators import pages
+
+    return pages.by_document(words.select("doc_id", "word_idx", "x0", "y0", "y1"), pages.rows, pages.ROW_IDS, together)
 
 
 def bio_violations(words: DataFrame, label: str, *same: str) -> DataFrame:

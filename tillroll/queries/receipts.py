@@ -11,6 +11,7 @@ from tillroll.functions import policy as Y
 from tillroll.functions import schema as S
 from tillroll.functions import text as X
 from tillroll.operators import metrics as M
+from tillroll.operators import pages as D
 from tillroll.operators import pairs as P
 from tillroll.operators import preparation as W
 from tillroll.operators import spans as B
@@ -71,6 +72,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.gold_edges(P.score_by_geometry(P.candidate_pairs(_spans(spark, sf_dir))))
 
 
+def _counted(spark: SparkSession, sf_dir: str, thresholds: list[float]) -> DataFrame:
+    """Numbers of scored pairs, made and counted document by document."""
+    return _paged(spark, sf_dir, D.tallies("pred_label", thresholds), "pred_label", *D.BOXED)
+
+
+def _paged(spark: SparkSession, sf_dir: str, made: tuple, *columns: str) -> DataFrame:
+    """What is made of the words of whole documents, which plans.fixture keeps together."""
+    return D.by_document(words(spark, sf_dir).select("doc_id", "word_idx", *columns), *made, together=True)
+
+
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in names})
 
@@ -169,7 +180,7 @@ def bio_recompute(spark, sf_dir):
 
 @query(None)
 def row_clustering(spark, sf_dir):
-    return B.row_clusters(words(spark, sf_dir))
+    return B.row_clusters(words(spark, sf_dir), together=True)
 
 
 @query(f"""{_WITH_FIELD}, s AS (SELECT *, sum(CASE WHEN lag(field) OVER w IS DISTINCT FROM field AND row_number() OVER w > 1 THEN 1 ELSE 0 END) OVER w AS segment FROM (SELECT *, lag(field) OVER w AS b, row_number() OVER w AS r FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY word_idx)) WINDOW w AS (PARTITION BY doc_id ORDER BY word_idx))
