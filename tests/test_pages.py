@@ -7,6 +7,7 @@ from tillroll.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "row_clustering",
+    "nearest_same_row_exclusive",
 ]
 
 

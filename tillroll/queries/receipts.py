@@ -238,8 +238,7 @@ def nearest_quantity(spark, sf_dir):
 
 @query(None)
 def nearest_same_row_exclusive(spark, sf_dir):
-    s = _spans(spark, sf_dir, "gold_label")
-    return P.nearest_exclusive(s.where("field = 'ITEM_NAME'"), s.where("field = 'ITEM_PRICE'"))
+    return _paged(spark, sf_dir, D.label_exclusive("gold_label", "ITEM_NAME", "ITEM_PRICE"), "gold_label", "x0", "y0", "x1", "y1")
 
 
 @query(f"{_EDGES} SELECT doc_id, pair_index, head_span_id, dep_span_id, prob, round(link_margin, 6) AS link_margin FROM edges")
