@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "row_clustering",
     "nearest_same_row_exclusive",
+    "span_prf_relaxed",
 ]
 
 

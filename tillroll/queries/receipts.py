@@ -403,8 +403,8 @@ def span_prf_strict(spark, sf_dir):
 
 @query(None)
 def span_prf_relaxed(spark, sf_dir):
-    w = words(spark, sf_dir)
-    return _rounded(M.relaxed_span_metrics(B.bio_spans(w, "gold_label"), B.bio_spans(w, "pred_label")), *_R)
+    counts = _paged(spark, sf_dir, D.label_overlaps("gold_label", "pred_label"), "gold_label", "pred_label")
+    return _rounded(M.relaxed_of(counts), *_R)
 
 
 @query(f"""{_WORDS}, f AS (SELECT {_field('gold_label')} AS g, {_field('pred_label')} AS p FROM words), x AS (SELECT unnest(list_distinct([g, p])) AS field, g, p FROM f),
