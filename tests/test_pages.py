@@ -18,3 +18,8 @@ def test_words_are_not_dealt_out_again(spark, name):
     assert plan.count("Generate explode(CASE") == 1  # words are made once
     after = plan.partition("Generate explode(CASE")[0]
     assert not [w for w in ("Sort", "Join", "Window", "FlatMapGroupsInPandas", "hashpartitioning(doc_id") if w in after]
+
+
+def test_pages_are_read_once(spark):
+    plan = QUERIES["page_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(CASE") == 1 and "Union" not in plan

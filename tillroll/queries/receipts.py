@@ -498,15 +498,14 @@ def skipped_words(spark, sf_dir):
 @query(f"{_WORDS} SELECT doc_id, word_idx, text, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM words")
 def page_words(spark, sf_dir):
     """Pages of four shapes, written as JSON and read as any page is: a list, words, tokens with values, lines and blocks."""
-    box = F.array("x0", "y0", "x1", "y1")
-    quad = F.array("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")
     w = words(spark, sf_dir)
-    held = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.struct(*cols).alias("item")))), lambda x: x["item"])
-    corners = F.struct("text", F.col("x0").alias("left"), F.col("y0").alias("top"), F.col("x1").alias("right"), F.col("y1").alias("bottom"))
-    made = w.groupBy("doc_id").agg(held("text", box.alias("box")).alias("boxes"), held(F.col("text").alias("value"), quad.alias("quad")).alias("quads"), held(corners.alias("c")).alias("named"))
-    named = F.transform("named", lambda x: x["c"])
+    made = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "x0", "y0", "x1", "y1"))).alias("held"))
+    corner = lambda x: [x[c] for c in ("x0", "y0", "x1", "y1")]
+    boxes = F.transform("held", lambda x: F.struct(x["text"].alias("text"), F.array(*corner(x)).alias("box")))
+    quads = F.transform("held", lambda x: F.struct(x["text"].alias("value"), F.array(*[x[c] for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")]).alias("quad")))
+    named = F.transform("held", lambda x: F.struct(x["text"].alias("text"), *[c.alias(n) for n, c in zip(("left", "top", "right", "bottom"), corner(x))]))
     shape = F.col("doc_id") % 4
-    page = F.when(shape == 0, F.to_json("boxes")).when(shape == 1, F.to_json(F.struct(F.col("boxes").alias("words")))).when(shape == 2, F.to_json(F.struct(F.col("quads").alias("tokens"))))
+    page = F.when(shape == 0, F.to_json(boxes)).when(shape == 1, F.to_json(F.struct(boxes.alias("words")))).when(shape == 2, F.to_json(F.struct(quads.alias("tokens"))))
     page = page.otherwise(F.to_json(F.struct(F.slice(named, 1, 2).alias("lines"), F.slice(named, 3, 1_000_000).alias("blocks"))))
     read = O.words_of_pages(made.select("doc_id", F.parse_json(page).alias("page")))
     return read.select("doc_id", "word_idx", "text", *[F.col("box")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])

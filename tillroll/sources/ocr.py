@@ -60,14 +60,21 @@ def _number(v: Column, path: str) -> Column:
 def parse_box(v: Column) -> Column:
     """left, top, right, bottom of an element: named corners, or an array of four (with a size, if the corners would be
     out of order) or of eight; null if it has none."""
+    return _corners(*_written(v))
+
+
+def _written(v: Column) -> tuple[Column, Column]:
+    """The named corners of an element, and its array."""
     named = [F.coalesce(*[_number(v, f"$.{n}") for n in names]) for names in (("left", "x0", "xmin"), ("top", "y0", "ymin"), ("right", "x1", "xmax"), ("bottom", "y1", "ymax"))]
-    arrays = F.coalesce(*[F.try_variant_get(v, f"$.{n}", "array<double>") for n in ("box", "bbox", "quad")])
+    return F.array(*named), F.coalesce(*[F.try_variant_get(v, f"$.{n}", "array<double>") for n in ("box", "bbox", "quad")])
+
+
+def _corners(whole: Column, arrays: Column) -> Column:
     four = [arrays[k] for k in range(4)]
     size = (four[2] < four[0]) | (four[3] < four[1])
     of_four = F.array(four[0], four[1], F.when(size, four[0] + four[2]).otherwise(four[2]), F.when(size, four[1] + four[3]).otherwise(four[3]))
     even, odd = F.filter(arrays, lambda x, k: k % 2 == 0), F.filter(arrays, lambda x, k: k % 2 == 1)
     of_eight = F.array(F.array_min(even), F.array_min(odd), F.array_max(even), F.array_max(odd))
-    whole = F.array(*named)
     return F.when(~F.exists(whole, lambda x: x.isNull()), whole).when(F.size(arrays) == 4, of_four).when(F.size(arrays) == 8, of_eight)
 
 
@@ -79,19 +86,19 @@ def words_of_pages(pages: DataFrame) -> DataFrame:
     """doc_id, word_idx, text and box from pages(doc_id, page), page a variant.
 
     The first of these that has any element: a list, words, tokens; else all elements of lines, textBlocks and blocks.
-    Elements without text or a valid box go, and the others are numbered anew.
+    Elements without text or a valid box go, and the others are numbered anew. A page is read once, in place: nothing is
+    dealt out or sorted, and what an element says is looked up once.
     """
-    lists = {"$": 0, "$.words": 1, "$.tokens": 2, "$.lines": 3, "$.textBlocks": 3, "$.blocks": 3}
-    found = None
-    for k, (path, rank) in enumerate(lists.items()):
-        items = F.try_variant_get("page", path, "array<variant>")
-        one = pages.select("doc_id", F.lit(rank).alias("rank"), F.lit(k).alias("list"), F.posexplode(items).alias("place", "item"))
-        found = one if found is None else found.unionByName(one)
-    best = found.withColumn("best", F.min("rank").over(Window.partitionBy("doc_id"))).where("rank = best")
-    made = best.select("doc_id", "list", "place", F.trim(element_text(F.col("item"))).alias("text"), parse_box(F.col("item")).alias("box"))
-    fine = made.where((F.col("text") != "") & (F.col("box")[2] > F.col("box")[0]) & (F.col("box")[3] > F.col("box")[1]))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("list", "place")) - 1
-    return fine.select("doc_id", number.alias("word_idx"), "text", "box")
+    listed = lambda path: F.try_variant_get("page", path, "array<variant>")
+    none = F.array().cast("array<variant>")
+    found = F.concat(*[F.coalesce(listed(f"$.{n}"), none) for n in ("lines", "textBlocks", "blocks")])
+    for path in ("$.tokens", "$.words", "$"):
+        found = F.when(F.size(listed(path)) > 0, listed(path)).otherwise(found)
+    read = F.transform("items", lambda v: F.struct(F.trim(element_text(v)).alias("text"), *[c.alias(n) for n, c in zip(("whole", "array"), _written(v))]))
+    made = F.transform("read", lambda e: F.struct(e["text"].alias("text"), _corners(e["whole"], e["array"]).alias("box")))
+    fine = F.filter("made", lambda e: (e["text"] != "") & (e["box"][2] > e["box"][0]) & (e["box"][3] > e["box"][1]))
+    held = pages.select("doc_id", found.alias("items")).select("doc_id", read.alias("read")).select("doc_id", made.alias("made"))
+    return held.select("doc_id", F.posexplode(fine).alias("word_idx", "item")).select("doc_id", "word_idx", "item.text", "item.box")
 
 
 def paired_files(spark: SparkSession, images: str, sheets: str) -> DataFrame:
