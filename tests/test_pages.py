@@ -9,6 +9,7 @@ NAMES = [
     "row_clustering",
     "nearest_same_row_exclusive",
     "span_prf_relaxed",
+    "decode_items",
 ]
 
 

@@ -257,8 +257,7 @@ _KEY = f"CASE dep_field {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in S.OUTPUT_
     SELECT h.doc_id, h.span_id, h.text AS item_name, {", ".join(_SINGLE)}, {", ".join(f"coalesce({s}, '') AS {s}" for s in S.LIST_SLOTS)}, coalesce(n_edges, 0) AS n_edges, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_low_margin, 0) AS n_low_margin,
         (row_number() OVER (PARTITION BY h.doc_id ORDER BY h.span_id) - 1)::INT AS item_index, price IS NULL AS missing_price FROM spans h LEFT JOIN slots USING (doc_id, span_id) WHERE h.field = 'ITEM_NAME'""")
 def decode_items(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
-    return P.decode_items(spans, P.select_edges(P.score_by_geometry(P.candidate_pairs(spans))))
+    return _paged(spark, sf_dir, D.decoded("pred_label"), "pred_label", "text", *D.BOXED)
 
 
 @query(f"""{_EDGES}, slotted AS (SELECT *, CASE {" ".join(f"WHEN head_field = '{h}' AND dep_field = '{d}' THEN '{a}.{b}'" for (h, d), (a, b) in S.SUMMARY_SLOTS.items())} END AS slot_at FROM edges)
