@@ -10,6 +10,7 @@ NAMES = [
     "nearest_same_row_exclusive",
     "span_prf_relaxed",
     "decode_items",
+    "candidate_pairs",
 ]
 
 

@@ -203,7 +203,7 @@ def context_nodes(spark, sf_dir):
 
 @query(f"{_PAIRS} SELECT doc_id, pair_index, head_span_id, dep_span_id, head_field, dep_field, head_text, dep_text, gold FROM scored")
 def candidate_pairs(spark, sf_dir):
-    return P.gold_edges(P.candidate_pairs(_spans(spark, sf_dir))).select("doc_id", "pair_index", "head_span_id", "dep_span_id", "head_field", "dep_field", "head_text", "dep_text", "gold")
+    return _paged(spark, sf_dir, D.candidates("pred_label"), "pred_label", "text", *D.BOXED)
 
 
 @query(f"""{_WORDS}, {_spans_sql('pred_label', 'spans')}, o AS (SELECT s.doc_id, span_id, w.line_no, count(*) AS overlap FROM spans s JOIN words w ON s.doc_id = w.doc_id AND w.word_idx BETWEEN first_word AND last_word GROUP BY ALL),
