@@ -11,6 +11,7 @@ NAMES = [
     "span_prf_relaxed",
     "decode_items",
     "candidate_pairs",
+    "threshold_sweep",
 ]
 
 

@@ -325,7 +325,7 @@ _SWEPT = [f"{a}_{b}" for a in ("edge", "pair") for b in ("precision", "recall",
 
 @query(f"{_sweep_sql(M.THRESHOLDS)} SELECT * FROM swept")
 def threshold_sweep(spark, sf_dir):
-    return _rounded(M.threshold_sweep(_scored(spark, sf_dir)), *_SWEPT)
+    return _rounded(M.threshold_sweep(_counted(spark, sf_dir, M.THRESHOLDS), counted=True), *_SWEPT)
 
 
 @query(f"{_sweep_sql(M.THRESHOLDS)} SELECT * FROM swept ORDER BY pair_f1 DESC, pair_precision DESC, hard_negatives, threshold LIMIT 1")
