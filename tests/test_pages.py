@@ -12,6 +12,7 @@ NAMES = [
     "decode_items",
     "candidate_pairs",
     "threshold_sweep",
+    "best_threshold",
 ]
 
 

@@ -330,7 +330,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query(f"{_sweep_sql(M.THRESHOLDS)} SELECT * FROM swept ORDER BY pair_f1 DESC, pair_precision DESC, hard_negatives, threshold LIMIT 1")
 def best_threshold(spark, sf_dir):
-    return _rounded(M.best_threshold(_scored(spark, sf_dir)), *_SWEPT)
+    return _rounded(M.best_threshold(_counted(spark, sf_dir, M.THRESHOLDS), counted=True), *_SWEPT)
 
 
 @query(f"""{_sweep_sql([0.3])}, s AS (SELECT {_COUNTS.replace("{t}", "0.3")} FROM scored WHERE dep_field IN ({_list(S.SUMMARY_DEPENDENTS)})),
