@@ -13,6 +13,7 @@ NAMES = [
     "candidate_pairs",
     "threshold_sweep",
     "best_threshold",
+    "evaluation_summary",
 ]
 
 

@@ -337,7 +337,7 @@ def best_threshold(spark, sf_dir):
     h AS (SELECT {", ".join(f"count_if({c}) AS hard_{k}" for k, c in _HARD_KINDS.items())} FROM scored WHERE gold = 0 AND prob >= 0.3 AND {_HARD}), n AS (SELECT count(*) AS n_pairs, count_if(gold = 1) AS n_positive FROM scored)
     SELECT swept.*, n.*, h.*, {_MEASURES("summary", "tp", "fp", "fn")} FROM swept, s, h, n""")
 def evaluation_summary(spark, sf_dir):
-    return _rounded(M.evaluation(_scored(spark, sf_dir), 0.3), *_SWEPT, "summary_precision", "summary_recall", "summary_f1")
+    return _rounded(M.evaluation(_counted(spark, sf_dir, [0.3]), 0.3, counted=True), *_SWEPT, "summary_precision", "summary_recall", "summary_f1")
 
 
 @query(f"""{_PAIRS} SELECT doc_id, pair_index, CASE WHEN prob >= {S.THRESHOLD} THEN CASE WHEN gold = 1 THEN 'correct' ELSE 'wrong' END ELSE 'missed' END AS status, prob >= {S.THRESHOLD} AND gold = 0 AND regexp_matches(dep_field, '^(TOTAL|SUBTOTAL)_') AS hard_negative
