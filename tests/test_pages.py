@@ -14,6 +14,7 @@ NAMES = [
     "threshold_sweep",
     "best_threshold",
     "evaluation_summary",
+    "edge_verdicts",
 ]
 
 

@@ -343,7 +343,7 @@ def evaluation_summary(spark, sf_dir):
 @query(f"""{_PAIRS} SELECT doc_id, pair_index, CASE WHEN prob >= {S.THRESHOLD} THEN CASE WHEN gold = 1 THEN 'correct' ELSE 'wrong' END ELSE 'missed' END AS status, prob >= {S.THRESHOLD} AND gold = 0 AND regexp_matches(dep_field, '^(TOTAL|SUBTOTAL)_') AS hard_negative
     FROM scored WHERE prob >= {S.THRESHOLD} OR gold = 1""")
 def edge_verdicts(spark, sf_dir):
-    return P.edge_verdicts(_scored(spark, sf_dir)).select("doc_id", "pair_index", "status", "hard_negative")
+    return _paged(spark, sf_dir, D.verdicts("pred_label"), "pred_label", *D.BOXED)
 
 
 @query(f"""{_EDGES}, q AS (SELECT doc_id, head_span_id AS span_id, count(*) AS n FROM edges WHERE head_field = 'ITEM_NAME' AND dep_field = 'ITEM_PRICE' GROUP BY ALL), m AS (SELECT s.doc_id, s.span_id, coalesce(n, 0) AS n FROM spans s LEFT JOIN q ON s.doc_id = q.doc_id AND s.span_id = q.span_id WHERE field = 'ITEM_NAME')
