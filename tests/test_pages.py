@@ -15,6 +15,7 @@ NAMES = [
     "best_threshold",
     "evaluation_summary",
     "edge_verdicts",
+    "span_match_metrics",
 ]
 
 

@@ -366,13 +366,8 @@ def candidate_span_filter(spark, sf_dir):
     h AS (SELECT field, count(*) AS gold FROM gold GROUP BY field), x AS (SELECT field, coalesce(pred, 0) AS pred, coalesce(gold, 0) AS gold, coalesce(correct, 0) AS correct, coalesce(matched, 0) AS matched FROM f FULL JOIN h USING (field))
     SELECT *, round(coalesce(correct / nullif(pred, 0), 0), 6) AS precision, round(coalesce(matched / nullif(gold, 0), 0), 6) AS recall FROM x""")
 def span_match_metrics(spark, sf_dir):
-    w = words(spark, sf_dir)
-    gold, pred = B.bio_spans(w, "gold_label"), B.bio_spans(w, "pred_label")
-    held = gold.select("doc_id", F.col("span_id").alias("line_no"), F.explode(F.sequence("first_word", "last_word")).alias("word_idx"))
-    found = P.match_by_overlap(pred.select("doc_id", "span_id", "field", "first_word", "last_word"), held)
-    named = gold.select("doc_id", F.col("span_id").alias("gold_id"), F.col("field").alias("gold_field"))
-    matched = found.withColumnRenamed("match_line", "gold_id").join(named, ["doc_id", "gold_id"], "left")
-    return _rounded(M.matched_span_metrics(matched, named.withColumnRenamed("gold_field", "field")), "precision", "recall")
+    counts = _paged(spark, sf_dir, D.matches("gold_label", "pred_label"), "gold_label", "pred_label")
+    return _rounded(M.matched_span_ratios(counts), "precision", "recall")
 
 
 # Relations of each line, written before and after each other: its name with its quantity, then with its price, under one
