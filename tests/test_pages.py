@@ -16,6 +16,7 @@ NAMES = [
     "evaluation_summary",
     "edge_verdicts",
     "span_match_metrics",
+    "context_nodes",
 ]
 
 

@@ -197,8 +197,7 @@ def token_chunks(spark, sf_dir):
 @query(f"""{_WORDS}, {_spans_sql('pred_label', 'spans')}, n AS (SELECT doc_id, 'SPAN' AS kind, span_id AS place, field, text FROM spans UNION ALL SELECT doc_id, 'TOKEN', word_idx, 'CONTEXT_TOKEN', text FROM words w WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = w.doc_id AND w.word_idx BETWEEN s.first_word AND s.last_word))
     SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY kind, place) - 1)::INT AS node_id FROM n""")
 def context_nodes(spark, sf_dir):
-    w = words(spark, sf_dir)
-    return B.context_nodes(w, B.bio_spans(w, "pred_label"))
+    return _paged(spark, sf_dir, D.nodes("pred_label"), "pred_label", "text")
 
 
 @query(f"{_PAIRS} SELECT doc_id, pair_index, head_span_id, dep_span_id, head_field, dep_field, head_text, dep_text, gold FROM scored")
