@@ -17,6 +17,7 @@ NAMES = [
     "edge_verdicts",
     "span_match_metrics",
     "context_nodes",
+    "field_verdicts",
 ]
 
 

@@ -119,9 +119,8 @@ def confusions_without_equal(spark, sf_dir):
 
 @query(f"{R._PAIRS}, c AS (SELECT dep_field, {R._T}, count_if(gold = 0 AND prob >= {R.S.THRESHOLD} AND {R._HARD}) AS hard_negatives FROM scored GROUP BY dep_field), v AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c) SELECT dep_field, round(f1, 6) AS f1, CASE WHEN f1 >= 0.9 THEN 'strong' WHEN f1 >= 0.8 THEN 'usable' ELSE 'review' END AS verdict, CASE WHEN hard_negatives > 0 THEN 'hard negatives remain' ELSE '' END AS notes FROM v")
 def field_verdicts(spark, sf_dir):
-    pairs = R._scored(spark, sf_dir)
-    hard = M.hard_negatives(pairs).where("level = 2").select("dep_field", F.col("n").alias("hard_negatives"))
-    made = M.edge_metrics(pairs, R.S.THRESHOLD, "dep_field").join(F.broadcast(hard), "dep_field", "left").na.fill(0, ["hard_negatives"]).withColumn("collisions", F.lit(0))
+    counts = R._counted(spark, sf_dir, [R.S.THRESHOLD])
+    made = M.counted_edge_metrics(counts, "dep_field").withColumn("collisions", F.lit(0))
     return M.verdicts(made).select("dep_field", F.round("f1", 6).alias("f1"), "verdict", "notes")
 
 
