@@ -18,6 +18,7 @@ NAMES = [
     "span_match_metrics",
     "context_nodes",
     "field_verdicts",
+    "box_clamp_normalize",
 ]
 
 
@@ -32,3 +33,8 @@ def test_words_are_not_dealt_out_again(spark, name):
 def test_pages_are_read_once(spark):
     plan = QUERIES["page_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode(CASE") == 1 and "Union" not in plan
+
+
+def test_boxes_are_clamped_outside_filters(spark):
+    plan = QUERIES["box_clamp_normalize"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "bround" not in plan

@@ -105,11 +105,8 @@ _CL = lambda v, w: f"greatest(0, least({v}, {w} - 1))"
     SELECT doc_id, word_idx, x0, y0, x1, y1, trunc(1000 * x0 / page_w)::INT AS n0, trunc(1000 * y1 / page_h)::INT AS n3, trunc(1000 * x1 / page_w)::INT / 1000 AS u2 FROM c WHERE x1 > x0 AND y1 > y0""")
 def box_clamp_normalize(spark, sf_dir):
     w = words(spark, sf_dir)
-    box = G.clamp([F.col("x1") * 1.5, F.col("y0") - 120.5, F.col("x0") * 1.5, F.col("y1") - 120.5], F.col("page_w"), F.col("page_h"))
-    made = w.select("doc_id", "word_idx", "page_w", "page_h", box.alias("b")).where("b IS NOT NULL")
-    n = G.normalise_1000(G.box_of(F.col("b")), F.col("page_w"), F.col("page_h"))
-    made = made.withColumn("n", n)
-    return made.select("doc_id", "word_idx", *[F.col("b")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))], F.col("n")[0].alias("n0"), F.col("n")[3].alias("n3"), G.to_unit(G.box_of(F.col("n")))[2].alias("u2"))
+    sides = {"left": F.col("x1") * 1.5, "top": F.col("y0") - 120.5, "right": F.col("x0") * 1.5, "bottom": F.col("y1") - 120.5}
+    return D.by_document(w.select("doc_id", "word_idx", "page_w", "page_h", *[c.cast("double").alias(n) for n, c in sides.items()]), D.clamped, D.CLAMPED, together=True)
 
 
 _PAIR_COLUMNS = {"dx": "dx", "dy": "dy", "distance": "distance", "overlap_x": "overlap_x", "overlap_y": "overlap_y", "gap_x": "gap_x", "gap_y": "gap_y", "same_row": "same_row", "same_col": "same_col", "prob": "prob"}
