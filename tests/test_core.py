@@ -147,6 +147,31 @@ def test_policy_rows(spark):
     assert got[1, 8] == ("ITEM_UNIT_PRICE", "price in row with quantity") and got[1, 12][0] == "ITEM_QTY"
 
 
+def test_policy_order_and_phrases(spark):
+    names = ["No", " ", None, "ice", "to go", "to", "go", "now"]
+    made = [(1, i, 1 if i < 4 else i if i < 5 else 9, t, "ITEM_NAME") for i, t in enumerate(names)]
+    got = policy(spark, [*reversed(made), (1, None, None, "large", "ITEM_NAME"), (None, 3, 1, "large", "ITEM_NAME"), (2, 4, 1, "large", "ITEM_NAME"), (2, 6, 1, "ice", "ITEM_NAME"), (2, 5, 2, "x", "O")])
+    options = {k for k, v in got.items() if v == ("ITEM_OPTION", "option phrase")}
+    assert options == {(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, None), (None, 3), (2, 4)}
+
+
+def test_kinds_of_one_text_as_columns(spark):
+    from tillroll.functions import policy as Y
+
+    kinds = [k for k, *_ in Y.KINDS]
+    words = ["12OZ", "$4.50", "2X", "x 3", "2\u2028", "2X\u2028", "2X\x85\u2028", "*gst*", "**", "**T\u2029", "AirMiles-1", "misc", "OPENFOOD\u2028", "OPENFOOD\u2028\u2028", "0456MEAT", "3XCOPERTO", "SKU-1234", "#1234AB", "a@b-12345", "12/34567\u2028x", "cad 1,234.50-", "(1.50)", "1.5", "\u0661\u0662X", "1\u00a0X", "1\x0bX", "\u00df1234", "qty", "tea", "", " ", None, "500 ml", "2 x 3 kg", "A123", "ab1234567890"]
+    held = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, t string")
+    for r in held.select("*", *[Y.is_kind(F.col("t"), k).alias(k) for k in dict.fromkeys(kinds)], Y.written(F.col("t")).alias("w")).collect():
+        assert Y.written_text(r["t"]) == r["w"]
+        assert {k: Y.first_kind(r["t"], (k,)) == 0 for k in kinds} == {k: r[k] for k in kinds}, r["t"]
+
+
+def test_policy_needs_no_shuffle_after_words(spark):
+    plan = QUERIES["item_policy_fields"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan.partition("Generate explode(CASE")[0]
+    assert not [w for w in ("Sort", "Join", "Window", "regexp_replace", "hashpartitioning(doc_id") if w in after]
+
+
 def test_policy_empty(spark):
     assert policy(spark, []) == {}
 

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tillroll.functions import labels as L
-from tillroll.functions import policy as Y
-from tillroll.operators.spans import in_document
+from tillroll.operators import pages as D
 
 #: Rules and overrides that are held in a plan; more are joined.
 RULES_IN_PLAN = 1000
@@ -27,6 +27,13 @@ IN_NAME = [
     ("tax flag", "ITEM_TAX_FLAG"),
     ("strong code", "ITEM_CODE"),
 ]
+#: What a word without a label becomes beside an item's name and price; a price only beside a quantity too.
+IN_ROW = [
+    ("code", "ITEM_CODE"),
+    ("size", "ITEM_OPTION"),
+    ("quantity", "ITEM_QTY"),
+    ("price", "ITEM_UNIT_PRICE"),
+]
 
 
 def _first(cases: list[tuple[Column, Column]]) -> Column:
@@ -37,35 +44,16 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def item_policy(words: DataFrame, row: str = "line_no") -> DataFrame:
+def item_policy(words: DataFrame, row: str = "line_no", together: bool = False) -> DataFrame:
     """Adds new_field and reason (null: unchanged) to words(doc_id, word_idx, text, field, row).
 
     First each word of an item's name that is something else takes that field; a whole run of name words in one row
     that is an option phrase becomes an option. Then in rows that still have a name and a price, unlabelled codes,
     sizes, quantities and, beside a quantity, prices are labelled. A null field counts as O, a null text as empty, and a
-    word of no row stands alone.
+    word of no row stands alone. Documents are worked on whole, by arrays; together as in pages.by_document().
     """
-    word = F.col("text")
-    held = words.withColumn("_field", F.coalesce("field", F.lit("O")))
-    held = held.withColumn("_row", F.coalesce(F.concat(F.lit("row:"), F.col(row).cast("string")), F.concat(F.lit("word:"), F.col("word_idx").cast("string"))))
-    named = F.col("_field") == "ITEM_NAME"
-    goes_on = F.lag("_field").over(in_document()).eqNullSafe(F.lit("ITEM_NAME")) & F.lag("_row").over(in_document()).eqNullSafe(F.col("_row"))
-    held = held.withColumn("_begins", (named & ~goes_on).cast("int")).withColumn("_named", named)
-    held = held.withColumn("_run", F.sum("_begins").over(in_document()))
-    run = Window.partitionBy("doc_id", "_run", "_named").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    held = held.withColumn("_phrase", F.when(named, Y.written(F.array_join(F.collect_list(F.coalesce(word, F.lit(""))).over(run), " "))))
-    cases = [(F.col("_phrase").isin(Y.OPTION_PHRASES), "ITEM_OPTION", "option phrase"), *((Y.is_kind(word, kind), new, kind.removeprefix("strong ")) for kind, new in IN_NAME)]
-    choice = _first([(c, F.struct(F.lit(new).alias("field"), F.lit(why).alias("why"))) for c, new, why in cases])
-    held = held.withColumn("_choice", F.when(named, choice)).withColumn("_now", F.coalesce("_choice.field", "_field"))
-
-    in_row = Window.partitionBy("doc_id", "_row")
-    any_of = lambda c: F.max(F.coalesce(c, F.lit(False))).over(in_row)
-    item_row = any_of(F.col("_now") == "ITEM_NAME") & any_of(F.col("_now") == "ITEM_PRICE")
-    held = held.withColumn("_item_row", item_row).withColumn("_counted", any_of((F.col("_now") == "ITEM_QTY") | Y.is_kind(word, "quantity")))
-    cases = [(Y.is_kind(word, "code"), "ITEM_CODE", "code in row"), (Y.is_kind(word, "size"), "ITEM_OPTION", "size in row"), (Y.is_kind(word, "quantity"), "ITEM_QTY", "quantity in row"), (Y.is_kind(word, "price") & F.col("_counted"), "ITEM_UNIT_PRICE", "price in row with quantity")]
-    choice = _first([(c, F.struct(F.lit(new).alias("field"), F.lit(why).alias("why"))) for c, new, why in cases])
-    late = F.when(F.col("_item_row") & (F.col("_now") == "O"), choice)
-    return held.withColumn("_late", late).select(*[F.col(c) for c in words.columns], F.coalesce("_late.field", "_now").alias("new_field"), F.coalesce("_late.why", "_choice.why").alias("reason"))
+    schema = T.StructType([*words.schema.fields, T.StructField("new_field", T.StringType()), T.StructField("reason", T.StringType())])
+    return D.by_document(words, D.policies(words.columns, row, IN_NAME, IN_ROW), schema, together)
 
 
 def repair_relations(relations: DataFrame, words: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def _left(spark, sf_dir):
     z AS (SELECT b.*, CASE WHEN NOT item OR now <> 'O' THEN NULL WHEN regexp_full_match(t, '[0-9]{{4,}}') THEN ['ITEM_CODE', 'code in row'] WHEN regexp_full_match(t, '[0-9]{{1,3}}X') THEN ['ITEM_QTY', 'quantity in row'] WHEN regexp_full_match(t, '[0-9]{{1,6}}[.][0-9]{{2}}') AND counted THEN ['ITEM_UNIT_PRICE', 'price in row with quantity'] END AS l FROM b JOIN g USING (doc_id, line_no))
     SELECT doc_id, word_idx, text, field, coalesce(l[1], now) AS new_field, coalesce(l[2], c[2]) AS reason FROM z""")
 def item_policy_fields(spark, sf_dir):
-    return C.item_policy(_left(spark, sf_dir)).drop("line_no")
+    return C.item_policy(_left(spark, sf_dir), together=True).drop("line_no")
 
 
 # A relation of each line, from the words of its name to those of its price; some name a word that is not there.
