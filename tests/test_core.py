@@ -384,3 +384,24 @@ def test_tail_and_cover(spark):
     moved = Z.cover_labels(df, "label", "split", 9, "id")
     assert moved.columns == df.columns and moved.count() == len(ids)
     assert {r["count"] for r in moved.where("split = 'validation'").groupBy("label").count().collect()} == {9}
+
+
+def test_skipped_items(spark):
+    from tillroll.operators import preparation as W
+
+    boxes = [[0.5, 1.5, 2.5, 3.5], [1.0, 1.0, 1.0, 2.0], None, [1.0, 2.0, 3.0], [None, 1.0, 2.0, 3.0], [5e12, 1.0, 2.0, 3.0], [200.0, 1.0, 300.0, 3.0], [-5.0, -5.0, 2.0, 2.0], [1.6, 1.0, 2.4, 9.0], [1.0, 1.0, 99.0, 120.0]]
+    rows = [(1, i, "\x0b" if i == 7 else f" a{i}\t", b, 100, 100) for i, b in enumerate(boxes)] + [(2, 0, None, boxes[0], 100, 100), (2, 1, "\u00a0", boxes[0], None, 100), (2, 2, "b", boxes[0], 2000, 100), (2, 3, "c", boxes[0], 0, 100)]
+    made = W.prepare_words(spark.createDataFrame(rows, "doc_id bigint, raw_index int, text string, box array<double>, page_w int, page_h int"))
+    got = {(r["doc_id"], r["raw_index"]): r for r in made.collect()}
+    bad, after = "invalid_box", "invalid_box_after_clamp"
+    assert [got[1, i]["skipped"] for i in range(10)] == [None, bad, bad, bad, bad, bad, after, "empty_text", after, None]
+    assert [got[2, i]["skipped"] for i in range(4)] == ["empty_text", after, None, after]
+    assert (got[1, 0]["pixel"], got[1, 0]["thousandth"], got[1, 0]["text"], got[1, 9]["word_idx"]) == ([0, 2, 2, 4], [0, 20, 20, 40], "a0", 1)
+    assert (got[1, 9]["pixel"], got[2, 1]["pixel"], got[2, 1]["thousandth"]) == ([1, 1, 99, 99], [0, 2, 2, 4], None)
+    counts = {r["doc_id"]: tuple(r)[1:] for r in W.skip_counts(made).collect()}
+    assert counts == {1: (10, 2, 1, 7, False, False), 2: (4, 1, 1, 2, False, True)}
+
+
+def test_counts_of_skipped_words_round_each_side_once_and_make_no_pixels(spark):
+    plan = QUERIES["skipped_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "bround" not in plan and "regexp_replace" not in plan and plan.count("rint(") == 4

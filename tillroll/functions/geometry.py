@@ -24,12 +24,17 @@ def _guarded(box: Box, fine: Column) -> Column:
     return F.when(fine, F.array(*box))
 
 
+def clamped(box: Box, width: Column, height: Column, swap: bool = True) -> list[Column]:
+    """The sides of clamp(), also of an empty box. Rounding keeps order, so that each side is rounded once."""
+    x0, y0, x1, y1 = (c.cast("double") for c in box)
+    left, right, top, bottom = (F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1)) if swap else (x0, x1, y0, y1)
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(F.rint(v).cast("int"), (most - 1).cast("int")))
+    return [inside(left, width), inside(top, height), inside(right, width), inside(bottom, height)]
+
+
 def clamp(box: Box, width: Column, height: Column, swap: bool = True) -> Column:
     """Half-even rounding, corners in order (or null if they are not and swap is off), inside the page; null if empty."""
-    x0, y0, x1, y1 = (F.bround(c.cast("double")).cast("int") for c in box)
-    left, right, top, bottom = (F.least(x0, x1), F.greatest(x0, x1), F.least(y0, y1), F.greatest(y0, y1)) if swap else (x0, x1, y0, y1)
-    inside = lambda v, most: F.greatest(F.lit(0), F.least(v, (most - 1).cast("int")))
-    out = [inside(left, width), inside(top, height), inside(right, width), inside(bottom, height)]
+    out = clamped(box, width, height, swap)
     return _guarded(out, valid(out))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from tillroll.functions import geometry as G
 
+_SIDES = ("_left", "_top", "_right", "_bottom")
+
 
 def prepare_words(items: DataFrame, thousandths: bool = False) -> DataFrame:
     """Adds pixel and thousandth (boxes as arrays), skipped (why an item is no word, else null) and word_idx, dense over the
@@ -24,15 +26,19 @@ def prepare_words(items: DataFrame, thousandths: bool = False) -> DataFrame:
         made = items.withColumn("thousandth", F.when(fine, unit))
         made = made.withColumn("thousandth", F.when(G.valid(G.box_of(F.col("thousandth"))), F.col("thousandth")))
         made = made.withColumn("pixel", F.when(F.col("thousandth").isNotNull(), G.to_pixels(G.box_of(F.col("thousandth")), *page)))
+        outside = F.col("pixel").isNull() | F.col("thousandth").isNull()
     else:
-        made = items.withColumn("pixel", F.when(fine, G.clamp(box, *page)))
-        made = made.withColumn("thousandth", F.when(F.col("pixel").isNotNull(), G.normalise_1000(G.box_of(F.col("pixel")), *page)))
-    empty = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")) == ""
-    outside = F.col("pixel").isNull() | F.col("thousandth").isNull()
+        # Sides are columns of their own, so that what needs no arrays makes none, and nothing is worked out twice.
+        made = items.withColumn("_fine", fine)
+        made = made.withColumns({c: F.when(F.col("_fine"), v) for c, v in zip(_SIDES, G.clamped(box, *page))})
+        sides = [F.col(c) for c in _SIDES]
+        made = made.withColumn("pixel", F.when(G.valid(sides), F.array(*sides))).withColumn("thousandth", G.normalise_1000(sides, *page))
+        outside, fine = ~F.coalesce(G.valid(sides) & (page[0] > 0) & (page[1] > 0), F.lit(False)), F.col("_fine")
+    empty = ~F.coalesce("text", F.lit("")).rlike(r"\S")
     skipped = F.when(empty, "empty_text").when(~fine, "invalid_box").when(outside, "invalid_box_after_clamp")
     made = made.withColumn("skipped", skipped).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
     number = F.row_number().over(Window.partitionBy("doc_id", F.col("skipped").isNull()).orderBy("raw_index")) - 1
-    return made.withColumn("word_idx", F.when(F.col("skipped").isNull(), number))
+    return made.withColumn("word_idx", F.when(F.col("skipped").isNull(), number)).drop("_fine", *_SIDES)
 
 
 def skip_counts(prepared: DataFrame) -> DataFrame:
