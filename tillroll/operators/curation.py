@@ -50,7 +50,8 @@ def item_policy(words: DataFrame, row: str = "line_no", together: bool = False)
     First each word of an item's name that is something else takes that field; a whole run of name words in one row
     that is an option phrase becomes an option. Then in rows that still have a name and a price, unlabelled codes,
     sizes, quantities and, beside a quantity, prices are labelled. A null field counts as O, a null text as empty, and a
-    word of no row stands alone. Documents are worked on whole, by arrays; together as in pages.by_document().
+    word of no row stands alone. text and field are strings, other columns of any type that Arrow has. Documents are worked
+    on whole, by arrays; together as in pages.by_document().
     """
     schema = T.StructType([*words.schema.fields, T.StructField("new_field", T.StringType()), T.StructField("reason", T.StringType())])
     return D.by_document(words, D.policies(words.columns, row, IN_NAME, IN_ROW), schema, together)
